@@ -43,6 +43,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs)).select("doc_id", held_out, "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op8_langid)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    prepare(spark)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op8_langid, op9_simhash)}
 
 SQL: dict[str, str] = {}

@@ -183,7 +183,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), targets: dict[str
         .select(F.col("_shard").alias("_part"), F.col("source").alias("_source"), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("begin", F.lit(0)).alias("begin"))
     )
 
-    def run(key, docs_: pa.Table, plan_: pa.Table) -> pa.Table:
+    def run(key, docs_, plan_):
         docs_ = docs_.combine_chunks()
         sources = sorted(set(docs_["source"].to_pylist()), key=lambda s: (s is None, s))
         number = {s: i for i, s in enumerate(sources)}

@@ -43,6 +43,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    prepare(spark)
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn
 
@@ -67,6 +76,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op8_langid, op9_simhash, op10_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op8_langid, op9_simhash, op10_substrings)}
 
 SQL: dict[str, str] = {}

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,24 @@ WINDOW = 32 * SEQUENCE
 SHARD_TOKENS = 4_000_000
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _words: dict[str, WordIds] = {}
 
 
+PROBES = ("hello", "the", "éclair", "straße", "ñandú", "überœuvre", "zzzq", "a")
+#: Bytes as the printable characters that byte-level vocabularies use: those that print stand for themselves.
+PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_CHARS = {b: chr(b) for b in PRINTS} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTS)}
+
+
 class WordIds(dict):
-    """Token ids of words between blanks, as bytes, for a tokenizer that drops white space.
+    """Token ids of words between blanks, as bytes; those it has not are looked up and kept.
 
-    Such a tokenizer never joins what a blank separates, so the ids of a text are those of its words
-    in turn. A word that ends in a letter and then dots or commas is put together from its parts.
+    A tokenizer that drops white space never joins what a blank separates, so the ids of a text are
+    those of its words in turn. A word that ends in a letter and then dots or commas is put together
+    from its parts, and a word of Latin letters goes to the vocabulary directly, past the parts of
+    the tokenizer that would leave it as it is. Both are used only if the probes confirm them.
     """
 
     def __init__(self, path: str):
@@ -57,34 +66,43 @@ class WordIds(dict):
             path = public_tokenizers.path(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        parts, new = {}, set()
-        for word in words - self.keys():
-            body = word.rstrip(".,")
-            if body == word or not body[-1:].isalpha() or "<" in word:
-                body = word
-            tail = word[len(body) :]
-            if "<" not in body and body.isascii():
-                body = body.lower()
-            parts[word] = body, tail
-            new.add(body)
-            new.add(tail)
-        todo = list(new - self.keys())
-        for word, found in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False)):
-            self[word] = np.array(found.ids, self.kind).tobytes()
-        for word, (body, tail) in parts.items():
-            if word not in self:
-                self[word] = self[body] + self[tail]
+        each = [self.full(w) for w in PROBES]
+        self.splits = self.full(" ".join(PROBES)) == sum(each, []) and self.full("Hello.,\nhello") == self.full("hello") + self.full(".,") + self.full("hello")
+        self.direct = self.splits and [self.short(w) for w in PROBES] == each
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
+
+    def full(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def short(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.rstrip(".,")
+        if self.direct and body.isalpha() and (body.isascii() or max(body) < "\u0250" and "\u0130" not in body):
+            low = body.lower()
+            if low != word:
+                ids = self[low] + (self[word[len(body) :]] if len(body) < len(word) else b"")
+            else:
+                ids = self.packed(self.short(low))
+        else:
+            ids = self.packed(self.full(word))
+        self[word] = ids
+        return ids
 
     def texts(self, texts: list[str], end: int) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
         last = np.array([end], self.kind).tobytes()
-        return [b"".join(map(self.__getitem__, words)) + last for words in split]
+        if not self.splits:
+            return [np.array(x.ids, self.kind).tobytes() + last for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) + last for t in texts]
 
 
 def word_ids(path: str) -> WordIds:

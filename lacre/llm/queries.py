@@ -52,6 +52,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
 
 
+def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linedup import classify_lines
+
+    prepare(spark)
+    return classify_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn
 
@@ -76,6 +83,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op8_langid, op9_simhash, op10_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op8_langid, op9_simhash, op10_substrings)}
 
 SQL: dict[str, str] = {}

@@ -59,6 +59,13 @@ def op5_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    prepare(spark)
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learn
 
@@ -83,6 +90,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op8_langid, op9_simhash, op10_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op6_topk, op8_langid, op9_simhash, op10_substrings)}
 
 SQL: dict[str, str] = {}

@@ -29,7 +29,7 @@ from .graph import components
 
 MOST_EDITS = 2
 LEAST_CHARS = 20
-LONG_RUN = 64
+SHORT_RUN = 8
 MOST_BROADCAST = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -102,56 +102,106 @@ def posted(batches, most_edits: int):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[which]), pa.array(parity[which].view(np.int32)), pa.array(probe)], names=["key", "line", "parity", "probe"])
 
 
-def met(batches, most_edits: int):
-    """(a, b), a < b: lines that share a key, one of them posting, and pass the parity test."""
-
-    def close(p, q):
-        return np.bitwise_count(p ^ q) <= 2 * most_edits
-
-    def pairs(group, line, parity, probe):
-        at, step = np.arange(len(group)), 1
-        while len(at):
-            at = at[at + step < len(group)]
-            at = at[group[at] == group[at + step]]
-            ok = at[close(parity[at], parity[at + step]) & ~(probe[at] & probe[at + step]) & (line[at] != line[at + step])]
-            if len(ok):
-                a, b = line[ok], line[ok + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            step += 1
-
-    def whole(key, line, parity, probe):
-        if not len(key):
-            return
+def close(p: np.ndarray, q: np.ndarray, most_edits: int) -> np.ndarray:
+    """An edit changes the parity of two characters at most."""
+    return np.bitwise_count(p ^ q) <= 2 * most_edits
+
+
+def meetings(group, line, parity, probe, most_edits: int):
+    """Index arrays of rows that share a group, one of them posting, and pass the parity test; rows of a group lie together."""
+    at, step = np.arange(len(group)), 1
+    while len(at):
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        ok = at[close(parity[at], parity[at + step], most_edits) & ~(probe[at] & probe[at + step]) & (line[at] != line[at + step])]
+        if len(ok):
+            yield ok, ok + step
+        step += 1
+
+
+def long_meetings(key, line, parity, probe, most_edits: int):
+    """The same for long groups. Parities that differ in 2 * most_edits bits agree in one of as many pieces and one more."""
+    pieces = 2 * most_edits + 1
+    edges = [32 * k // pieces for k in range(pieces + 1)]
+    for a, b in zip(edges, edges[1:]):
+        piece = (parity >> np.uint32(a)) & np.uint32((1 << (b - a)) - 1)
+        order = np.lexsort((piece, key))
+        group = np.cumsum(np.append(False, (key[order][1:] != key[order][:-1]) | (piece[order][1:] != piece[order][:-1])))
+        for i, j in meetings(group, line[order], parity[order], probe[order], most_edits):
+            yield order[i], order[j]
+
+
+def runs(batches, columns: tuple[str, ...]):
+    """Arrays of whole keys, from batches sorted by key; a row that repeats key, line and probe is left out."""
+
+    def whole(now):
+        key, line, _, probe = now[:4]
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (line[1:] == line[:-1]) & (probe[1:] == probe[:-1])
-        key, line, parity, probe = key[~same], line[~same], parity[~same], probe[~same]
-        size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-        long = np.repeat(size > LONG_RUN, size)
-        some = np.repeat(size > 1, size) & ~long
-        yield from pairs(key[some], line[some], parity[some], probe[some])
-        if long.any():
-            # Parities that differ in 2 * most_edits bits agree in one of as many pieces and one more.
-            pieces = 2 * most_edits + 1
-            edges = [32 * k // pieces for k in range(pieces + 1)]
-            key, line, parity, probe = key[long], line[long], parity[long], probe[long]
-            for a, b in zip(edges, edges[1:]):
-                piece = (parity >> np.uint32(a)) & np.uint32((1 << (b - a)) - 1)
-                order = np.lexsort((piece, key))
-                group = np.cumsum(np.append(False, (key[order][1:] != key[order][:-1]) | (piece[order][1:] != piece[order][:-1])))
-                yield from pairs(group, line[order], parity[order], probe[order])
+        return tuple(x[~same] for x in now)
 
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (column(batch, "key").to_numpy(), column(batch, "line").to_numpy(), column(batch, "parity").to_numpy().view(np.uint32), column(batch, "probe").to_numpy(zero_copy_only=False))
+        now = tuple(column(batch, c).to_numpy(zero_copy_only=False) for c in columns)
         if held is not None:
             now = tuple(np.concatenate(x) for x in zip(held, now))
         n = int(np.searchsorted(now[0], now[0][-1]))
-        yield from whole(*(x[:n] for x in now))
+        if n:
+            yield whole(tuple(x[:n] for x in now))
         held = tuple(x[n:] for x in now)
     if held is not None:
-        yield from whole(*held)
+        yield whole(held)
+
+
+def run_sizes(key: np.ndarray) -> np.ndarray:
+    """For each row, the number of rows with its key."""
+    size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+    return np.repeat(size, size)
+
+
+MET = "key bigint, line bigint, parity int, probe boolean, other bigint"
+
+
+def met(batches, most_edits: int):
+    """What meets under a key: (line, other) for each pair of a short run; of a longer one its members, other null.
+
+    Members are as many as there are, while pairs would grow with the square of a run.
+    """
+    for key, line, parity, probe in runs(batches, ("key", "line", "parity", "probe")):
+        bits = parity.view(np.uint32)
+        size = run_sizes(key)
+        few = np.flatnonzero((size > 1) & (size <= SHORT_RUN))
+        for i, j in meetings(key[few], line[few], bits[few], probe[few], most_edits):
+            a, b = line[few[i]], line[few[j]]
+            n = len(a)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.minimum(a, b)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(np.maximum(a, b))], names=["key", "line", "parity", "probe", "other"])
+        many = np.flatnonzero(size > SHORT_RUN)
+        used = np.zeros(len(many), bool)
+        for i, j in long_meetings(key[many], line[many], bits[many], probe[many], most_edits):
+            used[i] = used[j] = True
+        many = many[used]
+        if len(many):
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(line[many]), pa.array(parity[many]), pa.array(probe[many]), pa.nulls(len(many), pa.int64())], names=["key", "line", "parity", "probe", "other"])
+
+
+def verified_runs(batches, most_edits: int):
+    """(a, b): the links among the members of longer runs, which come with their texts."""
+    seen: set[tuple[int, int]] = set()
+    for key, line, parity, probe, text in runs(batches, ("key", "line", "parity", "probe", "text")):
+        found = []
+        for i, j in long_meetings(key, line, parity.view(np.uint32), probe, most_edits):
+            for x, y in zip(i.tolist(), j.tolist()):
+                pair = (int(min(line[x], line[y])), int(max(line[x], line[y])))
+                if pair not in seen:
+                    seen.add(pair)
+                    if within(text[x], text[y], most_edits):
+                        found.append(pair)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -207,19 +257,24 @@ def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int
     """(a, b): the hashes of each two different lines within ``most_edits`` edits."""
     long = lines.where(F.char_length("line") >= least_chars).select("h", "line")
     posts = long.mapInArrow(lambda it: posted(it, most_edits), "key bigint, line bigint, parity int, probe boolean")
-    pairs = stored(posts.repartition("key").sortWithinPartitions("key", "line", "probe").mapInArrow(lambda it: met(it, most_edits), "a bigint, b bigint").distinct())
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    sort = ("key", "line", "probe")
+    meeting = stored(posts.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: met(it, most_edits), MET).distinct())
+    needed = stored(meeting.select(F.explode(F.array_compact(F.array("line", "other"))).alias("h")).distinct())
     if needed.count() <= MOST_BROADCAST:
         needed = F.broadcast(needed)
-    texts = long.join(needed, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    texts = long.join(needed, "h", "left_semi").groupBy("h").agg(F.first("line").alias("text"))
 
     def verify(batches):
         for batch in batches:
             ok = [within(x, y, most_edits) for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = meeting.where("other IS NOT NULL").select(F.col("line").alias("a"), F.col("other").alias("b"))
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
+    members = meeting.where("other IS NULL").join(texts.withColumnRenamed("h", "line"), "line").select("key", "line", "parity", "probe", "text")
+    linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    linked = linked.unionByName(members.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: verified_runs(it, most_edits), "a bigint, b bigint"))
+    return stored(linked.distinct())
 
 
 def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:

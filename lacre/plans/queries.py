@@ -81,7 +81,8 @@ CNPJ_MADE = [
     ("f", "substr(n, 1, 2) || '.' || substr(n, 3, 3) || '.' || substr(n, 6, 3) || '/' || substr(n, 9, 4) || '-' || substr(n, 13, 2)"),
 ]
 PIS_MADE = [("b", "'1' || " + r.padded(f"{MANY} * 137 % 999999937", 9)), ("n", f"b || CAST({r.mod11('b', r.PIS)} AS VARCHAR(1))"), ("f", "substr(n, 1, 3) || '.' || substr(n, 4, 5) || '.' || substr(n, 9, 2) || '-' || substr(n, 11, 1)")]
-SEVERAL = f"({r.pis('n')} OR {r.cnh('n')})"
+#: A CPF that is a CNH as well, without a label of either, loses the dispute: of equal ranks, the type's name decides.
+CPF_OR_PIS, NO_CNH = r.pis("n"), f"NOT {r.cnh('n')}"
 
 
 def _detection(name: str, recipe: list[tuple[str, str]], cases: list[tuple[str, str, str | None, str]], type_: str, review: str = "false", value_start: str = "strpos(text, f)", size: str = "length(f)") -> None:
@@ -106,8 +107,8 @@ def _plain(prefix: str) -> str:
     return f"'{prefix}'"
 
 
-_detection("cpf", CPF_MADE, [("Fulano, CPF nº ", ", residente", "0.99", "true"), ("valor ", " pago", f"CASE WHEN {SEVERAL} THEN 0.6 ELSE 0.95 END", "true"), ("lote ", " entregue", None, "true"), ("lote 7, CPF ", "", "0.99", "true"), ("PIS ", "", "0.95", f"NOT {r.pis('n')}"), ("linha\n\nitem ", "", None, "true")], "CPF")
-_detection("cpf_loose", [*CPF_MADE[:3], ("f", "substr(n, 1, 5) || ' ' || substr(n, 6, 6)")], [("CPF:\n", "\nfim", "0.99", "true"), ("valor ", " pago", f"CASE WHEN {SEVERAL} THEN 0.6 ELSE 0.85 END", "true"), ("BR", "", None, "true"), ("ref 7-", "", None, "true")], "CPF")
+_detection("cpf", CPF_MADE, [("Fulano, CPF nº ", ", residente", "0.99", "true"), ("valor ", " pago", f"CASE WHEN {CPF_OR_PIS} THEN 0.6 ELSE 0.95 END", NO_CNH), ("lote ", " entregue", None, "true"), ("lote 7, CPF ", "", "0.99", "true"), ("PIS ", "", "0.95", f"NOT {r.pis('n')} AND {NO_CNH}"), ("linha\n\nitem ", "", None, "true")], "CPF")
+_detection("cpf_loose", [*CPF_MADE[:3], ("f", "substr(n, 1, 5) || ' ' || substr(n, 6, 6)")], [("CPF:\n", "\nfim", "0.99", "true"), ("valor ", " pago", f"CASE WHEN {CPF_OR_PIS} THEN 0.6 ELSE 0.85 END", NO_CNH), ("BR", "", None, "true"), ("ref 7-", "", None, "true")], "CPF")
 _detection("cnpj", CNPJ_MADE, [("CNPJ ", " da", "0.99", "true"), ("empresa ", "", "0.95", "true"), ("protocolo ", "", None, "true"), ("inscrita no cnpj: ", ".", "0.99", "true")], "CNPJ")
 _detection("pis", PIS_MADE, [("PIS/PASEP ", " ok", "0.99", "true"), ("número de série ", "", None, "true"), ("NIT: ", "", "0.99", "true")], "PIS")
 _detection("email", [("f", "'user' || CAST(k AS VARCHAR(20)) || '.x@mail.example.com.br'")], [("e-mail: ", ", ok", "0.99", "true"), ("veja ", " ok", "0.9", "true"), ("código ", "", None, "true"), ("protocolo 1, email ", "", "0.99", "true")], "EMAIL")

@@ -182,22 +182,30 @@ def links(fps: DataFrame, most_list: int = MOST_LIST) -> DataFrame:
     return found.where("b IS NOT NULL").unionByName(index(again, 4, 1 << 62))
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_list: int = MOST_LIST) -> DataFrame:
-    """``keep``, fp and component_id (the least doc_id of the component) for each document."""
+def with_roots(docs: DataFrame, keep: tuple[str, ...], most_list: int = MOST_LIST) -> DataFrame:
+    """``keep``, fp, root (the fingerprint that names the component) and component_id for each document."""
     marked = stored(fingerprint(docs, tuple(dict.fromkeys([*keep, "doc_id"]))))
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = components(links(fps, most_list))
     rooted = fps.join(stars, fps.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(*keep, "fp", "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select(*keep, "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_list: int = MOST_LIST) -> DataFrame:
+    """``keep``, fp and component_id (the least doc_id of the component) for each document."""
+    return with_roots(docs, keep, most_list).select(*keep, "fp", "component_id")
 
 
 def near_unique(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One document of each component: that of the least doc_id, and of rows alike in all of ``keep`` one."""
+    """One document of each component: that of the least doc_id, and of rows alike in all of ``keep`` one.
+
+    Components are told apart by their roots; ids may be null or repeated, so component_id does not name one.
+    """
     tag = F.xxhash64(*keep).alias("_tag")
-    marked = near_duplicates(docs.select(*keep, tag), ("doc_id", "_tag"))
-    best = marked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tag")).alias("best"))
+    marked = with_roots(docs.select(*keep, tag), ("doc_id", "_tag"))
+    best = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tag")).alias("best"))
     first = stored(marked.groupBy("doc_id", "_tag").agg(F.count("*").alias("_n")).join(best.select(F.col("best.doc_id").alias("_id"), F.col("best._tag").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_t")), "left_semi"))
     first = first.select(F.col("doc_id").alias("_id"), F.col("_tag").alias("_t"), "_n")
     rows = docs.select(*keep, tag)

@@ -93,6 +93,14 @@ def test_near_unique_keeps_one_of_each(documents):
     assert {r.doc_id for r in kept.collect()} == groups
 
 
+def test_near_unique_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = ("".join(rng.choice("bcdfgklm aeiou") for _ in range(600)) for _ in range(4))
+    docs = spark.createDataFrame([(None, a), (None, b), (None, b), (7, c), (7, d), (8, d)], "doc_id bigint, text string")
+    kept = sorted(map(tuple, simhash.near_unique(docs, ("doc_id", "text")).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
+
+
 def brute_repeats(texts, window=35):
     words = [BLANKS.findall(t or "") for t in texts]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))

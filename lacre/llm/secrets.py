@@ -2,27 +2,34 @@
 
 Each whole text is scanned for three kinds of secret, then every encoded segment of it is decoded
 into a layer of its own, which is scanned and searched for further segments in turn, until nothing
-new comes up. A layer whose content has been seen in this document is not taken again, which ends
-cycles. A layer carries, for each of its characters, the span of the original text it came from, so
-a secret found at any depth is reported at its place in the document.
+new comes up. Escapes that are decoded keep, for each character, the span of the original text it
+came from. All that comes out of a base64 segment has the place of that segment, so what a segment
+holds is found once and reported at every place where it stands; cycles are found among the layers
+of one segment.
 
 Layers: percent escapes, backslash and HTML character escapes, base64 (standard and URL alphabet),
 and gzip or zlib data inside base64.
 
+Bytes that are not UTF-8 and control characters hide nothing: the layer is read around them.
+
 Defined results: a null text is empty and has no spans; a repeated row is scanned again and gives
-the same row; a compressed layer that would inflate beyond ``most_inflated`` bytes (a decompression
-bomb) is not read, and is counted in ``n_oversized`` so that no document passes for fully scanned
-when it was not; texts have no length limit.
+the same row; a compressed layer that inflates beyond ``most_inflated`` bytes (a decompression bomb)
+is read in overlapping pieces and counted in ``n_oversized``, as a base64 run longer than half a
+piece or compressed data inside such a layer that is longer than a piece may be read in part only;
+texts have no length limit.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import html
 import re
 import urllib.parse
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +49,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: What text that was worth encoding looks like: no control characters but white space.
+BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+GZIP = b"\x1f\x8b"
+OVERLAP = 1 << 16
+#: What text that was worth encoding looks like: no control characters but white space. Other layers are read, too, but count only with a secret.
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
 
 
@@ -56,46 +66,80 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-class Oversized(Exception):
-    pass
-
+def compressed(data: bytes) -> bool:
+    return data[:2] == GZIP or len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0
 
-def inflated(data: bytes, most: int) -> bytes | None:
-    """Contents of gzip or zlib data, or None if it is neither."""
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    unpack = zlib.decompressobj(47)
-    try:
-        out = unpack.decompress(data, most)
-        if unpack.unconsumed_tail:
-            raise Oversized
-        return out + unpack.flush()
-    except zlib.error:
-        return None
 
+def inflate(data: bytes, most: int) -> Iterator[bytes]:
+    """Contents of gzip or zlib data, all members of it, in parts of at most ``most`` bytes; what follows comes as it is."""
+    while compressed(data):
+        unpack = zlib.decompressobj(47)
+        try:
+            while not unpack.eof:
+                out = unpack.decompress(data, most)
+                data = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+                if out:
+                    yield out
+                elif not data:
+                    break
+        except zlib.error:
+            return
+        if not unpack.eof:
+            return
+        data = data.lstrip(b"\0")
+    if data:
+        yield data
+
+
+def overlapping(parts: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """Long data in pieces that overlap. A run of base64 at the end of a piece starts the next one, too.
+
+    A run longer than half a piece is cut where a group of four ends, so that its rest decodes as well.
+    """
+    held, carried_over = b"", 0
+    for part in parts:
+        held += part
+        if len(held) < carried_over + most:
+            continue
+        yield held
+        run = len(held) - len(held.rstrip(BASE64_BYTES))
+        carried_over = min(len(held), run + OVERLAP if run <= most // 2 else OVERLAP + (run - OVERLAP) % 4)
+        held = held[len(held) - carried_over :]
+    yield held
 
-def printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROL.search(text) else text
 
+def opened(segment: str, most: int) -> Iterator[str | None]:
+    """The texts that a base64 segment stands for; None is put before the pieces of one that is too large.
 
-def from_base64(segment: str, most: int) -> str | None:
+    Compressed data is inflated until it is compressed no more or has come up before. Bytes that are not
+    UTF-8 are replaced. What only looks like a zlib header may be text, so the data is read as it is, too.
+    """
     body = segment.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(8):
-        inner = inflated(data, most)
-        if inner is None:
-            break
-        data = inner
-    return printable(data)
+        return
+    seen = set()
+    while compressed(data) and data not in seen:
+        seen.add(data)
+        if data[:2] != GZIP:
+            yield data.decode(errors="replace")
+        parts, first, size = inflate(data, most), [], 0
+        for part in parts:
+            first.append(part)
+            size += len(part)
+            if size > most:
+                yield None
+                for piece in overlapping(chain(first, parts), most):
+                    yield piece.decode(errors="replace")
+                    if compressed(piece):
+                        yield from (x.decode(errors="replace") for x in overlapping(inflate(piece, most), most))
+                return
+        if not size:
+            return
+        data = b"".join(first)
+    yield data.decode(errors="replace")
 
 
 def escaped_char(match: str) -> str:
@@ -117,62 +161,117 @@ def spliced(text: str, pieces: list[tuple[int, int, str]], starts: np.ndarray, e
 
 
 def percent_pieces(text: str) -> list[tuple[int, int, str]]:
-    """Each escaped character on its own where the escapes are UTF-8, so that spans stay exact."""
+    """Each escaped character on its own, so that spans stay exact; bytes that are not UTF-8 stay escaped."""
     pieces = []
     for m in PERCENT.finditer(text):
-        data = urllib.parse.unquote_to_bytes(m[0])
-        try:
-            decoded = data.decode()
-        except UnicodeDecodeError:
-            continue
         at = m.start()
-        for c in decoded:
-            size = 3 * len(c.encode())
-            pieces.append((at, at + size, c))
+        for c in urllib.parse.unquote_to_bytes(m[0]).decode(errors="surrogateescape"):
+            bad = "\udc80" <= c <= "\udcff"
+            size = 3 if bad else 3 * len(c.encode())
+            if not bad:
+                pieces.append((at, at + size, c))
             at += size
     return pieces
 
 
-def layers(text: str, starts: np.ndarray, ends: np.ndarray, most: int):
-    """The next layers of a text: (text, starts, ends); None stands for one that is too large."""
+def escapes(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """The pieces to put in for percent escapes, and for the other escapes."""
     if "%" in text and (pieces := percent_pieces(text)):
-        yield spliced(text, pieces, starts, ends)
-    if ("\\" in text or "&#" in text) and (pieces := [(*m.span(), escaped_char(m[0])) for m in ESCAPE.finditer(text)]):
-        yield spliced(text, pieces, starts, ends)
+        yield pieces
+    if "\\" in text or "&#" in text:
+        pieces = [(*m.span(), c) for m in ESCAPE.finditer(text) if (c := escaped_char(m[0])) != m[0]]
+        if pieces:
+            yield pieces
+
+
+def below(text: str, most: int) -> Iterator[str | None]:
+    """The next layers of a text whose characters all have one place."""
+    for pieces in escapes(text):
+        at, out = 0, []
+        for a, b, new in pieces:
+            out += [text[at:a], new]
+            at = b
+        yield "".join([*out, text[at:]])
     for m in BASE64.finditer(text):
+        yield from opened(m[0], most)
+
+
+def digest(*parts: bytes) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for part in parts:
+        h.update(len(part).to_bytes(8))
+        h.update(part)
+    return h.digest()
+
+
+def within(segment: str, most: int) -> tuple[dict[str, int], int, int]:
+    """What a base64 segment holds at any depth, wherever it stands: kinds with the least depth, layers, oversized ones."""
+    kinds: dict[str, int] = {}
+    n_layers = oversized = 0
+    seen: dict[bytes, int] = {}
+    stack = [opened(segment, most)]
+    while stack:
         try:
-            inner = from_base64(m[0], most)
-        except Oversized:
-            yield None
+            text = next(stack[-1])
+        except StopIteration:
+            stack.pop()
+            continue
+        depth = len(stack)
+        if text is None:
+            oversized += 1
+            continue
+        key = digest(text.encode(errors="surrogatepass"))
+        if not text or seen.get(key, depth + 1) <= depth:
             continue
-        if inner is not None:
-            yield inner, np.full(len(inner), starts[m.start()]), np.full(len(inner), ends[m.end() - 1])
+        spans = scan(text)
+        n_layers += key not in seen and bool(spans or not CONTROL.search(text))
+        seen[key] = depth
+        for kind, _, _ in spans:
+            kinds[kind] = min(kinds.get(kind, depth), depth)
+        stack.append(below(text, most))
+    return kinds, n_layers, oversized
 
 
 def find_secrets(text: str, most: int = MOST_INFLATED) -> tuple[list[tuple[str, int, int, int]], int, int]:
     """Spans (kind, start, end, depth) by start and kind, number of layers, number of oversized ones.
 
-    Depth 0 is the text itself; a span found at several depths has the least.
+    Depth 0 is the text itself; a span found at several depths has the least. A layer counts at each place
+    of the document, if it is free of control characters or holds a secret.
     """
     found = {s: 0 for s in scan(text)}
     n_layers = oversized = 0
     if "%" in text or "\\" in text or "&#" in text or BASE64.search(text):
-        seen, work = {text}, [(text, None, None, 0)]
+        known: dict[str, tuple[dict[str, int], int, int]] = {}
+        seen: dict[bytes, int] = {}
+        counted = set()
+        starts = np.arange(len(text))
+        work = [(text, starts, starts + 1, 0)]
         while work:
             current, starts, ends, depth = work.pop()
-            if starts is None:
-                starts = np.arange(len(current))
-                ends = starts + 1
-            for layer in layers(current, starts, ends, most):
-                if layer is None:
-                    oversized += 1
-                elif layer[0] and layer[0] not in seen:
-                    seen.add(layer[0])
-                    n_layers += 1
-                    work.append((*layer, depth + 1))
-                    for kind, a, b in scan(layer[0]):
-                        span = (kind, int(layer[1][a]), int(layer[2][b - 1]))
-                        found[span] = min(found.get(span, depth + 1), depth + 1)
+            for m in BASE64.finditer(current):
+                if m[0] not in known:
+                    known[m[0]] = within(m[0], most)
+                kinds, n, large = known[m[0]]
+                if not (kinds or n or large):
+                    continue
+                place = int(starts[m.start()]), int(ends[m.end() - 1])
+                if (m[0], place) not in counted:
+                    counted.add((m[0], place))
+                    n_layers += n
+                    oversized += large
+                for kind, more in kinds.items():
+                    found[(kind, *place)] = min(found.get((kind, *place), depth + more), depth + more)
+            for pieces in escapes(current):
+                layer, s, e = spliced(current, pieces, starts, ends)
+                key = digest(layer.encode(errors="surrogatepass"), s.tobytes(), e.tobytes())
+                if not layer or seen.get(key, depth + 2) <= depth + 1:
+                    continue
+                n_layers += key not in seen
+                seen[key] = depth + 1
+                work.append((layer, s, e, depth + 1))
+                for kind, a, b in scan(layer):
+                    span = (kind, int(s[a]), int(e[b - 1]))
+                    found[span] = min(found.get(span, depth + 1), depth + 1)
     order = sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return [(*s, found[s]) for s in order], n_layers, oversized
 

@@ -113,6 +113,29 @@ def test_cycles_and_bombs_end():
     assert secrets.find_secrets(bomb, most=1000)[2] == 1
 
 
+def test_repeated_segments_are_found_at_each_place():
+    for kind in ("base64", "gzip"):
+        part = layered(kind, f"see {SECRET} there")
+        text = f"a {part} b\n{part}\n" + layered("url", part)
+        places = {(a, b) for k, a, b, _ in secrets.find_secrets(text)[0] if k == "assign"}
+        assert {(2, 2 + len(part)), (5 + len(part), 5 + 2 * len(part)), (6 + 2 * len(part), len(text))} <= places
+
+
+def test_secrets_beside_bad_bytes_are_found():
+    raw = f"see {SECRET} there".encode()
+    pack = lambda data: base64.b64encode(data).decode()
+    nested = raw
+    for _ in range(12):
+        nested = gzip.compress(nested)
+    big = zlib.compress(b". " * 150_000 + raw + b" ." * 150_000)
+    for text in (
+        pack(b"\x1b[31m " + raw), pack(raw + b"\0"), pack(b"\xff\xfe " + raw), pack(gzip.compress(b"\x7f" + raw)), pack(gzip.compress(b"first") + gzip.compress(raw)),
+        pack(nested), "%FF" + "".join(f"%{b:02X}" for b in raw) + "%C3", pack(big),
+    ):
+        assert "assign" in {k for k, *_ in secrets.find_secrets(text, most=100_000)[0]}
+    assert secrets.find_secrets(pack(big), most=100_000)[2] == 1
+
+
 def test_secret_query_rows(documents, nothing):
     found = secrets.scan_secrets(documents)
     assert found.count() == documents.count() and secrets.scan_secrets(nothing).count() == 0

@@ -5,7 +5,7 @@ whole text of all documents. In a text, tokens that look written to dodge a filt
 digits and symbols inside a word, spaced-out letters, letters repeated three times or more) become
 lattices of what may have been meant: each look-alike its letters, each gap nothing or a blank, each
 run one or two letters. The Viterbi path through a lattice under the language model is the restored
-text. A document's words, restored ones included, are then scored by how their beginnings (4 and 6
+text; stretches have no length limit, as the path keeps links back and not its text. A document's words, restored ones included, are then scored by how their beginnings (4 and 6
 letters) occur in labelled documents whose words went through the same channel.
 
 Learning labels uses at most ``most_labelled`` rows of each label, the first by a hash of doc_id,
@@ -41,6 +41,8 @@ LEAST_SHARE = 0.03
 LEAST_G = 30.0
 LEAST_WEIGHT = 2.0
 STARTS = (4, 6)
+#: Longer stretches are decoded each time, so that the memory of decoded ones stays small.
+MOST_REMEMBERED = 200
 #: What a look-alike may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 SYMBOLS = "".join(re.escape(c) for c in LOOKS)
@@ -106,7 +108,7 @@ class Speller:
         for before in range(4):
             c = counts.sum(axis=tuple(range(3 - before)))
             p = (c + 5.0 * np.broadcast_to(p, c.shape)) / (c.sum(axis=-1, keepdims=True) + 5.0)
-        self.scores = np.log(p).astype(np.float32).ravel()
+        self.scores = np.log(p).ravel().tolist()
         self.known: dict[str, str] = {}
 
     def lattice(self, token: str):
@@ -131,6 +133,8 @@ class Speller:
 
     def restore(self, token: str) -> str:
         token = token.lower()
+        if len(token) > MOST_REMEMBERED:
+            return self.decoded(token)
         if token not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -139,10 +143,10 @@ class Speller:
 
     def decoded(self, token: str) -> str:
         scores, cube = self.scores, LETTERS**3
-        paths = {0: (0.0, "")}
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for choices in self.lattice(token):
-            after: dict[int, tuple[float, str]] = {}
-            for context, (value, text) in paths.items():
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for context, (value, back) in paths.items():
                 for new, symbols, cost in choices:
                     c, v = context, value - cost
                     for s in symbols:
@@ -150,9 +154,14 @@ class Speller:
                         v += scores[gram]
                         c = gram % cube if s else 0
                     if c not in after or v > after[c][0]:
-                        after[c] = (v, text + new)
+                        after[c] = (v, (back, new) if new else back)
             paths = after
-        return max(((v + scores[c * LETTERS], t) for c, (v, t) in paths.items()), key=lambda x: x[0])[1]
+        back = max(((v + scores[c * LETTERS], t) for c, (v, t) in paths.items()), key=lambda x: x[0])[1]
+        out = []
+        while back:
+            back, new = back
+            out.append(new)
+        return "".join(reversed(out))
 
 
 def restored(text: str, speller: Speller) -> list[tuple[int, int, str]]:
@@ -162,7 +171,7 @@ def restored(text: str, speller: Speller) -> list[tuple[int, int, str]]:
     found = [m.span() for pattern in (SPACED, LOOKALIKE, REPEATED) for m in pattern.finditer(text)]
     out, end = [], 0
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
-        if a >= end and b - a <= 200:
+        if a >= end:
             out.append((a, b, speller.restore(text[a:b])))
             end = b
     return out

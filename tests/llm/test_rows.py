@@ -213,6 +213,15 @@ def test_toxicity_finds_plain_and_hidden_words(toxic_tables):
     assert found[2000].score == found[2001].score and 0 <= found[2000].score < 0.5 and found[2002].score < 0.5
 
 
+def test_long_stretches_are_restored(spark, toxic_tables):
+    docs, _ = toxic_tables
+    speller = toxicity.Speller([tuple(r) for r in toxicity.count_grams(docs).collect()])
+    for text in ("idi" + "o" * 900 + "t", " ".join("idiot" * 60), "x " + " ".join("worthless" * 4000)):
+        ((a, b, new),) = toxicity.restored(text, speller)
+        assert b - a > 200 and b == len(text)
+        assert new == "idiot" if "oo" in text else new.replace(" ", "").count("worthless" if "w" in text else "idiot") > 50
+
+
 def test_toxicity_without_labels(toxic_tables, nothing):
     docs, labels = toxic_tables
     assert {r.score for r in toxicity.score_toxicity(docs.limit(9), labels.limit(0)).collect()} == {0.0}

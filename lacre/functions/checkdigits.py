@@ -1,15 +1,15 @@
-"""Check digits of Brazilian identifiers as native boolean columns.
+"""Check digits of Brazilian identifiers as native boolean expressions.
 
-Every function takes a string column and is false, never an error, for what it cannot be: null,
-other characters than digits and the separators ``. - /`` and blank, or the wrong length.
+Every function takes the SQL of a string and gives the SQL of a condition, which is false, never
+null or an error, for what the string cannot be: null, other characters than digits and the
+separators ``. - /`` and blank, or the wrong length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import chosen, let
 
 #: Area codes in use.
 DDDS = tuple(
@@ -18,111 +18,116 @@ DDDS = tuple(
 )
 
 
-def digits_of(value: Column) -> Column:
+def digits_of(value: str) -> str:
     """The digits without separators; null where there is anything else or nothing."""
-    bare = F.translate(value, ".-/ ", "")
-    return F.when(bare.rlike("^[0-9]+$") & ~bare.contains("\n"), bare)
+    return let(f"translate({value}, '.-/ ', '')", lambda d: f"CASE WHEN {d} RLIKE r'^[0-9]+\\z' THEN {d} END")
 
 
-def let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def digit(d: Column, i: int) -> Column:
+def digit(d: str, i: int) -> str:
     """The i-th digit, from 1."""
-    return F.ascii(F.substring(d, i, 1)) - 48
+    return f"(ascii(substr({d}, {i}, 1)) - 48)"
 
 
-def weighted(d: Column, weights: Sequence[int], first: int = 1) -> Column:
-    total = digit(d, first) * weights[0]
-    for i, w in enumerate(weights[1:], first + 1):
-        total = total + digit(d, i) * w
-    return total
+def weighted(d: str, weights: Sequence[int], first: int = 1) -> str:
+    return "(" + " + ".join(f"ascii(substr({d}, {i}, 1)) * {w}" for i, w in enumerate(weights, first)) + f" - {48 * sum(weights)})"
 
 
-def mod11(d: Column, weights: Sequence[int]) -> Column:
+def mod11(d: str, weights: Sequence[int]) -> str:
     """11 minus the weighted sum's remainder, 0 for what would be 10 or 11."""
-    return let(weighted(d, weights) % 11, lambda rest: F.when(rest < 2, 0).otherwise(11 - rest))
+    return let(f"{weighted(d, weights)} % 11", lambda rest: f"if({rest} < 2, 0, 11 - {rest})")
 
 
-def _varied(d: Column) -> Column:
-    return ~d.rlike(r"^(\d)\1*$")
+def varied(d: str) -> str:
+    """Not all digits are the same."""
+    return f"translate({d}, left({d}, 1), '') <> ''"
 
 
-def _sure(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def _check(value: str, size: int, rule) -> str:
+    """Whether the digits of a value have the size and keep the rule."""
+    return f"coalesce({let(digits_of(value), lambda d: f'CASE WHEN length({d}) = {size} THEN {rule(d)} END')}, false)"
 
 
-def _check(value: Column, size: int, rule) -> Column:
-    """Whether the digits of a value have the size and keep the rule."""
-    return _sure(let(digits_of(value), lambda d: F.when(F.length(d) == size, rule(d))))
+# The rules take the SQL of a string of as many digits as they need.
 
 
-def is_cpf(value: Column) -> Column:
-    return _check(value, 11, lambda d: _varied(d) & (digit(d, 10) == mod11(d, range(10, 1, -1))) & (digit(d, 11) == mod11(d, range(11, 1, -1))))
+def cpf(d: str) -> str:
+    return f"({digit(d, 10)} = {mod11(d, range(10, 1, -1))} AND {digit(d, 11)} = {mod11(d, range(11, 1, -1))} AND {varied(d)})"
 
 
-def is_cnpj(value: Column) -> Column:
+def cnpj(d: str) -> str:
     second = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
-    return _check(value, 14, lambda d: _varied(d) & (digit(d, 13) == mod11(d, second[1:])) & (digit(d, 14) == mod11(d, second)))
-
+    return f"({digit(d, 13)} = {mod11(d, second[1:])} AND {digit(d, 14)} = {mod11(d, second)} AND {varied(d)})"
 
-def is_pis(value: Column) -> Column:
-    return _check(value, 11, lambda d: _varied(d) & (digit(d, 11) == mod11(d, (3, 2, 9, 8, 7, 6, 5, 4, 3, 2))))
 
+def pis(d: str) -> str:
+    return f"({digit(d, 11)} = {mod11(d, (3, 2, 9, 8, 7, 6, 5, 4, 3, 2))} AND {varied(d)})"
 
-def is_titulo_eleitor(value: Column) -> Column:
-    def rule(d: Column) -> Column:
-        state = digit(d, 9) * 10 + digit(d, 10)
 
-        def dv(total: Column) -> Column:
-            return let(total % 11, lambda rest: F.when(rest == 0, F.when(state.isin(1, 2), 1).otherwise(0)).when(rest == 10, 0).otherwise(rest))
+def titulo_eleitor(d: str) -> str:
+    state = f"({digit(d, 9)} * 10 + {digit(d, 10)})"
 
-        second = let(dv(weighted(d, range(2, 10))), lambda first: F.when(digit(d, 11) == first, dv(digit(d, 9) * 7 + digit(d, 10) * 8 + first * 9)))
-        return state.between(1, 28) & (digit(d, 12) == second)
+    def dv(total: str) -> str:
+        return let(f"{total} % 11", lambda rest: chosen([(f"{rest} = 0", f"if({state} IN (1, 2), 1, 0)"), (f"{rest} = 10", "0")], rest))
 
-    return _check(value, 12, rule)
+    second = let(dv(weighted(d, range(2, 10))), lambda first: f"CASE WHEN {digit(d, 11)} = {first} THEN {dv(f'({digit(d, 9)} * 7 + {digit(d, 10)} * 8 + {first} * 9)')} END")
+    return f"({state} BETWEEN 1 AND 28 AND {digit(d, 12)} = {second})"
 
 
-def is_cnh(value: Column) -> Column:
-    def rule(d: Column) -> Column:
-        rest = weighted(d, range(9, 0, -1)) % 11
-        less = F.when(rest >= 10, 2).otherwise(0)
-        second = let(F.pmod(weighted(d, range(1, 10)) % 11 - less, F.lit(11)), lambda x: F.when(x >= 10, 0).otherwise(x))
-        return _varied(d) & (digit(d, 10) == let(rest, lambda r: F.when(r >= 10, 0).otherwise(r))) & (digit(d, 11) == second)
+def cnh(d: str) -> str:
+    def fits(rest: str) -> str:
+        second = let(f"pmod({weighted(d, range(1, 10))} % 11 - if({rest} >= 10, 2, 0), 11)", lambda x: f"if({x} >= 10, 0, {x})")
+        return f"({digit(d, 10)} = if({rest} >= 10, 0, {rest}) AND {digit(d, 11)} = {second} AND {varied(d)})"
 
-    return _check(value, 11, rule)
+    return let(f"{weighted(d, range(9, 0, -1))} % 11", fits)
 
 
-def is_cns(value: Column) -> Column:
-    def tail(total: Column) -> Column:
+def cns(d: str) -> str:
+    def tail(total: str) -> str:
         # 11 becomes 0; 10 does not fit and moves on to a sum of two more, with suffix 001.
-        plain, moved = 11 - total % 11, 11 - (total + 2) % 11
-        return F.when(plain == 10, F.concat(F.lit("001"), moved.cast("string"))).when(plain == 11, F.lit("0000")).otherwise(F.concat(F.lit("000"), plain.cast("string")))
+        return let(f"11 - {total} % 11", lambda plain: chosen([(f"{plain} = 10", f"concat('001', cast(11 - ({total} + 2) % 11 AS string))"), (f"{plain} = 11", "'0000'")], f"concat('000', cast({plain} AS string))"))
+
+    final = f"substr({d}, 12, 4) = {let(weighted(d, range(15, 4, -1)), tail)}"
+    interim = f"{weighted(d, range(15, 0, -1))} % 11 = 0"
+    return chosen([(f"left({d}, 1) IN ('1', '2')", final), (f"left({d}, 1) IN ('7', '8', '9')", interim)])
+
+
+def processo_cnj(d: str) -> str:
+    return f"(98 - cast(cast(concat(substr({d}, 1, 7), substr({d}, 10, 11), '00') AS decimal(38, 0)) % 97 AS int) = {digit(d, 8)} * 10 + {digit(d, 9)})"
+
+
+def is_cpf(value: str) -> str:
+    return _check(value, 11, cpf)
+
+
+def is_cnpj(value: str) -> str:
+    return _check(value, 14, cnpj)
+
+
+def is_pis(value: str) -> str:
+    return _check(value, 11, pis)
+
+
+def is_titulo_eleitor(value: str) -> str:
+    return _check(value, 12, titulo_eleitor)
+
 
-    def rule(d: Column) -> Column:
-        final = F.substring(d, 12, 4) == let(weighted(d, range(15, 4, -1)), tail)
-        interim = weighted(d, range(15, 0, -1)) % 11 == 0
-        return F.when(digit(d, 1).isin(1, 2), final).when(digit(d, 1).isin(7, 8, 9), interim)
+def is_cnh(value: str) -> str:
+    return _check(value, 11, cnh)
 
-    return _check(value, 15, rule)
 
+def is_cns(value: str) -> str:
+    return _check(value, 15, cns)
 
-def is_processo_cnj(value: Column) -> Column:
-    def rule(d: Column) -> Column:
-        base = F.concat(F.substring(d, 1, 7), F.substring(d, 10, 11), F.lit("00")).cast("decimal(38,0)")
-        return 98 - (base % 97).cast("int") == digit(d, 8) * 10 + digit(d, 9)
 
-    return _check(value, 20, rule)
+def is_processo_cnj(value: str) -> str:
+    return _check(value, 20, processo_cnj)
 
 
-def is_luhn(value: Column) -> Column:
-    return _sure(let(digits_of(value), lambda d: F.when(F.length(d) >= 2, F.call_function("luhn_check", d))))
+def is_luhn(value: str) -> str:
+    return f"coalesce({let(digits_of(value), lambda d: f'CASE WHEN length({d}) >= 2 THEN luhn_check({d}) END')}, false)"
 
 
-def is_phone(area: Column, subscriber: Column) -> Column:
+def is_phone(area: str, subscriber: str) -> str:
     """Area code in use; nine digits from 9, or eight from 2 to 5."""
-    first = digit(subscriber, 1)
-    form = F.when(F.length(subscriber) == 9, first == 9).otherwise(first.between(2, 5))
-    return _sure(area.cast("int").isin(*DDDS) & form)
+    form = f"if(length({subscriber}) = 9, left({subscriber}, 1) = '9', left({subscriber}, 1) IN ('2', '3', '4', '5'))"
+    return f"coalesce(try_cast({area} AS int) IN ({', '.join(map(str, DDDS))}) AND {form}, false)"

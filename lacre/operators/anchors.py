@@ -5,11 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.checkdigits import let
 from ..functions.spans import ALNUM, last_span
+from ..functions.sql import chosen, let, lit, struct
 
 LABEL_WINDOW = 40
 ADDRESS_WINDOW = 120
@@ -54,36 +51,39 @@ ADDRESS = [
 CITY_STATE = r"[A-ZÁ-Ú][a-zá-ú]+/[A-Z]{2}[\s\x1c-\x1f\x85\p{Z},.;:-]*\z"
 
 
-def labels_pattern(labels: Iterable[str]) -> str:
-    """Any of the labels as whole words, the longest first, in any case."""
-    ordered = sorted(dict.fromkeys(labels), key=len, reverse=True)
-    quoted = "|".join(re.sub(r"([.^$*+?()\[\]{}|\\/-])", r"\\\1", x) for x in ordered)
-    return f"(?iu)(?<!{ALNUM})(?:{quoted})(?!{ALNUM})"
+def whole_words(labels: Iterable[str]) -> str:
+    """Any of the labels between characters that are neither letters nor digits, in any case; of two that fit, the longer."""
+    names = sorted(set(labels), key=lambda x: (-len(x), x))
+    return rf"(?iu)(?<!{ALNUM})(?:{'|'.join(re.sub(r'([^\w\s])', r'\\\1', x) for x in names)})(?!{ALNUM})"
+
+
+#: One literal pattern for each type, one for what rules a candidate out, one that finds out whether there is any label.
+OF_TYPE = {name: whole_words(labels) for name, labels in POSITIVE.items()}
+ADMINISTRATIVE = whole_words(NEGATIVE)
+ADDRESS_WORD = whole_words(ADDRESS)
+ANY_LABEL = whole_words([x for labels in [*POSITIVE.values(), NEGATIVE] for x in labels])
 
 
-def label_of(window: Column, type_: Column) -> Column:
+def label_of(window: str, type_: str) -> str:
     """The last label of the row's own type, as written, or null."""
-    pattern = F.element_at(F.create_map(*(F.lit(x) for name, labels in POSITIVE.items() for x in (name, labels_pattern(labels)))), type_)
-    return last_span(window, pattern)["text"]
+    return chosen((f"{type_} = '{name}'", f"{last_span(window, pattern)}.text") for name, pattern in OF_TYPE.items())
 
 
-def nearest(window: Column, types: Iterable[str], only: Column | None = None) -> Column:
-    """struct<start, size, place, type, text>: the last label of any type; the longer one wins a tie, then the first type."""
-    options = F.array(*(F.struct(F.lit(-place).alias("place"), F.lit(name).alias("type"), F.lit(labels_pattern(POSITIVE[name])).alias("pattern")) for place, name in enumerate(types)))
-    if only is not None:
-        options = F.filter(options, lambda o: F.array_contains(only, o["type"]))
+def nearest(window: str, types: Iterable[str], only: str | None = None) -> str:
+    """struct<start, size, place, type>: the last label of any type; the longer one wins a tie, then the first type."""
 
-    def found(o: Column) -> Column:
-        return let(last_span(window, o["pattern"]), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.length(s["text"]).alias("size"), o["place"].alias("place"), o["type"].alias("type"), s["text"].alias("text"))))
+    def found(place: int, name: str) -> str:
+        own = let(last_span(window, OF_TYPE[name]), lambda s: f"if({s} IS NULL, null, {struct(start=f'{s}.start', size=f'length({s}.text)', place=str(-place), type=lit(name))})")
+        return own if only is None else f"if(array_contains({only}, '{name}'), {own}, null)"
 
-    return F.array_max(F.transform(options, found))
+    return f"array_max(array({', '.join(found(place, name) for place, name in enumerate(types))}))"
 
 
-def ruled_out(negative: Column, positive: Column) -> Column:
+def ruled_out(negative: str, positive: str) -> str:
     """Whether the nearest label is administrative: a label of a type at the same place or later cancels it."""
-    return negative.isNotNull() & (positive.isNull() | (positive["start"] < negative["start"]))
+    return f"if({negative} IS NULL, false, {let(positive, lambda p: f'({p} IS NULL OR {p}.start < {negative}.start)')})"
 
 
-def in_address(window: Column) -> Column:
+def in_address(window: str) -> str:
     """Whether the text before the candidate reads like an address."""
-    return window.rlike(CITY_STATE) | window.rlike(labels_pattern(ADDRESS))
+    return f"({window} RLIKE {lit(CITY_STATE)} OR {window} RLIKE {lit(ADDRESS_WORD)})"

@@ -1,21 +1,26 @@
 """Detection of personal data: 17 detectors, and one more for text from OCR.
 
-Texts are searched where they are: each pattern is a native column over the normalised text, behind
-a cheap gate. Only what matches becomes a row of its own, with its place and the 120 characters
-before it, so that check digits, labels and confidence are plain columns over small rows; the texts
-themselves are never repeated nor shuffled.
+A text is searched where it is: each written form is a literal pattern over the normalised text,
+behind a cheap gate. What matches becomes an array of candidates, each with its place and what stands
+before it; check digits come first, then labels, and what remains is an array of entities on the
+text's own row. There is no shuffle, no filter that would have the search written out twice, and no
+pattern that depends on the row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checkdigits as dv
-from ..functions.normalize import normalize, original_end, original_start
-from ..functions.spans import ALNUM, NUM, SPACES, WORDS, find_spans, last_span, search_window
+from ..functions.normalize import original_end, original_start, with_normal_form
+from ..functions.spans import ALNUM, NUM, SPACES, WORDS, clean, find_spans, last_span, search_window, searched, tail
+from ..functions.sql import chosen, let, lit, mapped, name, quoted, struct
+from ..model import ENTITY, ENTITY_FIELDS, METHODS
 from ..session import ship
-from .anchors import ADDRESS_WINDOW, LABEL_WINDOW, NEGATIVE, POSITIVE, in_address, label_of, labels_pattern, nearest, ruled_out
+from .anchors import ADDRESS_WINDOW, ADMINISTRATIVE, ANY_LABEL, LABEL_WINDOW, OF_TYPE, POSITIVE, in_address, label_of, nearest, ruled_out
 
 #: Confidence with a label, in canonical form, in another form, and where several types fit.
 LABELLED, CANONICAL, IRREGULAR, AMBIGUOUS = 0.99, 0.95, 0.85, 0.6
@@ -42,35 +47,47 @@ LOOSE_CPF = rf"{NUM}{{3}}\.{NUM}{{3}}\.{NUM}{{3}}-{NUM}{{2}}|{NUM}{{11}}"
 LOOSE_PHONE = rf"\+?[{SPACES}]?(?:55[{SPACES}.-]?)?(?:\({NUM}{{2}}\)|{NUM}{{2}})[{SPACES}.-]?{NUM}{{4,5}}[{SPACES}.-]?{NUM}{{4}}"
 
 
+def at_least(n: int) -> str:
+    return rf"{NUM}(?:[.\-/ ]?{NUM}){{{n - 1}}}"
+
+
 def email(sign: str) -> str:
     return rf"(?<![{WORDS}.+-])[A-Za-z0-9._%+-]+{sign}{HOST}(?:\.{HOST})+(?![{WORDS}-])"
 
 
-#: name of the form: (pattern, gate, ((type, detector), ...)). The order of detectors is that of the last column.
+#: name of the form: (pattern, what a text must have to be searched for it, types that a literal of it may be).
 FORMS = {
-    "run11": (run_of(11), rf"(?:{NUM}[.\-/ ]?){{10}}{NUM}", (("CPF", "cpf_dv"), ("PIS", "pis_dv"), ("CNH", "cnh_dv"))),
-    "run14": (run_of(14), rf"(?:{NUM}[.\-/ ]?){{13}}{NUM}", (("CNPJ", "cnpj_dv"),)),
-    "run12": (run_of(12), rf"(?:{NUM}[.\-/ ]?){{11}}{NUM}", (("TITULO_ELEITOR", "titulo_eleitor_dv"),)),
-    "run15": (run_of(15), rf"(?:{NUM}[.\-/ ]?){{14}}{NUM}", (("CNS", "cns_dv"),)),
-    "run20": (run_of(20), rf"(?:{NUM}[.\-/ ]?){{19}}{NUM}", (("PROCESSO_CNJ", "processo_cnj_dv"),)),
-    "card": (f"{BEFORE}{CARD}{AFTER}", rf"{NUM}{{4}}", (("CARTAO_CREDITO", "cartao_credito_luhn"),)),
-    "email": (email("@"), "@", (("EMAIL", "email_padrao"),)),
-    "phone": (rf"(?<!{ALNUM}){PHONE}{AFTER}", rf"{NUM}{{4}}", (("TELEFONE", "telefone_padrao"),)),
-    "cep": (rf"{BEFORE}{NUM}{{5}}-?{NUM}{{3}}{AFTER}", rf"{NUM}{{5}}", (("CEP", "cep_padrao"),)),
-    "masked": (rf"{BEFORE}{GROUP3}\.{GROUP3}\.{GROUP3}-{GROUP2}{AFTER}", rf"[{NUM}*Xx]{{3}}\.", (("CPF_MASCARADO", "cpf_mascarado_padrao"),)),
-    "rg": (rf"{BEFORE}(?:{NUM}{{1,2}}\.{NUM}{{3}}\.{NUM}{{3}}-?[0-9Xx]|{NUM}{{7,9}}[Xx]?){AFTER}", rf"{NUM}{{3}}", (("RG", "rg_contextual"),)),
-    "account": (rf"{BEFORE}{NUM}{{3,12}}(?:-[0-9Xx])?{AFTER}", rf"{NUM}{{3}}", (("AGENCIA_CONTA", "agencia_conta_contextual"),)),
-    "pix": (rf"(?<![{WORDS}.+-])(?:{UUID}|{LOOSE_EMAIL}|{LOOSE_CPF}|{LOOSE_PHONE})", rf"[{NUM}@]|[0-9a-fA-F]{{8}}-", (("CHAVE_PIX", "chave_pix_contextual"),)),
-    "cid": (rf"(?<!{ALNUM})[A-Z]{NUM}{{2}}(?:\.{NUM})?(?!{ALNUM})", rf"[A-Z]{NUM}", (("CID", "cid_contextual"),)),
-    "date": (rf"{BEFORE}(?:{NUM}{{2}}/{NUM}{{2}}/{NUM}{{4}}|{NUM}{{2}}\.{NUM}{{2}}\.{NUM}{{4}}|{NUM}{{4}}-{NUM}{{2}}-{NUM}{{2}}){AFTER}", rf"{NUM}{{2}}[/.-]{NUM}{{2}}", (("DATA_NASCIMENTO", "data_nascimento_contextual"),)),
+    "run11": (run_of(11), (at_least(11),), ("CPF", "PIS", "CNH")),
+    "run12": (run_of(12), (at_least(12),), ("TITULO_ELEITOR",)),
+    "run14": (run_of(14), (at_least(14),), ("CNPJ",)),
+    "run15": (run_of(15), (at_least(15),), ("CNS",)),
+    "run20": (run_of(20), (at_least(20),), ("PROCESSO_CNJ",)),
+    "card": (f"{BEFORE}{CARD}{AFTER}", (at_least(13),), ("CARTAO_CREDITO",)),
+    "email": (email("@"), ("@",), ("EMAIL",)),
+    "phone": (rf"(?<!{ALNUM}){PHONE}{AFTER}", (rf"{NUM}{{2}}\)?[{SPACES}.-]?{NUM}{{4}}",), ("TELEFONE",)),
+    "cep": (rf"{BEFORE}{NUM}{{5}}-?{NUM}{{3}}{AFTER}", (rf"{NUM}{{5}}-?{NUM}{{3}}",), ("CEP",)),
+    "masked": (rf"{BEFORE}{GROUP3}\.{GROUP3}\.{GROUP3}-{GROUP2}{AFTER}", (rf"[{NUM}*Xx]{{3}}\.",), ("CPF_MASCARADO",)),
+    "rg": (rf"{BEFORE}(?:{NUM}{{1,2}}\.{NUM}{{3}}\.{NUM}{{3}}-?[0-9Xx]|{NUM}{{7,9}}[Xx]?){AFTER}", (rf"{NUM}{{3}}",), ("RG",)),
+    "account": (rf"{BEFORE}{NUM}{{3,12}}(?:-[0-9Xx])?{AFTER}", (rf"{NUM}{{3}}",), ("AGENCIA_CONTA",)),
+    "pix": (rf"(?<![{WORDS}.+-])(?:{UUID}|{LOOSE_EMAIL}|{LOOSE_CPF}|{LOOSE_PHONE})", ("@", rf"{NUM}{{3}}", "-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-"), ("CHAVE_PIX",)),
+    "cid": (rf"(?<!{ALNUM})[A-Z]{NUM}{{2}}(?:\.{NUM})?(?!{ALNUM})", (rf"[A-Z]{NUM}{{2}}",), ("CID",)),
+    "date": (rf"{BEFORE}(?:{NUM}{{2}}/{NUM}{{2}}/{NUM}{{4}}|{NUM}{{2}}\.{NUM}{{2}}\.{NUM}{{4}}|{NUM}{{4}}-{NUM}{{2}}-{NUM}{{2}}){AFTER}", (rf"{NUM}{{2}}[/.-]{NUM}{{2}}",), ("DATA_NASCIMENTO",)),
+}
+#: Forms without any two digits that at most a separator parts; all others need such.
+WITHOUT_DIGITS = ("email", "masked", "pix")
+TWO_DIGITS = at_least(2)
+DETECTORS = {
+    "CPF": "cpf_dv", "CNPJ": "cnpj_dv", "PIS": "pis_dv", "CNH": "cnh_dv", "TITULO_ELEITOR": "titulo_eleitor_dv", "CNS": "cns_dv", "PROCESSO_CNJ": "processo_cnj_dv",
+    "CARTAO_CREDITO": "cartao_credito_luhn", "EMAIL": "email_padrao", "TELEFONE": "telefone_padrao", "CEP": "cep_padrao", "CPF_MASCARADO": "cpf_mascarado_padrao", "RG": "rg_contextual",
+    "AGENCIA_CONTA": "agencia_conta_contextual", "CHAVE_PIX": "chave_pix_contextual", "CID": "cid_contextual", "DATA_NASCIMENTO": "data_nascimento_contextual",
 }
-OCR_FORM = ("email_ocr", email("&"), "&", (("EMAIL", "email_ocr_ambiguo"),))
-DETECTORS = tuple(d for _, _, group in FORMS.values() for _, d in group)
-#: A label of the contextual forms is always of one of a few lines; a text without any is not searched for them.
+OCR_FORM, OCR_CONTEXT = "email_ocr", "email_ocr_ambiguo"
+#: Types that are found only behind a label of their own; a text without any is not searched for them.
 CONTEXTUAL = ("RG", "AGENCIA_CONTA", "CHAVE_PIX", "CID", "DATA_NASCIMENTO")
 DOCUMENT = ("CPF", "CNPJ", "PIS", "CNH", "TITULO_ELEITOR", "CNS", "PROCESSO_CNJ", "CARTAO_CREDITO")
 FRAGILE_IN_OCR = ("RG",)
-OCR_CONTEXT = "email_ocr_ambiguo"
+#: Takes the normalised text and gives array<struct<type, start, end, confidence, detector>> with offsets of it.
+Detector = Callable[[Column], Column]
 
 #: The canonical forms.
 CANON = {
@@ -83,101 +100,161 @@ CANON = {
     "PROCESSO_CNJ": rf"{NUM}{{7}}-{NUM}{{2}}\.{NUM}{{4}}\.{NUM}\.{NUM}{{2}}\.{NUM}{{4}}|{NUM}{{20}}",
     "CARTAO_CREDITO": rf"{NUM}{{4}} {NUM}{{4}} {NUM}{{4}} {NUM}{{4}}|{NUM}{{13,19}}",
 }
-CHECKS = {
-    "CPF": dv.is_cpf, "CNPJ": dv.is_cnpj, "PIS": dv.is_pis, "CNH": dv.is_cnh, "TITULO_ELEITOR": dv.is_titulo_eleitor,
-    "CNS": dv.is_cns, "PROCESSO_CNJ": dv.is_processo_cnj, "CARTAO_CREDITO": dv.is_luhn,
+#: Digits of a literal: the types it may be of, and their rules.
+RULES = {
+    11: {"CPF": dv.cpf, "PIS": dv.pis, "CNH": dv.cnh}, 12: {"TITULO_ELEITOR": dv.titulo_eleitor}, 14: {"CNPJ": dv.cnpj}, 15: {"CNS": dv.cns}, 20: {"PROCESSO_CNJ": dv.processo_cnj},
 }
 
 
-def _matches(forms: dict) -> Column:
-    """array<struct<form, n_start, start, end, raw, window>> of all forms over _n and text."""
-    n, offsets = F.col("_n.text"), F.col("_n.map")
-    found = []
+def _valid_types(raw: str) -> str:
+    """The document types whose form a literal of one of the runs or the card's has and whose check digits hold."""
+
+    def fitting(d: str) -> str:
+        card = f"if(length({d}) BETWEEN 13 AND 19 AND luhn_check({d}) AND {raw} RLIKE {lit(rf'^{CARD}\z')}, 'CARTAO_CREDITO', null)"
+        of_size = {n: [f"if({rule(d)}, '{t}', null)" for t, rule in rules.items()] + ([card] if 13 <= n <= 19 else []) for n, rules in RULES.items()}
+        cases = chosen(((f"length({d}) = {n}", f"array({', '.join(options)})") for n, options in of_size.items()), f"array({card})")
+        return f"if({d} RLIKE r'^[0-9]+\z', array_compact({cases}), cast(array() AS array<string>))"
+
+    return let(f"translate({raw}, '.-/ ', '')", fitting)
+
+
+def _plausible_phone(raw: str) -> str:
+    """Area code and subscriber's number follow from the digits: a country code comes with a plus sign only."""
+    return let(f"substr(regexp_replace({raw}, {lit(r'\P{Nd}')}, ''), if(startswith({raw}, '+'), 3, 1))", lambda d: dv.is_phone(f"left({d}, 2)", f"substr({d}, 3)"))
+
+
+def _searched(n: str, wanted: set[str], ocr: str | None) -> tuple[dict[str, tuple[str, str]], dict[str, list[str]]]:
+    """The forms to look for, with their patterns and conditions, and the types that each may be of."""
+    forms, types_of = {}, {}
+    for form, (pattern, gates, types) in FORMS.items():
+        own = [t for t in types if t in wanted]
+        condition = "(" + " OR ".join(f"contains({n}, '{g}')" if len(g) == 1 else f"{n} RLIKE {lit(g)}" for g in gates) + ")"
+        if form not in WITHOUT_DIGITS:
+            condition = f"_digits AND {condition}"
+        if types[0] in CONTEXTUAL:
+            condition += f" AND {n} RLIKE {lit(OF_TYPE[types[0]])}"
+        if own:
+            forms[form], types_of[form] = (pattern, condition), own
+    if ocr and "EMAIL" in wanted:
+        forms[OCR_FORM], types_of[OCR_FORM] = (email("&"), f"`{ocr}` AND contains({n}, '&')"), ["EMAIL"]
+    return forms, types_of
+
+
+def _candidates(parts: str, types_of: dict[str, list[str]]) -> str:
+    """array<struct<start, text, before, type, ocr, valid>>: the matches that their types' own rules accept."""
+    documents = [form for form in types_of if types_of[form][0] in DOCUMENT] or ["none"]
+
+    def accepted(m: str) -> str:
+        raw, form = f"{m}.text", f"{m}.form"
+        types = chosen((f"{form} = '{f}'", f"array({quoted(types_of[f])})") for f in types_of)
+        of_form = f"CASE WHEN {form} = 'phone' AND NOT {_plausible_phone(raw)} THEN null WHEN {form} = 'masked' AND NOT {raw} RLIKE '[*Xx]' THEN null ELSE {types} END"
+
+        def typed(v: str) -> str:
+            own = f"if({v} IS NULL, {of_form}, array_intersect({types}, {v}))"
+            return mapped(own, lambda t: struct(start=f"{m}.start", text=raw, before=f"{m}.before", type=t, ocr=f"{form} = '{OCR_FORM}'", valid=v))
+
+        return let(f"if({form} IN ({quoted(documents)}), {_valid_types(raw)}, null)", typed)
 
-    def named(name: str):
-        return lambda m: F.struct(F.lit(name).alias("form"), m["start"].alias("start"), m["text"].alias("raw"))
+    return f"flatten(array_compact({mapped(find_spans(parts), accepted)}))"
 
-    for name, (pattern, gate, group) in forms.items():
-        spans = find_spans(n, pattern, gate)
-        if group[0][0] in CONTEXTUAL:
-            spans = F.when(n.rlike(gate) & n.rlike(labels_pattern(POSITIVE[group[0][0]])), spans).otherwise(F.array().cast("array<struct<start: int, text: string>>"))
-        found.append(F.transform(spans, named(name)))
 
-    def placed(m: Column) -> Column:
-        start, end = m["start"], m["start"] + F.length(m["raw"])
-        a, b = original_start(start, offsets), original_end(start, end, offsets)
-        return F.struct(m["form"].alias("form"), start.alias("n_start"), a.alias("start"), b.alias("end"), m["raw"].alias("raw"), search_window(n, start, ADDRESS_WINDOW).alias("window"))
+def _judged(c: str) -> str:
+    """The entity that a candidate is by its labels, with offsets of the normalised text, or null."""
+    kind, raw, valid = f"{c}.type", f"{c}.text", f"{c}.valid"
+    several = f"coalesce(size({valid}) > 1, false)"
+    rescued, contextual, document = f"{c}.ocr", f"{kind} IN ({quoted(CONTEXTUAL)})", f"{kind} IN ({quoted(DOCUMENT)})"
+    borrowed = lit(rf"^(?:{LOOSE_EMAIL}|{LOOSE_CPF}|{LOOSE_PHONE})\z")
+    canonical = chosen((f"{kind} = '{t}'", f"{raw} RLIKE {lit(rf'^(?:{form})' + chr(92) + 'z')}") for t, form in CANON.items())
 
-    return F.transform(F.concat(*found), placed)
+    def labels(w: str) -> str:
+        def found(some: str) -> str:
+            return struct(
+                own=f"if({some} AND NOT {rescued}, {label_of(w, kind)}, null)", neg=f"if({some}, {last_span(w, ADMINISTRATIVE)}, null)",
+                chosen=f"if({some} AND {several}, {nearest(w, DOCUMENT, valid)}, null)", w=w,
+            )
 
+        return let(f"{w} RLIKE {lit(ANY_LABEL)}", found)
 
-def _valid_types(raw: Column) -> Column:
-    """The document types whose form the literal has and whose check digits hold."""
-    size = F.length(F.regexp_replace(raw, rf"\P{{Nd}}", ""))
-    fits = {
-        "CPF": size == 11, "PIS": size == 11, "CNH": size == 11, "TITULO_ELEITOR": size == 12, "CNPJ": size == 14, "CNS": size == 15, "PROCESSO_CNJ": size == 20,
-        "CARTAO_CREDITO": size.between(13, 19) & raw.rlike(rf"^{CARD}\z"),
-    }
-    return F.array_compact(F.array(*(F.when(fits[t] & CHECKS[t](raw), F.lit(t)) for t in DOCUMENT)))
+    def entity(window: str, x: str) -> str:
+        def judged(out: str) -> str:
+            stays = f"if({contextual}, {x}.own IS NOT NULL AND NOT {out}, {x}.own IS NOT NULL OR NOT {out}) AND (NOT {several} OR {x}.chosen IS NULL OR {x}.chosen.type = {kind})"
+            unsure = f"{kind} = 'CEP' AND {x}.own IS NULL AND NOT {in_address(window)}"
+            confidence = chosen(
+                [
+                    (rescued, WEAK), (several, f"if({x}.chosen IS NULL, {AMBIGUOUS}, {LABELLED})"), (f"{kind} = 'CHAVE_PIX' AND {raw} RLIKE {borrowed}", BORROWED),
+                    (f"{x}.own IS NOT NULL", LABELLED), (document, f"if({canonical}, {CANONICAL}, {IRREGULAR})"), (unsure, WEAK),
+                ],
+                PLAIN,
+            )
+            found = struct(
+                type=kind, start=f"{c}.start", end=f"{c}.start + length({raw})", text=raw, confidence=f"cast({confidence} AS double)", detector=f"if({rescued}, '{OCR_CONTEXT}', {chosen((f'{kind} = {lit(x)}', lit(d)) for x, d in DETECTORS.items())})", validated=document,
+                context=f"if({rescued}, '{OCR_CONTEXT}', {x}.own)", requires_review=f"({rescued} OR {kind} = 'CPF_MASCARADO' OR ({unsure}))",
+            )
+            return f"if({stays}, {found}, null)"
 
+        return let(ruled_out(f"{x}.neg", nearest(f"{x}.w", POSITIVE)), judged)
 
-def detect_candidates(texts: DataFrame, keys: tuple[str, ...], text: str = "text", ocr: str | None = None) -> DataFrame:
-    """Every detection, before disputes are settled: ``keys``, n_start, the entity's fields and ``ord``, its detector's place.
+    return let(search_window(f"{c}.before", ADDRESS_WINDOW), lambda w: let(labels_of(w, labels), lambda x: entity(w, x)))
 
-    ``ocr`` names a boolean column that says a text was read by OCR; the detector that rescues
-    e-mail addresses with a misread sign runs on those rows only.
+
+def labels_of(window: str, then) -> str:
+    return let(tail(window, LABEL_WINDOW), then)
+
+
+def bounded(entity: Column, size: Column) -> Column:
+    """``entity`` if it keeps the rules of one: 0 <= start < end <= size, confidence from 0 to 1. Else an error."""
+    sound = (entity["start"] >= 0) & (entity["start"] < entity["end"]) & (entity["end"] <= size) & entity["confidence"].between(0, 1)
+    text = F.concat(F.lit("detector "), F.coalesce(entity["detector"], F.lit("null")), F.lit(": span or confidence out of bounds, end "), F.coalesce(entity["end"].cast("string"), F.lit("null")))
+    return F.when(F.coalesce(sound, F.lit(False)), entity).otherwise(F.raise_error(text))
+
+
+def _foreign(detector: Detector, n: Column) -> Column:
+    """What a detector of the user's finds, held to the rules; its literal is cut from the normalised text."""
+
+    def entity(e: Column) -> Column:
+        return F.struct(
+            e["type"].alias("type"), e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), F.substring(n, e["start"] + 1, e["end"] - e["start"]).alias("text"),
+            e["confidence"].cast("double").alias("confidence"), e["detector"].alias("detector"), F.lit(False).alias("validated"), F.lit(None).cast("string").alias("context"), F.lit(False).alias("requires_review"),
+        )
+
+    return F.transform(detector(n), lambda e: entity(bounded(e, F.length(n))))
+
+
+def with_candidates(texts: DataFrame, text: str = "text", ocr: str | None = None, types: Iterable[str] | None = None, extra: Iterable[Detector] = ()) -> DataFrame:
+    """``texts`` with ``_found``: every detection, before disputes are settled, as an array of entities with ``ord`` and ``method``.
+
+    ``types`` names the types to look for, all by default: only their detectors run. ``extra`` are
+    further detectors of the user's. ``ocr`` names a boolean column that says a text was read by OCR;
+    the detector that rescues e-mail addresses with a misread sign runs on those rows only. A null
+    text has no detections.
     """
     ship(texts.sparkSession)
-    rows = texts.select(*keys, F.col(text).alias("text"), (F.coalesce(F.col(ocr), F.lit(False)) if ocr else F.lit(False)).alias("_ocr")).where("text IS NOT NULL")
-    rows = rows.withColumn("_n", normalize(F.col("text")))
-    matches = _matches(FORMS)
-    if ocr:
-        name, *form = OCR_FORM
-        matches = F.concat(matches, F.when(F.col("_ocr"), _matches({name: tuple(form)})).otherwise(F.slice(matches, 1, F.lit(0))))
-    text_of = F.substring(F.col("text"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
-    # explode_outer, as explode would have the matches computed once more for a filter on their number.
-    found = rows.withColumn("_m", matches).select(*keys, "text", F.explode_outer("_m").alias("m")).where("m IS NOT NULL").select(*keys, "m.*", text_of.alias("text"))
-    groups = {name: group for name, (_, _, group) in FORMS.items()} | {OCR_FORM[0]: OCR_FORM[3]}
-    of_form = F.create_map(*(F.lit(x) for name, group in groups.items() for x in (name, ",".join(f"{t}:{d}" for t, d in group))))
-    found = found.withColumn("_t", F.explode(F.split(F.element_at(of_form, F.col("form")), ",")))
-    found = found.withColumn("type", F.substring_index("_t", ":", 1)).withColumn("detector", F.substring_index("_t", ":", -1))
-
-    kind, raw = F.col("type"), F.col("raw")
-    is_document = kind.isin(*DOCUMENT)
-    found = found.withColumn("valid", F.when(is_document, _valid_types(raw)))
-    groups_of_phone = [F.regexp_extract(raw, f"^{PHONE}\\z", i) for i in range(1, 5)]
-    plausible = dv.is_phone(F.concat(groups_of_phone[0], groups_of_phone[1]), F.concat(groups_of_phone[2], groups_of_phone[3]))
-    accepted = F.when(is_document, F.array_contains("valid", kind)).when(kind == "TELEFONE", plausible).when(kind == "CPF_MASCARADO", raw.rlike("[*Xx]")).otherwise(True)
-    found = found.where(accepted)
-
-    label_window = F.right(F.col("window"), F.lit(LABEL_WINDOW))
-    found = found.withColumn("_w", label_window).withColumn("context", label_of(F.col("_w"), kind))
-    found = found.withColumn("_neg", last_span(F.col("_w"), labels_pattern(NEGATIVE)))
-    found = found.withColumn("_pos", F.when(F.col("_neg").isNotNull(), nearest(F.col("_w"), POSITIVE)))
-    out = ruled_out(F.col("_neg"), F.col("_pos"))
-    rescued = F.col("detector") == OCR_CONTEXT
-    contextual = kind.isin(*CONTEXTUAL)
-    stays = F.when(contextual, F.col("context").isNotNull() & ~out).when(rescued, ~out).otherwise(F.col("context").isNotNull() | ~out)
-    found = found.where(stays)
-    several = F.coalesce(F.size("valid"), F.lit(0)) > 1
-    found = found.withColumn("_own", F.when(several, nearest(F.col("_w"), DOCUMENT, F.col("valid"))))
-    found = found.where(~several | F.col("_own").isNull() | (F.col("_own.type") == kind))
-
-    canonical = F.call_function("rlike", raw, F.element_at(F.create_map(*(F.lit(x) for name, form in CANON.items() for x in (name, rf"^(?:{form})\z"))), kind))
-    labelled = F.col("context").isNotNull()
-    confidence = (
-        F.when(rescued, WEAK)
-        .when(several, F.when(F.col("_own").isNotNull(), LABELLED).otherwise(AMBIGUOUS))
-        .when((kind == "CHAVE_PIX") & raw.rlike(rf"^(?:{LOOSE_EMAIL}|{LOOSE_CPF}|{LOOSE_PHONE})\z"), BORROWED)
-        .when(labelled, LABELLED)
-        .when(is_document, F.when(canonical, CANONICAL).otherwise(IRREGULAR))
-        .when((kind == "CEP") & ~in_address(F.col("window")), WEAK)
-        .otherwise(PLAIN)
-    )
-    found = found.withColumn("confidence", confidence.cast("double"))
-    review = rescued | (kind == "CPF_MASCARADO") | ((kind == "CEP") & (F.col("confidence") <= WEAK))
-    order = F.array_position(F.array(*map(F.lit, [*DETECTORS, OCR_CONTEXT])), F.col("detector")).cast("int")
-    return found.select(
-        *keys, "n_start", "type", "start", "end", "text", "confidence", "detector", is_document.alias("validated"),
-        F.when(rescued, F.lit(OCR_CONTEXT)).otherwise(F.col("context")).alias("context"), review.alias("requires_review"), order.alias("ord"),
-    )
+    wanted = set(DETECTORS) if types is None else set(DETECTORS) & set(types)
+    rows = with_normal_form(texts, text)
+    rows = rows.withColumns({"_c": F.expr(clean("_n")), "_digits": F.expr(f"_n RLIKE {lit(TWO_DIGITS)}")})
+    forms, types_of = _searched("_c", wanted, ocr)
+    # Twice a reference keeps this a step of its own: the search is compiled code, what follows is not.
+    rows = rows.withColumn("_parts", F.expr(searched("_c", forms)) if forms else F.array())
+    entities = f"if(size(_parts) = 0, null, array_compact({mapped(_candidates('_parts', types_of), _judged)}))" if forms else "null"
+    judged = F.coalesce(F.expr(entities), F.array().cast(f"array<{ENTITY}>"))
+    judged = F.concat(judged, *(_foreign(d, F.col("_n")) for d in extra))
+
+    def anchored(e: str, i: str) -> str:
+        def placed(at: str) -> str:
+            # A text that is its own normal form has its literals at hand already.
+            literal = f"if(`{text}` <=> _c, {e}.text, substring(`{text}`, {at}.start + 1, {at}.end - {at}.start))"
+            method = chosen((f"{e}.type IN ({quoted(t for t in METHODS if METHODS[t] == m)})", lit(m)) for m in dict.fromkeys(METHODS.values()))
+            return struct(type=f"{e}.type", start=f"{at}.start", end=f"{at}.end", text=literal, **{f: f"{e}.{f}" for f in ("confidence", "detector", "validated", "context", "requires_review")}, n_start=f"{e}.start", ord=i, method=method)
+
+        return let(struct(start=original_start(f"{e}.start", "_map"), end=original_end(f"{e}.start", f"{e}.end", "_map")), placed)
+
+    e, i = name("e"), name("i")
+    rows = rows.withColumn("_j", judged)
+    return rows.withColumn("_found", F.expr(f"transform(_j, ({e}, {i}) -> {anchored(e, i)})")).drop("_n", "_map", "_c", "_digits", "_parts", "_j")
+
+
+def detect_candidates(texts: DataFrame, keys: tuple[str, ...], text: str = "text", ocr: str | None = None, types: Iterable[str] | None = None, extra: Iterable[Detector] = ()) -> DataFrame:
+    """Every detection as a row of its own: ``keys``, n_start (in the normalised text), the entity's fields and ``ord``, its place among them."""
+    rows = with_candidates(texts.select(*dict.fromkeys([*keys, text, *([ocr] if ocr else [])])), text, ocr, types, extra)
+    # explode_outer, as explode would have the search written out once more for a filter on its size.
+    return rows.select(*keys, F.explode_outer("_found").alias("_e")).where("_e IS NOT NULL").select(*keys, *(F.col(f"_e.{f}") for f in ("n_start", *ENTITY_FIELDS, "ord")))

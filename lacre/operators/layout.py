@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.masking import HIDDEN
+
 #: Slack of a line's edges, least gap of a blank and least overlap of a row, in heights.
 EDGE_SLACK, LEAST_GAP, LEAST_OVERLAP = 0.5, 0.25, 0.5
 LOW_CONFIDENCE = 60.0
@@ -122,6 +124,25 @@ def rectangles(characters: DataFrame, spans: DataFrame) -> DataFrame:
     return grouped.groupBy(*PAGE, "span_id", "_g").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).withColumnRenamed("_g", "n")
 
 
+def entity_rectangles(characters: DataFrame, entities: DataFrame) -> DataFrame:
+    """PAGE, span_id, n and a box for each rectangle that shows an entity: PAGE, span_id, type, start, end, por_ocr.
+
+    A CPF of a page that was not read by OCR is five boxes of one digit each, the ones to hide; anything
+    else one box around each of its visual lines. A span beyond the page is an error.
+    """
+    digits = (F.col("type") == "CPF") & ~F.coalesce(F.col("por_ocr"), F.lit(False))
+    sizes = characters.groupBy(*PAGE).agg(F.max("idx").alias("_last"))
+    sound = (F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.coalesce("_last", F.lit(-1)) + 1)
+    bad = F.raise_error(F.concat(F.lit("span beyond its page, end "), F.col("end").cast("string")))
+    held = entities.join(sizes, [*PAGE], "left").withColumn("end", F.when(sound, F.col("end")).otherwise(bad)).drop("_last")
+    whole = rectangles(characters, held.where(~digits).select(*PAGE, "span_id", "start", "end"))
+    inside = held.where(digits).select(*PAGE, "span_id", "start", "end").join(characters, [*PAGE]).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")) & F.col("char").rlike(r"\p{Nd}"))
+    place = F.row_number().over(W.partitionBy(*PAGE, "span_id").orderBy("idx")) - 1
+    hidden = inside.withColumn("_d", place).where(F.col("_d").isin(*HIDDEN)).withColumn("n", F.row_number().over(W.partitionBy(*PAGE, "span_id").orderBy("idx")))
+    columns = (*PAGE, "span_id", "n", *BOX)
+    return whole.select(*columns).unionByName(hidden.select(*columns))
+
+
 def routed(pages: DataFrame) -> DataFrame:
     """``por_ocr`` for each page: true for all pages of a document none of which has any text."""
     any_text = F.max(F.coalesce(~F.coalesce(is_space(F.col("text")), F.lit(True)) & (F.col("text") != ""), F.lit(False))).over(W.partitionBy("doc_id"))

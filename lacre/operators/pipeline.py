@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import types_table
-from .detect import FRAGILE_IN_OCR, detect_candidates
-from .resolve import resolve
+from ..model import ENTITY_FIELDS, types_table
+from .detect import FRAGILE_IN_OCR, Detector, with_candidates
+from .resolve import resolved
 
 
-def detect(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", ocr: str | None = None) -> DataFrame:
-    """The entities of each text, resolved. ``keys`` name a text; offsets are code points of it as given.
+def with_entities(texts: DataFrame, text: str = "text", ocr: str | None = None, types: Iterable[str] | None = None, extra: Iterable[Detector] = (), into: str = "entities") -> DataFrame:
+    """``texts`` with an array of the entities of each text, resolved and in reading order; no row moves.
 
     With ``ocr``, types that OCR reads badly are marked for review on the rows it is true for.
     """
-    keys_ocr = (*keys, ocr) if ocr else keys
-    found = resolve(detect_candidates(texts, keys_ocr, text, ocr), keys_ocr)
-    if not ocr:
-        return found
-    fragile = F.coalesce(F.col(ocr), F.lit(False)) & F.col("type").isin(*FRAGILE_IN_OCR)
-    return found.withColumn("requires_review", F.col("requires_review") | fragile)
+    found = with_candidates(texts, text, ocr, types, extra).withColumn("_found", F.expr(resolved("_found")))
+
+    def kept(e):
+        review = e["requires_review"]
+        if ocr:
+            review = review | (F.coalesce(F.col(ocr), F.lit(False)) & e["type"].isin(*FRAGILE_IN_OCR))
+        return F.struct(*((review if f == "requires_review" else e[f]).alias(f) for f in ENTITY_FIELDS))
+
+    return found.withColumn(into, F.coalesce(F.transform("_found", kept), F.array())).drop("_found")
+
+
+def rows_of(texts: DataFrame, keys: tuple[str, ...], entities: str = "entities") -> DataFrame:
+    """``keys``, ``ord`` (from 0, in reading order) and the fields of each entity of an array."""
+    # posexplode_outer, as posexplode would have what made the array written out once more for a filter on its size.
+    return texts.select(*keys, F.posexplode_outer(entities).alias("ord", "_e")).where("_e IS NOT NULL").select(*keys, "ord", *(F.col(f"_e.{f}") for f in ENTITY_FIELDS))
+
+
+def detect(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", ocr: str | None = None, types: Iterable[str] | None = None, extra: Iterable[Detector] = ()) -> DataFrame:
+    """The entities of each text, resolved, as rows. ``keys`` (and ``ocr``) are carried; offsets are code points of the text as given."""
+    columns = tuple(dict.fromkeys([*keys, *([ocr] if ocr else [])]))
+    return rows_of(with_entities(texts.select(*dict.fromkeys([*columns, text])), text, ocr, types, extra, into="_entities"), columns, "_entities")
 
 
 def with_action(entities: DataFrame, policy: DataFrame | None = None) -> DataFrame:

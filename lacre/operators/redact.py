@@ -6,62 +6,81 @@ digits; a CPF that came masked is left as it is and counted apart; published one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masking import hidden_places
+from ..functions.masking import HIDDEN
+from ..functions.spans import replaced
+from ..functions.sql import let, name, struct
+from ..model import TYPES
 
 BLOCK = "█"
+SPAN = "array<struct<start: int, end: int>>"
 
 
-def hidden_spans(entities: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``keys``, start, end of what to cover; ``entities`` have an action."""
-    covered = entities.where((F.col("acao") == "tarjar") & (F.col("type") != "CPF_MASCARADO"))
-    whole = F.array(F.struct(F.col("start").alias("start"), F.col("end").alias("end")))
-    parts = F.transform(hidden_places(F.when(F.col("type") == "CPF", F.col("text"))), lambda i: F.struct((F.col("start") + i).alias("start"), (F.col("start") + i + 1).alias("end")))
-    spans = F.when(F.col("type") == "CPF", parts).otherwise(whole)
-    return covered.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", "s.end")
+def hidden_parts(entity: str) -> str:
+    """SQL of the spans to cover for an entity that has to be hidden: of a CPF its first three and last two digits."""
+    i, h, c = name("i"), name("h"), name("c")
+    places = f"filter(transform(split({entity}.text, ''), ({c}, {i}) -> if({c} RLIKE r'\\p{{Nd}}', {i}, null)), {i} -> {i} IS NOT NULL)"
+    digits = let(places, lambda p: f"transform(array({', '.join(map(str, HIDDEN))}), {h} -> {p}[{h}])")
+    part = struct(start=f"cast({entity}.start + {i} AS int)", end=f"cast({entity}.start + {i} + 1 AS int)")
+    whole = struct(start=f"cast({entity}.start AS int)", end=f"cast({entity}.end AS int)")
+    return f"CASE WHEN {entity}.type = 'CPF_MASCARADO' THEN cast(array() AS {SPAN}) WHEN {entity}.type = 'CPF' THEN transform({digits}, {i} -> {part}) ELSE array({whole}) END"
+
 
+def policy_action(entity: str, policy: dict[str, str] | None = None) -> str:
+    """SQL of the action for an entity's type; a type without one is an error, never a default."""
+    rules = policy if policy is not None else {t: a for t, _, _, a in TYPES}
+    cases = " ".join(f"WHEN '{t}' THEN '{a}'" for t, a in rules.items())
+    return f"CASE {entity}.type {cases} ELSE raise_error(concat('no action for type ', coalesce({entity}.type, 'null'))) END"
 
-def _covered(text: Column, spans: Column) -> Column:
-    """Spans are merged in order of their start; what lies between them is copied piece by piece."""
-    ordered = F.array_sort(spans)
 
-    def step(state: Column, s: Column) -> Column:
-        start, end = F.greatest(s["start"], state["at"]), F.greatest(s["end"], state["at"])
-        return F.struct(F.concat(state["out"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(BLOCK), end - start)).alias("out"), end.alias("at"))
+def redact_in_place(texts: DataFrame, entities: str = "entities", text: str = "text", policy: dict[str, str] | None = None, into: str = "redacted") -> DataFrame:
+    """``texts`` with the text redacted by the policy, for rows that have the array of their entities. No row moves."""
+    e, x = name("e"), name("x")
+    covered = f"flatten(transform(filter({entities}, {e} -> {policy_action(e, policy)} = 'tarjar'), {x} -> {hidden_parts(x)}))"
+    rows = texts.withColumn("_spans", F.expr(f"coalesce({covered}, array())"))
+    return rows.withColumn(into, F.expr(f"if(size(_spans) = 0, `{text}`, {replaced(f'`{text}`', '_spans', BLOCK)})")).drop("_spans")
 
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(ordered, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+def hidden_spans(entities: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys``, start, end of what to cover; ``entities`` are rows and have an action."""
+    covered = entities.where((F.col("acao") == "tarjar") & (F.col("type") != "CPF_MASCARADO"))
+    rows = covered.withColumn("_e", F.struct("type", "start", "end", "text"))
+    return rows.select(*keys, F.explode_outer(F.expr(hidden_parts("_e"))).alias("s")).select(*keys, "s.start", "s.end")
 
 
 def redact(texts: DataFrame, entities: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", manual: DataFrame | None = None) -> DataFrame:
-    """``texts`` with the column redacted. ``manual`` has further spans (keys, start, end) to cover.
+    """``texts`` with the column redacted, by entities that are rows, such as those a reviewer has decided on.
 
-    The spans of a text come together, never texts with each other; lengths and offsets stay.
+    ``manual`` has further spans (keys, start, end) to cover. The spans of a text come together, never
+    texts with each other; lengths and offsets stay. Where the entities are on the text's own row,
+    ``redact_in_place`` needs no join.
     """
     spans = hidden_spans(entities, keys)
     if manual is not None:
         spans = spans.unionByName(manual.select(*keys, "start", "end"))
     spans = spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("_spans")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_spans")
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = texts.join(spans, condition, "left")
-    out = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(_covered(F.col(text), F.col("_spans")))
+    out = F.expr(f"if(_spans IS NULL, `{text}`, {replaced(f'`{text}`', '_spans', BLOCK)})")
     return joined.withColumn("redacted", out).drop("_spans", *(f"_k_{k}" for k in keys))
 
 
-def report(entities: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counters for each text: covered, published, masked before, partly covered CPFs, marked for review."""
-    count = lambda condition: F.count_if(condition)
+def report(entities: DataFrame, keys: tuple[str, ...] = ("doc_id",), manual: DataFrame | None = None) -> DataFrame:
+    """Counters for each text: covered, published, masked before, partly covered CPFs, marked for review and, with ``manual``, drawn spans."""
     hidden = F.col("acao") == "tarjar"
-    return entities.groupBy(*keys).agg(
-        count(hidden & (F.col("type") != "CPF_MASCARADO")).alias("n_covered"), count(F.col("acao") == "publicar").alias("n_published"),
-        count(F.col("type") == "CPF_MASCARADO").alias("n_masked_before"), count(hidden & (F.col("type") == "CPF")).alias("n_partial_cpf"),
-        count("requires_review").alias("n_review"),
+    found = entities.groupBy(*keys).agg(
+        F.count_if(hidden & (F.col("type") != "CPF_MASCARADO")).alias("n_covered"), F.count_if(F.col("acao") == "publicar").alias("n_published"),
+        F.count_if(hidden & (F.col("type") == "CPF_MASCARADO")).alias("n_masked_before"), F.count_if(hidden & (F.col("type") == "CPF")).alias("n_partial_cpf"),
+        F.count_if("requires_review").alias("n_review"),
     )
+    if manual is None:
+        return found
+    drawn = manual.groupBy(*keys).agg(F.count("*").alias("n_manual"))
+    return found.join(drawn, list(keys), "full_outer").fillna(0)
 
 
 def file_hashes(files: DataFrame) -> DataFrame:

@@ -8,49 +8,71 @@ fragments of it. Only the few detections of a text come together, as an array, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql import let, mapped, name, struct, walked
 from ..model import ENTITY_FIELDS, METHODS
 
 WEAK_METHODS = ("padrao", "contextual")
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def overlaps(a: str, b: str) -> str:
+    return f"({a}.start < {b}.end AND {b}.start < {a}.end)"
 
 
-def contains(outer: Column, inner: Column) -> Column:
+def contains(outer: str, inner: str) -> str:
     """Strictly: an equal span is not contained."""
-    return (outer["start"] <= inner["start"]) & (inner["end"] <= outer["end"]) & ((outer["start"] != inner["start"]) | (outer["end"] != inner["end"]))
+    return f"({outer}.start <= {inner}.start AND {inner}.end <= {outer}.end AND {outer}.end - {outer}.start > {inner}.end - {inner}.start)"
 
 
-def compete(a: Column, b: Column) -> Column:
-    return overlaps(a, b) & ~contains(a, b) & ~contains(b, a)
+def compete(a: str, b: str) -> str:
+    return f"({overlaps(a, b)} AND NOT {contains(a, b)} AND NOT {contains(b, a)})"
 
 
-def _method(type_: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for pair in METHODS.items() for x in pair)), type_)
+def fragment(inner: str, outer: str) -> str:
+    weak = ", ".join(f"'{m}'" for m in WEAK_METHODS)
+    return f"({outer}.validated AND {outer}.method = 'validado_dv' AND NOT {inner}.validated AND {inner}.method IN ({weak}) AND {contains(outer, inner)})"
 
 
-def fragment(inner: Column, outer: Column) -> Column:
-    return contains(outer, inner) & outer["validated"] & (outer["method"] == "validado_dv") & ~inner["validated"] & inner["method"].isin(*WEAK_METHODS)
+def _accepted(found: str) -> str:
+    """The accepted of entities that lie close together, without fragments."""
+    rank = lambda e: struct(a=f"NOT {e}.validated", b=f"{e}.start - {e}.end", c=f"-{e}.confidence", d=f"{e}.start", t=f"{e}.type", o=f"{e}.ord", e=e)
+    ranked = mapped(f"array_sort({mapped(found, rank)})", lambda r: f"{r}.e")
+    kept, e, k, x, o = (name(n) for n in "kexyo")
+    accepted = f"aggregate({ranked}, slice({found}, 1, 0), ({kept}, {e}) -> if(exists({kept}, {k} -> {compete(e, k)}), {kept}, concat({kept}, array({e}))))"
+    return let(accepted, lambda all_: f"filter({all_}, {x} -> NOT exists({all_}, {o} -> {fragment(x, o)}))")
 
 
-def resolved(found: Column) -> Column:
-    """The accepted of an array of entities (with ``ord`` and ``method``), in reading order."""
-    ranked = F.array_sort(F.transform(found, lambda e: F.struct((~e["validated"]).alias("a"), (e["start"] - e["end"]).alias("b"), (-e["confidence"]).alias("c"), e["start"].alias("d"), e["type"].alias("t"), e["ord"].alias("o"), e.alias("e"))))
-    none = F.slice(found, 1, F.lit(0))
-    accepted = F.aggregate(F.transform(ranked, lambda r: r["e"]), none, lambda kept, e: F.when(F.exists(kept, lambda k: compete(e, k)), kept).otherwise(F.concat(kept, F.array(e))))
-    whole = F.filter(accepted, lambda e: ~F.exists(accepted, lambda o: fragment(e, o)))
-    return F.transform(F.array_sort(F.transform(whole, lambda e: F.struct(e["start"].alias("a"), (-e["end"]).alias("b"), e["ord"].alias("o"), e.alias("e")))), lambda r: r["e"])
+def in_reading_order(found: str) -> str:
+    """By start, the longer first."""
+    order = lambda e: struct(a=f"{e}.start", b=f"-{e}.end", o=f"{e}.ord", e=e)
+    return mapped(f"array_sort({mapped(found, order)})", lambda r: f"{r}.e")
 
 
-def resolve(candidates: DataFrame, keys: tuple[str, ...], ocr_keys: DataFrame | None = None) -> DataFrame:
+def resolved(found: str) -> str:
+    """The accepted of an array of entities (with ``ord`` and ``method``), in reading order; SQL in and out.
+
+    Entities that no chain of overlaps ties together are settled apart from each other.
+    """
+    none = f"slice({found}, 1, 0)"
+
+    def step(s: str, e: str) -> dict[str, str]:
+        apart = f"{e}.start >= {s}.reach"
+        return {"reach": f"greatest({s}.reach, {e}.end)", "held": f"if({apart}, array({e}), concat({s}.held, array({e})))", "found": f"if({apart}, concat({s}.found, array({s}.held)), {s}.found)"}
+
+    groups = let(in_reading_order(found), lambda x: walked(x, {"reach": "0", "held": none}, step, f"slice(array({none}), 1, 0)", lambda r: f"concat(flatten({r}.found), array({r}.held))"))
+    settled = mapped(groups, lambda g: f"if(size({g}) < 2, {g}, {in_reading_order(_accepted(g))})")
+    return f"if(size({found}) < 2, {found}, flatten({settled}))"
+
+
+def resolve(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row for each accepted entity: ``keys``, ``ord`` (from 0, in reading order) and the entity's fields.
 
-    Null keys form a group of their own.
+    For candidates that are rows already; those of equal keys, null ones as well, are one text's. A
+    few small rows for each text are shuffled, no text.
     """
-    entity = F.struct(*ENTITY_FIELDS, "ord", _method(F.col("type")).alias("method"))
+    method = F.element_at(F.create_map(*(F.lit(x) for pair in METHODS.items() for x in pair)), F.col("type"))
+    entity = F.struct(*ENTITY_FIELDS, "ord", method.alias("method"))
     grouped = candidates.groupBy(*keys).agg(F.collect_list(entity).alias("_found"))
-    return grouped.select(*keys, F.posexplode(resolved(F.col("_found"))).alias("ord", "e")).select(*keys, "ord", *(F.col(f"e.{f}").alias(f) for f in ENTITY_FIELDS))
+    return grouped.select(*keys, F.posexplode(F.expr(resolved("_found"))).alias("ord", "e")).select(*keys, "ord", *(F.col(f"e.{f}").alias(f) for f in ENTITY_FIELDS))

@@ -16,9 +16,16 @@ from .pipeline import detect
 LEAK = ("doc_id", "page", "type", "origin", "detail")
 
 
+#: Small letters that a comparison without case has as several, or as another one, and ``lower`` leaves alone.
+CASEFOLD = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
 def text_key(text: Column) -> Column:
     """A value without separators and case."""
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]", ""))
+    key = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]", ""))
+    for one, several in CASEFOLD:
+        key = F.replace(key, F.lit(one), F.lit(several))
+    return key
 
 
 def text_leaks(texts: DataFrame, expected: DataFrame, text: str = "text") -> DataFrame:
@@ -33,40 +40,60 @@ def _leak(rows: DataFrame, origin: str, detail: Column, page: Column | None = No
     return rows.select("doc_id", (F.lit(None) if page is None else page).cast("int").alias("page"), F.lit(None).cast("string").alias("type"), F.lit(origin).alias("origin"), detail.alias("detail"))
 
 
+#: What is always there and tells nothing.
+DERIVED, TOLERATED = ("format", "encryption"), "Producer"
+JS_LITERAL, JS_HEX, JS_REFERENCE = r"/JS\s*\((?!\))", r"/JS\s*<(?!>)", r"/JS\s+(\d+)\s+\d+\s+R"
+
+
+def _filled(stream: str) -> Column:
+    """Whether a stream is there and has more than white space."""
+    return F.coalesce(F.length(F.regexp_replace(F.hex(stream), "(?:09|0A|0B|0C|0D|20|00)*$", "")) > 0, F.lit(False))
+
+
 def metadata_leaks(objects: DataFrame) -> DataFrame:
-    """Document information other than the producer, and XMP streams, attached or loose."""
-    info = objects.where((F.col("type") == "Info") & (F.col("key") != "Producer") & (F.trim("value") != ""))
-    xmp = objects.where((F.col("type") == "Metadata") & F.col("is_stream"))
-    return _leak(info, "metadados", F.col("key")).unionByName(_leak(xmp, "metadados", F.concat(F.lit("XMP "), F.col("xref").cast("string"))))
+    """Document information (type ``Info`` of the trailer, ``CatalogInfo`` of the catalog) and XMP streams.
+
+    The catalog's own information may name its producer. XMP that the catalog refers to (type
+    ``Catalog``, key ``Metadata``, the target's number as value) is one leak, each loose stream another.
+    """
+    info = objects.where((F.col("type") == "Info") & ~F.lower("key").isin(*DERIVED) & (F.coalesce(F.col("value"), F.lit("")) != ""))
+    own = objects.where((F.col("type") == "CatalogInfo") & (F.col("key") != TOLERATED))
+    attached = objects.where((F.col("type") == "Catalog") & (F.col("key") == "Metadata")).select("doc_id", F.col("value").cast("int").alias("_xref")).distinct()
+    xmp = objects.where((F.col("type") == "Metadata") & F.col("is_stream") & _filled("stream")).select("doc_id", "xref").distinct()
+    xmp = xmp.join(attached.withColumn("_attached", F.lit(True)), (xmp.doc_id == attached.doc_id) & (xmp.xref == F.col("_xref")), "left").select(xmp.doc_id, "xref", "_attached")
+    named = F.when(F.col("_attached"), F.lit("XMP of the catalog")).otherwise(F.concat(F.lit("XMP in object "), F.col("xref").cast("string")))
+    found = _leak(info, "metadados", F.concat(F.lit("/Info "), F.col("key"))).unionByName(_leak(own, "metadados", F.concat(F.lit("catalog /Info "), F.col("key"))))
+    return found.unionByName(_leak(xmp, "metadados", named))
 
 
 def form_leaks(objects: DataFrame, annotations: DataFrame) -> DataFrame:
+    """A form in the catalog, and widgets by page."""
     fields = objects.where((F.col("type") == "Catalog") & (F.col("key") == "AcroForm"))
-    widgets = annotations.where(F.col("kind") == "Widget")
-    return _leak(fields, "formulario", F.lit("AcroForm")).unionByName(_leak(widgets, "formulario", F.lit("Widget"), F.col("page")))
+    widgets = annotations.where(F.col("kind") == "Widget").groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return _leak(fields, "acroform", F.lit("AcroForm")).unionByName(_leak(widgets, "acroform", F.concat(F.col("n").cast("string"), F.lit(" widgets")), F.col("page")))
 
 
 def attachment_leaks(objects: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Files in the name tree, and those that a page's annotations hold."""
     names = objects.where((F.col("type") == "EmbeddedFiles") | (F.col("key") == "EmbeddedFiles"))
     notes = annotations.where(F.col("kind") == "FileAttachment")
     return _leak(names, "anexo", F.coalesce("value", F.lit("EmbeddedFiles"))).unionByName(_leak(notes, "anexo", F.lit("FileAttachment"), F.col("page")))
 
 
 def script_leaks(objects: DataFrame) -> DataFrame:
-    """Scripts that are not empty: a literal, hexadecimal digits, or a reference to an object with any."""
-    source = F.regexp_extract("source", r"/JS\s*(\((?:\s*[^)\s])[^)]*\)|<\s*[0-9A-Fa-f][^>]*>|\d+\s+\d+\s+R)", 1)
-    scripts = objects.withColumn("_js", source).where(F.col("_js") != "")
-    direct = scripts.where(~F.col("_js").rlike(r"^\d"))
-    target = F.regexp_extract("_js", r"^(\d+)", 1).cast("int")
-    filled = objects.where(F.coalesce(F.length("stream"), F.lit(0)) > 0).select("doc_id", F.col("xref").alias("_target")).distinct()
-    referred = scripts.where(F.col("_js").rlike(r"^\d")).withColumn("_target", target).join(filled, ["doc_id", "_target"], "left_semi")
-    where = F.concat(F.lit("object "), F.col("xref").cast("string"))
-    return _leak(direct, "javascript", where).unionByName(_leak(referred, "javascript", where))
+    """Objects with a script that is not empty: a literal, hexadecimal digits, or a reference to a stream with any content."""
+    scripts = objects.where(F.contains("source", F.lit("/JS")))
+    direct = scripts.where(F.col("source").rlike(JS_LITERAL) | F.col("source").rlike(JS_HEX)).select("doc_id", "xref")
+    filled = objects.where(F.col("is_stream") & _filled("stream")).select("doc_id", F.col("xref").alias("_target")).distinct()
+    targets = scripts.select("doc_id", "xref", F.explode(F.regexp_extract_all("source", F.lit(JS_REFERENCE), F.lit(1))).alias("_target")).withColumn("_target", F.col("_target").cast("int"))
+    referred = targets.join(filled, ["doc_id", "_target"], "left_semi").select("doc_id", "xref")
+    return _leak(direct.unionByName(referred).distinct(), "javascript", F.concat(F.lit("object "), F.col("xref").cast("string")))
 
 
 def layer_leaks(layers: DataFrame) -> DataFrame:
-    """Any layer may hide content."""
-    return _leak(layers, "camada_opcional", F.col("name"))
+    """Any layer may hide content: one leak for each document that has some, with their names in order."""
+    named = layers.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("_names"))
+    return _leak(named, "optional_content", F.col("_names"))
 
 
 def verdict(documents: DataFrame, pages: DataFrame, *leaks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sending this package to the executors, for the few functions that run in Python there."""
+"""What jobs share: this package on the executors, and a folder that all of them see."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +24,26 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("lacre", os.path.relpath(full, top)))
     sc.addPyFile(path)
     sc._lacre_shipped = path
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoint() has a folder: the one that ``spark.checkpoint.dir`` names.
+
+    Only a local session without one gets a temporary folder; on a cluster no executor would see it.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return
+    if named:
+        sc.setCheckpointDir(named)
+    elif sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lacre-checkpoint-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder, without the plan that made them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest upload and how a PDF begins.
@@ -23,11 +23,16 @@ def table(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
     return spark.read.parquet(path).withColumnRenamed(text, "text")
 
 
+def refusal(content: Column, length: Column, most_bytes: int = MOST_BYTES, magic: bytes = PDF_MAGIC) -> Column:
+    """Null for what is taken, 413 for what is too long, else 415 for what does not begin as it has to."""
+    starts = F.hex(F.substring(content, 1, len(magic))) == magic.hex().upper()
+    return F.when(length > most_bytes, 413).when(~F.coalesce(starts, F.lit(False)), 415)
+
+
 def uploads(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """path, length, content and ``recusa``: null for a PDF within the limit, else 413 or 415."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    starts = F.substring(F.hex("content"), 1, 2 * len(PDF_MAGIC)) == PDF_MAGIC.hex().upper()
-    return files.withColumn("recusa", F.when(F.col("length") > most_bytes, 413).when(~starts, 415))
+    return files.withColumn("recusa", refusal(F.col("content"), F.col("length"), most_bytes))
 
 
 def parsed(files: DataFrame, parser: Callable[[bytes], Iterable[dict]], schema: str) -> DataFrame:

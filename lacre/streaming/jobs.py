@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 TTL_MINUTES = 30
 #: Event, state of the job after it, progress.
-STATES = (("created", "recebido", 0.0), ("started", "processando", 0.0), ("extracted", "processando", 0.5), ("done", "pronto", 1.0), ("failed", "erro", 0.0))
+STATES = (("created", "recebido", 0.0), ("started", "processando", 0.0), ("extracted", "processando", 0.5), ("done", "pronto", 1.0), ("failed", "erro", None))
 
 
 def _after(event: Column, place: int) -> Column:
-    return F.element_at(F.create_map(*(x for s in STATES for x in (F.lit(s[0]), F.lit(s[place])))), event)
+    return F.element_at(F.create_map(*(x for s in STATES for x in (F.lit(s[0]), F.lit(s[place]).cast("double" if place == 2 else "string")))), event)
 
 
 def states(events: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
@@ -32,7 +32,7 @@ def states(events: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
 
 def expired(jobs: DataFrame, as_of: Column) -> DataFrame:
     """Jobs whose time is over; names that are no job ids are left alone."""
-    return jobs.where((F.col("expira_em") <= as_of) & F.col("id").cast("string").rlike(r"^[0-9a-f]{32}\z|^[0-9]+\z"))
+    return jobs.where((F.col("expira_em") <= as_of) & F.col("id").cast("string").rlike(r"^[0-9a-f]{32}\z"))
 
 
 def alive(jobs: DataFrame, as_of: Column) -> DataFrame:
@@ -45,38 +45,62 @@ def still_wanted(queued: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 STATE = "first timestamp, ts timestamp, seq bigint, event string"
-OUTPUT = "id bigint, status string, progresso double, expira_em timestamp"
 
 
 def follow(events: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
-    """The same over a stream with a watermark on ``ts``: a row whenever a job's state changes, and one with
-    status ``expirado`` when its time is over, after which nothing is kept of it."""
+    """The same over a stream with a watermark on ``ts``: a row whenever a job's state changes.
+
+    A job that is deleted gives a row with status ``apagado``; what is kept of it until its time is over
+    is a tombstone, so that a later event does not bring it back. When its time is over a job that is
+    still there gives a row with status ``expirado``, after which nothing is kept of it.
+    """
     after = {e: (status, progress) for e, status, progress in STATES}
     ttl = pd.Timedelta(minutes=ttl_minutes)
+    output = f"id {dict(events.dtypes)['id']}, status string, progresso double, expira_em timestamp"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        def row(status: str, progress: float, until: pd.Timestamp) -> pd.DataFrame:
-            return pd.DataFrame({"id": [key[0]], "status": [status], "progresso": [progress], "expira_em": [until]})
+        def row(status: str, progress: float | None, until: pd.Timestamp) -> pd.DataFrame:
+            return pd.DataFrame({"id": [key[0]], "status": [status], "progresso": pd.Series([progress], dtype="float64"), "expira_em": [until]})
 
         if state.hasTimedOut:
-            first = state.get[0]
+            first, _, _, event = state.get
             state.remove()
-            yield row("expirado", 0.0, pd.Timestamp(first) + ttl)
+            if event != "deleted":
+                yield row("expirado", None, pd.Timestamp(first) + ttl)
             return
         known = state.get if state.exists else None
         new = pd.concat(list(batches))
-        if (new["event"] == "deleted").any():
-            if known:
-                state.remove()
-            return
-        last = new.sort_values(["ts", "seq"]).iloc[-1]
         first = min([new["ts"].min(), *([pd.Timestamp(known[0])] if known else [])])
+        until = first + ttl
+        gone = known is not None and known[3] == "deleted"
+        last = new.sort_values(["ts", "seq"]).iloc[-1]
         ts, seq, event = last["ts"], int(last["seq"]), last["event"]
-        if known and (pd.Timestamp(known[1]), known[2]) > (ts, seq):
+        if gone or (new["event"] == "deleted").any():
+            event = "deleted"
+        elif known and (pd.Timestamp(known[1]), known[2]) > (ts, seq):
             ts, seq, event = pd.Timestamp(known[1]), known[2], known[3]
         state.update((first.to_pydatetime(), ts.to_pydatetime(), seq, event))
-        until = first + ttl
         state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield row(*after[event], until)
+        if event != "deleted":
+            yield row(*after[event], until)
+        elif not gone:
+            yield row("apagado", None, until)
+
+    return events.groupBy("id").applyInPandasWithState(step, output, STATE, "update", "EventTimeTimeout")
+
+
+def results(pages: DataFrame, jobs: DataFrame) -> DataFrame:
+    """id and ``resultado``: the result of each job that is done, as one JSON text with its pages and their entities.
+
+    ``pages``: id, numero, largura, altura, entidades (an array of structs); a page without entities has
+    an empty list. Only the pages of one job come together.
+    """
+    page = F.struct("numero", "largura", "altura", F.coalesce("entidades", F.array()).alias("entidades"))
+    grouped = pages.groupBy("id").agg(F.array_sort(F.collect_list(page), lambda a, b: F.when(a["numero"] < b["numero"], -1).when(a["numero"] > b["numero"], 1).otherwise(0)).alias("paginas"))
+    done = grouped.join(jobs.where("status = 'pronto'").select("id"), "id", "left_semi")
+    return done.select("id", F.to_json(F.struct("paginas")).alias("resultado"))
+
 
-    return events.groupBy("id").applyInPandasWithState(step, OUTPUT, STATE, "update", "EventTimeTimeout")
+def write_results(results_: DataFrame, path: str) -> None:
+    """One line of JSON for each job. Files appear under their names only when the whole write has been committed."""
+    results_.select(F.to_json(F.struct("id", "resultado")).alias("value")).write.mode("overwrite").text(path)

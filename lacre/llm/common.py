@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,31 +9,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from ..session import shared_folder, ship
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SLICE_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once a session and make sure checkpoint() has a folder.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where neither that setting nor
-    the context has one (a local test) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lacre-checkpoint-"))
-    if getattr(sc, "_lacre_shipped", None) is None:
-        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        path = os.path.join(tempfile.mkdtemp(prefix="lacre-code-"), "lacre_code.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, files in os.walk(os.path.join(top, "lacre")):
-                for name in files:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, top))
-        sc.addPyFile(path)
-        sc._lacre_shipped = path
+    """Send this package to the executors once a session and make sure checkpoint() has a folder that all share."""
+    ship(spark)
+    shared_folder(spark)
     return spark
 
 
@@ -45,6 +29,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a number for each row that stays the same however often a task is run again.
+
+    Rows of files have their place in them. Any other table is written to the shared folder first, as
+    after a shuffle its rows may come in another order when a lost executor's work is done once more.
+    """
+    try:
+        placed = df.withColumn(name, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+        placed.schema
+        return placed
+    except AnalysisException:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 """Operator 8: language identification of mixed-language text.
 
 A model of hashed letter trigrams and of the scripts of each language is counted over the whole text
-of every labelled training document. In a document each run of letters of one script is a word; its
+of every labelled training document. In a document each run of letters of one script, with their marks, is a word; its
 script narrows the languages that may have written it, and each of these gives it the sum of its
 trigrams' log probabilities. A Viterbi pass over the words, with a penalty for each switch, labels
 them; neighbouring words of one label are a span. The document's language is that of most letters.
@@ -36,33 +36,37 @@ SCRIPTS = (
     (0x700, "other"), (0x750, "arabic"), (0x780, "other"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"),
     (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"),
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "hiragana"), (0x30A0, "katakana"), (0x3100, "other"),
-    (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"),
+    (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0x20000, "han"), (0x323B0, "other"),
 )
 NAMES = tuple(dict.fromkeys(n for _, n in SCRIPTS))
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: number of its script from 1, 0 where it is no letter; its lower case."""
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: number of its script from 1, 0 where it is neither letter nor mark; its lower case; whether it is a letter."""
     script = np.zeros(0x110000, np.uint8)
     lower = np.arange(0x110000, dtype=np.uint32)
+    letter = np.zeros(0x110000, bool)
     firsts = np.array([a for a, _ in SCRIPTS])
-    for c in range(0x32000):
+    for c in range(0x110000):
         ch = chr(c)
-        if unicodedata.category(ch)[0] in "LM":
+        kind = unicodedata.category(ch)[0]
+        if kind in "LM":
             k = int(np.searchsorted(firsts, c, side="right")) - 1
             script[c] = NAMES.index(SCRIPTS[k][1] if k >= 0 else "other") + 1
+            letter[c] = kind == "L"
             low = ch.lower()
             if len(low) == 1:
                 lower[c] = ord(low)
-    return script, lower
+    return script, lower, letter
 
 
-def trigrams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the letters; the bucket of the trigram around each; its script; whether it begins a word."""
-    script_of, lower = tables()
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of letters and marks; the bucket of the trigram around each; its script; whether it begins a word; whether it is a letter."""
+    script_of, lower, letter_of = tables()
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     script = script_of[codes]
+    letter = letter_of[codes]
     codes = np.where(script > 0, lower[codes], 0).astype(np.uint64)
     begins = np.empty(len(codes), bool)
     begins[:1] = True
@@ -73,7 +77,7 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     at = np.flatnonzero(script)
     mixed = (before[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[at] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (after[at] * np.uint64(0x165667B19E3779F9))
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return at, (mixed >> np.uint64(48)).astype(np.int64), script[at], begins[at]
+    return at, (mixed >> np.uint64(48)).astype(np.int64), script[at], begins[at], letter[at]
 
 
 def cut(text: str, most: int = PIECE) -> list[tuple[int, str]]:
@@ -100,7 +104,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
             for lang, texts in by_lang.items():
                 total = counts.setdefault(lang, np.zeros(BUCKETS + len(NAMES) + 1, np.int64))
                 for _, piece in cut("\n".join(texts)):
-                    _, bucket, script, _ = trigrams(piece)
+                    _, bucket, script, _, _ = trigrams(piece)
                     total[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     total[BUCKETS:] += np.bincount(script, minlength=len(NAMES) + 1)
         for lang, total in counts.items():
@@ -128,11 +132,11 @@ class Model:
         self.uses = (letters >= 0.01 * np.maximum(letters.sum(axis=1, keepdims=True), 1)) & (letters > 0)
         self.uses[:, ~self.uses.any(axis=0)] = True
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: start, end and the scores by language."""
-        starts, ends, scores = [], [], []
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: start, end, the scores by language and its number of letters; marks by themselves have none."""
+        starts, ends, scores, letters = [], [], [], []
         for offset, piece in cut(text):
-            at, bucket, script, begins = trigrams(piece)
+            at, bucket, script, begins, letter = trigrams(piece)
             if len(at):
                 first = np.flatnonzero(begins)
                 last = np.append(first[1:], len(at)) - 1
@@ -141,9 +145,10 @@ class Model:
                 starts.append(at[first] + offset)
                 ends.append(at[last] + offset + 1)
                 scores.append(sums)
+                letters.append(np.add.reduceat(letter, first, dtype=np.int64))
         if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
-        return np.concatenate(starts), np.concatenate(ends), np.concatenate(scores)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(scores), np.concatenate(letters)
 
 
 def viterbi(scores: np.ndarray, penalty: np.ndarray) -> np.ndarray:
@@ -190,13 +195,15 @@ def label_texts(model: Model, texts: list[str], switch_penalty: float) -> list[t
         return [("und", 0.0, []) for _ in texts]
     joined = "\n".join(texts)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    starts, ends, scores = model.words(joined)
+    starts, ends, scores, own = model.words(joined)
+    real = own > 0
+    starts, ends, scores, own = starts[real], ends[real], scores[real], own[real]
     doc = np.searchsorted(offsets, starts, side="right") - 1
     fresh = np.ones(len(doc), bool)
     fresh[1:] = doc[1:] != doc[:-1]
     labels = viterbi(scores, np.where(fresh, 0.0, switch_penalty))
     k = len(model.langs)
-    letters = np.bincount(doc * k + labels, weights=ends - starts, minlength=len(texts) * k).reshape(-1, k)
+    letters = np.bincount(doc * k + labels, weights=own, minlength=len(texts) * k).reshape(-1, k)
     turn = fresh.copy()
     turn[1:] |= labels[1:] != labels[:-1]
     first = np.flatnonzero(turn)

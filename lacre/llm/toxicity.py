@@ -2,7 +2,8 @@
 
 A character language model (all 4-grams of folded letters, with backing off) is counted over the
 whole text of all documents. In a text, tokens that look written to dodge a filter (look-alike
-digits and symbols inside a word, spaced-out letters, letters repeated three times or more) become
+digits, symbols and letters of other alphabets inside a word, characters without width, spaced-out
+letters, letters repeated three times or more) become
 lattices of what may have been meant: each look-alike its letters, each gap nothing or a blank, each
 run one or two letters. The Viterbi path through a lattice under the language model is the restored
 text; stretches have no length limit, as the path keeps links back and not its text. A document's words, restored ones included, are then scored by how their beginnings (4 and 6
@@ -24,6 +25,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -47,10 +49,14 @@ MOST_REMEMBERED = 200
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 SYMBOLS = "".join(re.escape(c) for c in LOOKS)
 WORD = re.compile(r"[^\W\d_]+")
-LOOKALIKE = re.compile(rf"(?<![\w{SYMBOLS}])(?=[\w{SYMBOLS}]*[^\W\d_])[\w]*(?:[{SYMBOLS}]+[^\W\d_]|[^\W\d_][$@0-9€](?![$@0-9€]{{2}}))[\w{SYMBOLS}]*")
+#: Letters of other alphabets that look like Latin ones, and characters without width.
+TWINS = dict(zip("аеорсухіѕјԁһкмтвнαορνικ", "aeopcyxisjdhkmtbhaopvik"))
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+SIGN = re.compile(rf"[{SYMBOLS}][^\W\d_]|[^\W\d_][$@0-9€](?![$@0-9€]{{2}})|[A-Za-z][{''.join(TWINS)}]|[{''.join(TWINS)}][A-Za-z]|[^\W\d_][{UNSEEN}]+[^\W\d_]", re.IGNORECASE)
+TOKEN = re.compile(rf"[\w{SYMBOLS}{UNSEEN}]+")
 SPACED = re.compile(rf"(?<![^\s])(?:[^\W_]|[{SYMBOLS}])(?:(?: ?[.\-_*~/]| )(?:[^\W_]|[{SYMBOLS}])){{3,}}(?![\w])")
-REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-GAPS = " .-_*~/"
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
+GAPS = " .-_*~/" + UNSEEN
 LOOK_COST, GAP_COST, BLANK_COST, DOUBLE_COST = 0.5, 0.1, 1.0, 0.7
 
 
@@ -65,7 +71,7 @@ def folded(c: str) -> int:
 @cache
 def fold_table() -> np.ndarray:
     table = np.zeros(0x110000, np.int32)
-    table[:0x32000] = [folded(chr(c)) for c in range(0x32000)]
+    table[:0x32400] = [folded(chr(c)) for c in range(0x32400)]
     return table
 
 
@@ -121,10 +127,11 @@ class Speller:
                 run += 1
             size, at = run - at, run
             if c in GAPS:
-                yield [("", (), GAP_COST), (" ", (0,), BLANK_COST)]
+                yield [("", (), GAP_COST)] if c in UNSEEN else [("", (), GAP_COST), (" ", (0,), BLANK_COST)]
                 continue
             choices = []
-            for letter, cost in [(x, LOOK_COST * size) for x in LOOKS[c]] if c in LOOKS else [(c, 0.0)]:
+            looks = LOOKS.get(c) or TWINS.get(c)
+            for letter, cost in [(x, LOOK_COST * size) for x in looks] if looks else [(c, 0.0)]:
                 symbol = folded(letter)
                 choices.append((letter, (symbol,), cost + (DOUBLE_COST if size == 2 else 0)))
                 if size > 1:
@@ -164,11 +171,23 @@ class Speller:
         return "".join(reversed(out))
 
 
+def around(text: str, sign: re.Pattern, token: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Each token with such a sign in it. A token is read once however long it is and however many signs it has."""
+    end = 0
+    while m := sign.search(text, end):
+        start = m.start()
+        while start > end and token.match(text[start - 1]):
+            start -= 1
+        end = token.match(text, m.start()).end()
+        yield start, end
+
+
 def restored(text: str, speller: Speller) -> list[tuple[int, int, str]]:
     """(start, end, text) of each obfuscated stretch and what it stands for; overlaps go to the first."""
     if not text:
         return []
-    found = [m.span() for pattern in (SPACED, LOOKALIKE, REPEATED) for m in pattern.finditer(text)]
+    found = [m.span() for m in SPACED.finditer(text)]
+    found += [*around(text, SIGN, TOKEN), *around(text, TRIPLE, WORD)]
     out, end = [], 0
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         if a >= end:

@@ -7,8 +7,8 @@ came from. All that comes out of a base64 segment has the place of that segment,
 holds is found once and reported at every place where it stands; cycles are found among the layers
 of one segment.
 
-Layers: percent escapes, backslash and HTML character escapes, base64 (standard and URL alphabet),
-and gzip or zlib data inside base64.
+Layers: percent escapes, backslash and HTML character escapes, base64 (standard and URL alphabet, also
+wrapped over lines), UTF-16 and gzip or zlib data inside base64.
 
 Bytes that are not UTF-8 and control characters hide nothing: the layer is read around them.
 
@@ -48,7 +48,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: An escape whose own sign is escaped again and again. What lies between differs in the number of times alone.
+CHAIN = re.compile(r"%(?:25){9,}|&(?:#38;|#x26;){9,}|\\(?:u005c|x5c){9,}", re.IGNORECASE)
+CHAIN_UNIT = re.compile(r"25|#38;|#x26;|u005c|x5c", re.IGNORECASE)
+KEPT_UNITS = 8
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, all of them long but the last.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 GZIP = b"\x1f\x8b"
 OVERLAP = 1 << 16
@@ -139,7 +145,15 @@ def opened(segment: str, most: int) -> Iterator[str | None]:
         if not size:
             return
         data = b"".join(first)
-    yield data.decode(errors="replace")
+    yield decoded(data)
+
+
+def decoded(data: bytes) -> str:
+    """Text of UTF-16 with every second byte zero, or else of UTF-8; what is neither is replaced."""
+    for k, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if len(data) > 15 and data[k::2].count(0) * 10 > len(data[k::2]) * 9 and data[1 - k :: 2].count(0) * 10 < len(data):
+            return data.decode(name, errors="replace").removeprefix("\ufeff")
+    return data.decode(errors="replace")
 
 
 def escaped_char(match: str) -> str:
@@ -174,8 +188,24 @@ def percent_pieces(text: str) -> list[tuple[int, int, str]]:
     return pieces
 
 
+def segments(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, base64 without line breaks) of what may be encoded; a wrapped segment also line by line."""
+    for m in BASE64.finditer(text):
+        yield *m.span(), m[0]
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            yield *m.span(), m[0].replace("\r", "").replace("\n", "")
+
+
 def escapes(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """The pieces to put in for percent escapes, and for the other escapes."""
+    """The pieces to put in for percent escapes, and for the other escapes.
+
+    A long chain of escaped escapes is shortened first, in one step; else a text of n characters would have n layers.
+    """
+    chains = [(*m.span(), m[0][0] + "".join(CHAIN_UNIT.findall(m[0])[-KEPT_UNITS:])) for m in CHAIN.finditer(text)]
+    if chains:
+        yield chains
+        return
     if "%" in text and (pieces := percent_pieces(text)):
         yield pieces
     if "\\" in text or "&#" in text:
@@ -192,8 +222,8 @@ def below(text: str, most: int) -> Iterator[str | None]:
             out += [text[at:a], new]
             at = b
         yield "".join([*out, text[at:]])
-    for m in BASE64.finditer(text):
-        yield from opened(m[0], most)
+    for _, _, segment in segments(text):
+        yield from opened(segment, most)
 
 
 def digest(*parts: bytes) -> bytes:
@@ -248,15 +278,15 @@ def find_secrets(text: str, most: int = MOST_INFLATED) -> tuple[list[tuple[str,
         work = [(text, starts, starts + 1, 0)]
         while work:
             current, starts, ends, depth = work.pop()
-            for m in BASE64.finditer(current):
-                if m[0] not in known:
-                    known[m[0]] = within(m[0], most)
-                kinds, n, large = known[m[0]]
+            for a, b, segment in segments(current):
+                if segment not in known:
+                    known[segment] = within(segment, most)
+                kinds, n, large = known[segment]
                 if not (kinds or n or large):
                     continue
-                place = int(starts[m.start()]), int(ends[m.end() - 1])
-                if (m[0], place) not in counted:
-                    counted.add((m[0], place))
+                place = int(starts[a]), int(ends[b - 1])
+                if (segment, place) not in counted:
+                    counted.add((segment, place))
                     n_layers += n
                     oversized += large
                 for kind, more in kinds.items():

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, column, schema_with, slices, text_bytes, utf8
+from .common import carried, column, schema_with, slices, stored, text_bytes, utf8
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -142,6 +142,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
                 yield carried(batch, columns, {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, SPANS), "items": pa.array(names, pa.list_(pa.string()))})
 
         out = out.mapInArrow(scan, schema_with(docs, columns, RESULT))
+        if blocks > 1:
+            # Each pass is done with before the next begins, so that no worker and no driver holds two blocks.
+            out = stored(out)
+            patterns.destroy()
     return out
 
 

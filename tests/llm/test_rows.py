@@ -3,9 +3,12 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -259,3 +262,69 @@ def test_digests_of_the_queries(spark, documents, tmp_path, monkeypatch):
     for r in queries.op2_secrets(spark, "").collect():
         assert len(r.base_sha256) == 64 and (r.spans or hashlib.sha256(b"").hexdigest() == r.base_sha256)
     assert documents.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_long_texts_end_in_time():
+    rng = random.Random(1)
+    speller = toxicity.Speller([])
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(200_000)), "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(200_000)), "a" + "1" * 200_000, "1" * 200_000 + "a", "a1" * 100_000, "a_$" * 70_000, "a" + "$" * 200_000]
+    began = time.perf_counter()
+    for text in texts:
+        toxicity.restored(text, speller)
+    for text in ("%" + "25" * 100_000 + "41 " + SECRET, "&" + "#38;" * 100_000 + "#65;", "\\" + "u005c" * 50_000 + "u0041", "%25" * 60_000):
+        secrets.find_secrets(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_chains_of_escapes_hide_nothing():
+    raw = "".join(f"%{'25' * 40}{b:02X}" for b in f"see {SECRET} there".encode())
+    spans, n_layers, _ = secrets.find_secrets("x " + raw)
+    assert "assign" in {s[0] for s in spans} and n_layers >= secrets.KEPT_UNITS
+
+
+def test_other_encodings_of_a_secret():
+    raw = f"see {SECRET} there, and some more words to fill the lines of this text up to several"
+    wrapped = base64.encodebytes((raw * 2).encode()).decode()
+    for text in (base64.b64encode(raw.encode("utf-16-le")).decode(), base64.b64encode(raw.encode("utf-16")).decode(), base64.b64encode(raw.encode("utf-16-be")).decode(), wrapped, wrapped.replace("\n", "\r\n")):
+        assert "assign" in {s[0] for s in secrets.find_secrets(text)[0]}
+
+
+def plain_best(speller, token):
+    """The best of all paths through a lattice, one by one."""
+    best = (-math.inf, "")
+    for path in itertools.product(*speller.lattice(token.lower())):
+        context, value, text = 0, 0.0, ""
+        for new, symbols, cost in path:
+            value, text = value - cost, text + new
+            for s in symbols:
+                gram = context * toxicity.LETTERS + s
+                value += speller.scores[gram]
+                context = gram % toxicity.LETTERS**3 if s else 0
+        best = max(best, (value + speller.scores[context * toxicity.LETTERS], text))
+    return best[1]
+
+
+def test_decoding_is_the_best_of_all_paths(toxic_tables):
+    speller = toxicity.Speller([tuple(r) for r in toxicity.count_grams(toxic_tables[0]).collect()])
+    for token in ("1d10t", "w0rthl3ss", "s.c.u.m", "i d i o t", "scuuum", "1!|o", "$cuumm", "іdіоt", "id​iot", "aa11"):
+        assert speller.decoded(token.lower()) == plain_best(speller, token)
+
+
+def test_twins_and_unseen_characters(toxic_tables):
+    speller = toxicity.Speller([tuple(r) for r in toxicity.count_grams(toxic_tables[0]).collect()])
+    assert [t for *_, t in toxicity.restored("an іdіоt and an id​iot", speller)] == ["idiot", "idiot"]
+    assert toxicity.restored("чистый русский текст", speller) == []
+
+
+def test_letters_are_those_of_all_code_points():
+    model = langid.Model([("xx", 1, 5), ("xx", langid.BUCKETS + 1, 3)])
+    found = [r[0] for r in langid.label_texts(model, ["́̀", "\U00032000", "á", "ः", "१२", "ｆ"], 10.0)]
+    assert found == ["und", "xx", "xx", "und", "und", "xx"]
+    assert all(langid.tables()[2][c] == (unicodedata.category(chr(c))[0] == "L") for c in range(0x110000))
+
+
+def test_passes_are_stored_one_by_one(documents, benchmark):
+    whole = decontaminate.find_contamination(documents, benchmark, ("doc_id", "text"))
+    parts = decontaminate.find_contamination(documents, benchmark, ("doc_id", "text"), block_bytes=40)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    assert "MapInArrow" not in parts._jdf.queryExecution().executedPlan().toString()

@@ -1,17 +1,23 @@
 """Operator 5: line deduplication by a segment-partition edit join.
 
-Lines within ``most_edits`` edits of each other are linked. A line of given length is split into
-``most_edits`` + 1 segments; at least one of them must occur unchanged, and nearly in place, in any
-line linked to it. Each line posts its segments under (length, segment, text), and probes, for its
-own and each shorter length in reach, the substrings that may hold a segment (the multi-match-aware
-choice: segment i may have moved by i - 1 places at most, counted from either end). What meets under
-a key is tested by the parity of its characters, of which an edit changes two at most, and then
-verified by a banded bit-parallel edit distance.
+Two lines are linked if they differ by ``most_edits`` edits at most and by no more than one edit for
+each ``chars_per_edit`` characters of the longer one, so that a fifth of a line may differ and no more:
+lines of ten characters and more within two edits, of five to nine within one, shorter ones if they
+are equal. For each number of edits that a longer line allows, it and the lines that may be linked to
+it are split into one more segments; at least one of them must occur unchanged, and nearly in place,
+in any line linked to it. Each line posts its segments under (edits, length, segment, text), and
+probes, for its own and each shorter length in reach, the substrings that may hold a segment (the
+multi-match-aware choice: segment i may have moved by i - 1 places at most, counted from either end).
+What meets under a key is tested by the parity of its characters, of which an edit changes two at
+most, and then verified by a banded bit-parallel edit distance.
+
+A crowded key is dealt out once more, by pieces of the parity: parities that differ in few bits agree
+in one piece at least, so each part of the key is a task's work of its own and no link is lost.
 
 Equal lines are one entry from the start: they are dropped within a task before keys are made and
-within a key afterwards, so a line that a third of the rows hold is a few rows in the join. Lines of
-fewer than ``least_chars`` characters are joined by equality alone. The classes are the components of
-the links; a class is named by its first line in the order of doc_id and line number.
+within a key afterwards, so a line that a third of the rows hold is a few rows in the join. The
+classes are the components of the links; a class is named by its first line in the order of doc_id
+and line number.
 
 Defined results: a null text has no lines; blank lines are nobody's copies and keep their place;
 a null doc_id comes after all others; in repeated rows the lines of one are copies of the other's.
@@ -21,15 +27,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored
+from .common import column, numbered, stored
 from .graph import components
 
 MOST_EDITS = 2
-LEAST_CHARS = 20
+CHARS_PER_EDIT = 5
 SHORT_RUN = 8
+#: A longer run is handed on whole, to be dealt out by pieces of the parity before its pairs are looked at.
+LONG_RUN = 4096
 MOST_BROADCAST = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -57,7 +65,7 @@ def segments(length: np.ndarray, count: int, i: int) -> tuple[np.ndarray, np.nda
     return i * size + longer, size + (i >= count - rest)
 
 
-def keys_of(lines: list[str], most_edits: int):
+def keys_of(lines: list[str], most_edits: int, chars_per_edit: int = CHARS_PER_EDIT):
     """(key, which line, probe) of every segment and probe, and the lines' parity signatures.
 
     A key under which a line both posts and probes is a posting.
@@ -68,23 +76,26 @@ def keys_of(lines: list[str], most_edits: int):
     up, down = powers(len(codes) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])])
     parity = np.bitwise_xor.reduceat(np.uint32(1) << (mixed(codes * BASE) & np.uint64(31)).astype(np.uint32), begin)
-    count, out = most_edits + 1, []
-    for less in range(most_edits + 1):
-        target = length - less
-        for i in range(count):
-            at, size = segments(target, count, i)
-            low, high = max(-i, less - (most_edits - i)), min(i, less + most_edits - i)
-            for shift in range(low, high + 1):
-                start = at + shift
-                ok = np.flatnonzero((start >= 0) & (start + size <= length) & (size > 0))
-                a = begin[ok] + start[ok]
-                text = (sums[a + size[ok]] - sums[a]) * down[a]
-                key = mixed(text ^ mixed((target[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i)) * BASE))
-                out.append((key, ok, np.full(len(ok), less > 0 or shift != 0)))
+    out = []
+    for edits in range(1, most_edits + 1):
+        probes = (length >= edits * chars_per_edit) & ((edits == most_edits) | (length < (edits + 1) * chars_per_edit))
+        posts = probes | (length >= edits * chars_per_edit - edits) & (length < edits * chars_per_edit)
+        for less in range(edits + 1):
+            target = length - less
+            for i in range(edits + 1):
+                at, size = segments(target, edits + 1, i)
+                low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
+                for shift in range(low, high + 1):
+                    start, probe = at + shift, less > 0 or shift != 0
+                    ok = np.flatnonzero((probes if probe else posts) & (start >= 0) & (start + size <= length) & (size > 0))
+                    a = begin[ok] + start[ok]
+                    text = (sums[a + size[ok]] - sums[a]) * down[a]
+                    key = mixed(text ^ mixed((target[ok].astype(np.uint64) * np.uint64(64) + np.uint64(8 * edits + i)) * BASE))
+                    out.append((key, ok, np.full(len(ok), probe)))
     return tuple(map(np.concatenate, zip(*out))), parity
 
 
-def posted(batches, most_edits: int):
+def posted(batches, most_edits: int, chars_per_edit: int):
     """(key, line, parity, probe) of the different lines of a task; ``line`` is the line's hash."""
     seen = np.zeros(0, np.int64)
     for batch in batches:
@@ -97,7 +108,7 @@ def posted(batches, most_edits: int):
         lines = column(batch, "line").take(pa.array(first)).to_pylist()
         h = h[first]
         for a in range(0, len(lines), 4096):
-            (key, which, probe), parity = keys_of(lines[a : a + 4096], most_edits)
+            (key, which, probe), parity = keys_of(lines[a : a + 4096], most_edits, chars_per_edit)
             own = h[a : a + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own[which]), pa.array(parity[which].view(np.int32)), pa.array(probe)], names=["key", "line", "parity", "probe"])
 
@@ -167,7 +178,8 @@ MET = "key bigint, line bigint, parity int, probe boolean, other bigint"
 def met(batches, most_edits: int):
     """What meets under a key: (line, other) for each pair of a short run; of a longer one its members, other null.
 
-    Members are as many as there are, while pairs would grow with the square of a run.
+    Members are as many as there are, while pairs would grow with the square of a run. Those of a run
+    that is not too long are only the ones that meet another.
     """
     for key, line, parity, probe in runs(batches, ("key", "line", "parity", "probe")):
         bits = parity.view(np.uint32)
@@ -177,26 +189,34 @@ def met(batches, most_edits: int):
             a, b = line[few[i]], line[few[j]]
             n = len(a)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.minimum(a, b)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(np.maximum(a, b))], names=["key", "line", "parity", "probe", "other"])
-        many = np.flatnonzero(size > SHORT_RUN)
+        many = np.flatnonzero((size > SHORT_RUN) & (size <= LONG_RUN))
         used = np.zeros(len(many), bool)
         for i, j in long_meetings(key[many], line[many], bits[many], probe[many], most_edits):
             used[i] = used[j] = True
-        many = many[used]
+        many = np.concatenate([many[used], np.flatnonzero(size > LONG_RUN)])
         if len(many):
             yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(line[many]), pa.array(parity[many]), pa.array(probe[many]), pa.nulls(len(many), pa.int64())], names=["key", "line", "parity", "probe", "other"])
 
 
-def verified_runs(batches, most_edits: int):
-    """(a, b): the links among the members of longer runs, which come with their texts."""
+def parity_parts(key: Column, parity: Column, most_edits: int) -> Column:
+    """The keys under which the members of a crowded one meet again, one for each piece of the parity."""
+    pieces = 2 * most_edits + 1
+    edges = [32 * k // pieces for k in range(pieces + 1)]
+    part = lambda k: F.shiftrightunsigned(parity, edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
+    return F.array(*(F.xxhash64(key, F.lit(k), part(k)) for k in range(pieces)))
+
+
+def verified_runs(batches, most_edits: int, chars_per_edit: int):
+    """(a, b): the links among the members of parts of crowded keys, which come with their texts."""
     seen: set[tuple[int, int]] = set()
     for key, line, parity, probe, text in runs(batches, ("key", "line", "parity", "probe", "text")):
         found = []
-        for i, j in long_meetings(key, line, parity.view(np.uint32), probe, most_edits):
+        for i, j in meetings(key, line, parity.view(np.uint32), probe, most_edits):
             for x, y in zip(i.tolist(), j.tolist()):
                 pair = (int(min(line[x], line[y])), int(max(line[x], line[y])))
                 if pair not in seen:
                     seen.add(pair)
-                    if within(text[x], text[y], most_edits):
+                    if near(text[x], text[y], most_edits, chars_per_edit):
                         found.append(pair)
         if len(seen) > 1_000_000:
             seen.clear()
@@ -204,6 +224,11 @@ def verified_runs(batches, most_edits: int):
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
 
+def near(a: str, b: str, most_edits: int, chars_per_edit: int) -> bool:
+    """Whether two lines are linked."""
+    return within(a, b, min(most_edits, max(len(a), len(b)) // chars_per_edit))
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``.
 
@@ -253,36 +278,37 @@ def split_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return lines.where(F.trim("line") != "").withColumn("h", F.xxhash64("line"))
 
 
-def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): the hashes of each two different lines within ``most_edits`` edits."""
-    long = lines.where(F.char_length("line") >= least_chars).select("h", "line")
-    posts = long.mapInArrow(lambda it: posted(it, most_edits), "key bigint, line bigint, parity int, probe boolean")
+def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(a, b): the hashes of each two different lines that are linked."""
+    some = lines.where(F.char_length("line") >= chars_per_edit - 1).select("h", "line")
+    posts = some.mapInArrow(lambda it: posted(it, most_edits, chars_per_edit), "key bigint, line bigint, parity int, probe boolean")
     sort = ("key", "line", "probe")
     meeting = stored(posts.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: met(it, most_edits), MET).distinct())
     needed = stored(meeting.select(F.explode(F.array_compact(F.array("line", "other"))).alias("h")).distinct())
     if needed.count() <= MOST_BROADCAST:
         needed = F.broadcast(needed)
-    texts = long.join(needed, "h", "left_semi").groupBy("h").agg(F.first("line").alias("text"))
+    texts = some.join(needed, "h", "left_semi").groupBy("h").agg(F.first("line").alias("text"))
 
     def verify(batches):
         for batch in batches:
-            ok = [within(x, y, most_edits) for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist())]
+            ok = [near(x, y, most_edits, chars_per_edit) for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = meeting.where("other IS NOT NULL").select(F.col("line").alias("a"), F.col("other").alias("b"))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
-    members = meeting.where("other IS NULL").join(texts.withColumnRenamed("h", "line"), "line").select("key", "line", "parity", "probe", "text")
+    members = meeting.where("other IS NULL").join(texts.withColumnRenamed("h", "line"), "line")
+    parts = members.select(F.explode(parity_parts(F.col("key"), F.col("parity"), most_edits)).alias("key"), "line", "parity", "probe", "text")
     linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
-    linked = linked.unionByName(members.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: verified_runs(it, most_edits), "a bigint, b bigint"))
+    linked = linked.unionByName(parts.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: verified_runs(it, most_edits, chars_per_edit), "a bigint, b bigint"))
     return stored(linked.distinct())
 
 
-def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(h, n_copies, n_links, first) of each different line; ``first`` names its class: (no_id, doc_id, line_no)."""
     lines = split_lines(docs)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     own = stored(lines.groupBy("h").agg(F.min(place).alias("own"), F.count("*").alias("n_copies")))
-    links = line_links(lines, most_edits, least_chars)
+    links = line_links(lines, most_edits, chars_per_edit)
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     rooted = own.join(degree, "h", "left").join(components(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     rooted = stored(rooted)
@@ -303,7 +329,7 @@ def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     repeats goes, one without any line (null or blank) stays as it is.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    tagged = docs.select(*keep).withColumn("_row", F.monotonically_increasing_id())
+    tagged = numbered(docs).select(*keep, "_row")
     lines = split_lines(tagged, ("_row", "doc_id")).select("_row", "doc_id", "line_no", "h")
     repeats = lines.join(line_classes(docs), "h").where(place != F.col("first"))
     gone = repeats.groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))

@@ -32,7 +32,7 @@ SEED = 42
 MOST_BITS = 4
 BYTES = 8
 LONG_LIST = 48
-MOST_LIST = 4_000_000
+MOST_LIST = 20_000
 
 
 def hashes(text: bytes) -> list[int]:
@@ -72,8 +72,12 @@ def fingerprint(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return docs.select(*columns).mapInArrow(run, schema_with(docs, keep, "fp bigint"))
 
 
-def posted(batches, shared: int):
-    """(key, fp): the fingerprint under each choice of ``shared`` of its first positions."""
+def posted(batches, shared: int, split: bool = False):
+    """(key, fp): the fingerprint under each choice of ``shared`` of its first positions.
+
+    ``split`` adds to each choice, in turn, one of five pieces of the bits it leaves out: as four of
+    those may differ at most, one piece is the same in any two that are linked.
+    """
     choices = list(combinations(range(BYTES - MOST_BITS + shared), shared))
     for batch in batches:
         fp = batch.column(0).to_numpy().view(np.uint64)
@@ -82,7 +86,18 @@ def posted(batches, shared: int):
             key = np.full(len(fp), n, np.uint64)
             for p in chosen:
                 key = (key << np.uint64(8)) | at[p]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
+            if not split:
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
+                continue
+            rest = np.zeros(len(fp), np.uint64)
+            left = [p for p in range(BYTES) if p not in chosen]
+            for p in left:
+                rest = (rest << np.uint64(8)) | at[p]
+            edges = [8 * len(left) * k // (MOST_BITS + 1) for k in range(MOST_BITS + 2)]
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                piece = (rest >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+                own = (((key << np.uint64(3)) | np.uint64(k)) << np.uint64(8)) | piece
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,18 +183,19 @@ def links(fps: DataFrame, most_list: int = MOST_LIST) -> DataFrame:
     """(a, b): links that span the same components as all links between distinct fingerprints.
 
     A list of over ``most_list`` members is not held by a task: its members are posted once more,
-    under the choices of four bytes of all eight, which every link shares as well.
+    under the choices of four bytes of all eight, which every link shares as well, each with a piece of
+    the other four. What shares 38 bits there is few, and is searched however many they are.
     """
 
-    def index(rows: DataFrame, shared: int, most: int) -> DataFrame:
-        posts = rows.mapInArrow(lambda it: posted(it, shared), "key bigint, fp bigint")
+    def index(rows: DataFrame, shared: int, most: int, split: bool) -> DataFrame:
+        posts = rows.mapInArrow(lambda it: posted(it, shared, split), "key bigint, fp bigint")
         return stored(posts.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: links_of(it, most), "a bigint, b bigint"))
 
-    found = index(fps.select("fp"), 3, most_list)
+    found = index(fps.select("fp"), 3, most_list, False)
     again = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if again.isEmpty():
         return found
-    return found.where("b IS NOT NULL").unionByName(index(again, 4, 1 << 62))
+    return found.where("b IS NOT NULL").unionByName(index(again, 4, 1 << 62, True))
 
 
 def with_roots(docs: DataFrame, keep: tuple[str, ...], most_list: int = MOST_LIST) -> DataFrame:

@@ -7,7 +7,8 @@ inequality holds.
 
 The tree has three levels. Root entries are pivots from a bounded sample (``most_roots`` rows by a
 hash of their id; every vector is indexed). A vector belongs to its nearest pivot; what one pivot
-attracts beyond ``node_rows`` is split into several nodes under the same pivot. Within a node, pages of
+attracts beyond ``node_rows`` is split into several nodes under the same pivot, so no task holds a
+larger node however many vectors there are. Within a node, pages of
 about ``page_rows`` vectors have a routing vector, a covering radius and their entries' distances to it.
 Each query first searches the node of the least bound, best page first, which gives it a k-th score;
 then it goes to the other nodes whose covering radius does not rule them out. In a page only
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, stored
 
 K = 20
 SCALE = 64
@@ -127,7 +128,6 @@ def top_k(table: DataFrame, k: int = K, scale: int = SCALE, query_step: int = QU
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     roots = min(most_roots, math.ceil(total / node_rows))
-    cap = max(node_rows, math.ceil(total / most_roots))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(roots).select("v").collect()
     pivots = lifted(np.array([r[0] + [0.0] * (size - len(r[0])) for r in chosen]).reshape(len(chosen), size), norm2)
     margin = 1e-6 * (1 + math.sqrt(norm2))
@@ -138,10 +138,11 @@ def top_k(table: DataFrame, k: int = K, scale: int = SCALE, query_step: int = QU
                 d = distances(lifted(matrix(column(batch, "v"), size), norm2), pivots)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], names=["vec_id", "v", "root", "parent"])
 
-    held = vectors.mapInArrow(assign, "vec_id bigint, v array<double>, root int, parent double")
+    # Stored, as the sizes and both searches need it; distances to the pivots are computed once.
+    held = stored(vectors.mapInArrow(assign, "vec_id bigint, v array<double>, root int, parent double"))
     nodes, radius, first = {}, np.full(len(pivots), -math.inf), 0
     for r in held.groupBy("root").agg(F.count("*").alias("n"), F.max("parent").alias("radius")).orderBy("root").collect():
-        nodes[r["root"]] = (first, math.ceil(r["n"] / cap))
+        nodes[r["root"]] = (first, math.ceil(r["n"] / node_rows))
         radius[r["root"]] = r["radius"]
         first += nodes[r["root"]][1]
     first_of = F.create_map(*(F.lit(x) for root, (a, n) in nodes.items() for x in (root, a)))
@@ -152,25 +153,31 @@ def top_k(table: DataFrame, k: int = K, scale: int = SCALE, query_step: int = QU
     blocks = max(1, math.ceil(queries.count() / block_rows))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("q", F.xxhash64("vec_id", "v"))
 
+    first_node, n_nodes = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+    for root, (a, n) in nodes.items():
+        first_node[root], n_nodes[root] = a, n
+
     def route(batches, rest: bool):
-        """Send each query to the node of the least bound, or to all others in reach."""
-        root_of = np.array([root for root, (_, n) in nodes.items() for _ in range(n)])
+        """Send each query to one node of the root of the least bound, or to all others in reach. Bounds are by root."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(column(batch, "v"), size)
-            bound = (distances(np.column_stack([x, np.zeros(len(x))]), pivots) - radius)[:, root_of]
-            best = bound.argmin(axis=1)
-            if rest:
-                floor = column(batch, "floor").to_numpy(zero_copy_only=False)
-                reach = np.sqrt(np.maximum((x * x).sum(axis=1) + norm2 - 2 * np.where(np.isfinite(floor), floor, 0), 0))
-                go = ~np.isfinite(floor)[:, None] | (bound <= reach[:, None] + margin)
-                go[np.arange(len(x)), best] = False
-                row, node = np.nonzero(go)
-            else:
-                row, node = np.arange(len(x)), best
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(node.astype(np.int32))], names=[*taken.schema.names, "to"])
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                x = matrix(column(part, "v"), size)
+                bound = distances(np.column_stack([x, np.zeros(len(x))]), pivots) - np.where(n_nodes > 0, radius, -np.inf)
+                best = bound.argmin(axis=1)
+                own = first_node[best] + np.abs(column(part, "q").to_numpy()) % n_nodes[best]
+                if rest:
+                    floor = column(part, "floor").to_numpy(zero_copy_only=False)
+                    reach = np.sqrt(np.maximum((x * x).sum(axis=1) + norm2 - 2 * np.where(np.isfinite(floor), floor, 0), 0))
+                    row, root = np.nonzero(~np.isfinite(floor)[:, None] | (bound <= reach[:, None] + margin))
+                    count = n_nodes[root]
+                    node = np.repeat(first_node[root] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    row = np.repeat(row, count)
+                    row, node = row[node != own[row]], node[node != own[row]]
+                else:
+                    row, node = np.arange(len(x)), own
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(node.astype(np.int32))], names=[*taken.schema.names, "to"])
 
     def search(key, rows, asked):
         if not rows.num_rows or not asked.num_rows:

@@ -3,15 +3,16 @@
 A window of ``window`` words holds at least one of the non-overlapping blocks of (window + 1) / 2
 words that a document is laid out in. Those blocks are indexed by hash, every rolling window of a
 block's length probes the index, and a hit that another position shares is an anchor. Each window
-around an anchor is then looked up by its own hash of 80 bits; runs of windows that start somewhere
-else too are the maximal exact repeats, and their words are removed.
+around an anchor is then looked up by its hash and by a BLAKE2 digest of its words themselves, so
+that a collision of hashes removes nothing; runs of windows that start somewhere else too are the
+maximal exact repeats, and their words are removed.
 
 Hashes travel as sorted lists, one for each pair of a batch of documents and a range of hashes, so
 that a window costs a few bytes of shuffle. A batch sends each hash once, with a mark if it has it
 at several positions; a passage that a third of the documents share is thus one entry a batch, and
 no pair of documents is ever formed. Batches and ranges hold a fixed amount of text each and grow in
 number with the input. The first lookup is a filter and may let a false anchor through; the second
-decides.
+decides. Documents keep the batch they are dealt to when a task is run again.
 
 Defined results: a null or empty text has no words and keeps none; a text shorter than a window
 loses nothing, however often it is there; repeated rows are copies and remove each other; a null
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, text_bytes
+from .common import numbered, schema_with, text_bytes
 
 WINDOW = 35
 BATCH_BYTES = 8 << 20
@@ -118,6 +119,7 @@ class Batch:
     """The word hashes of some documents and which positions begin a window within one."""
 
     def __init__(self, texts: list[bytes], window: int):
+        self.texts = texts
         self.words, self.bounds = hashed(texts)
         self.window, self.block = window, (window + 1) // 2
         size = np.diff(self.bounds)
@@ -139,8 +141,24 @@ class Batch:
         at = np.flatnonzero(self.fits_window)
         return at[count[at + self.window - self.block + 1] > count[at]]
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return rolling(self.words, self.window, M1)[at], rolling(self.words, self.window, M3)[at].astype(np.uint16)
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        return rolling(self.words, self.window, M1)[at]
+
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """A digest of the words of each window, in the order of the positions."""
+        out = np.empty(len(at), np.uint64)
+        cuts = np.searchsorted(at, self.bounds)
+        blake, window = hashlib.blake2b, self.window
+        for d in np.flatnonzero(np.diff(cuts)).tolist():
+            words = self.texts[d].split()
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            own = at[cuts[d] : cuts[d + 1]] - self.bounds[d]
+            starts = np.where(own > 0, ends[own - 1], 0).tolist()
+            stops = (ends[own + window - 1] - 1).tolist()
+            found = b"".join([blake(joined[a:b], digest_size=8).digest() for a, b in zip(starts, stops)])
+            out[cuts[d] : cuts[d + 1]] = np.frombuffer(found, "<u8")
+        return out
 
 
 def lists(batch: int, hashes: np.ndarray, extra: np.ndarray | None, marks: np.ndarray, bits: int, ranges: int) -> pa.Table:
@@ -183,7 +201,7 @@ def shared(rows):
         steps = np.zeros((r["n"], 8), np.uint8)
         steps[:, : r["planes"]] = np.frombuffer(r["hashes"], np.uint8).reshape(r["planes"], -1).T
         hashes.append(np.cumsum(steps.view("<u8").ravel()) + np.int64(r["base"]).view(np.uint64))
-        extra.append(np.frombuffer(r["extra"], np.uint16) if r["extra"] else np.zeros(r["n"], np.uint16))
+        extra.append(np.frombuffer(r["extra"], np.uint64) if r["extra"] else np.zeros(r["n"], np.uint64))
         marks.append(np.frombuffer(r["marks"], np.uint8))
         batches.append(np.full(r["n"], r["batch"], np.int32))
     batches, hashes, extra, marks = map(np.concatenate, (batches, hashes, extra, marks))
@@ -206,7 +224,7 @@ def listed(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All hashes that were found for a batch."""
     return (
         np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in found["hashes"].to_pylist())]),
-        np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, np.uint16) for x in found["extra"].to_pylist())]),
+        np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in found["extra"].to_pylist())]),
     )
 
 
@@ -215,7 +233,7 @@ def texts_of(docs: pa.Table) -> list[bytes]:
 
 
 def among(h: np.ndarray, extra: np.ndarray, known: np.ndarray, known_extra: np.ndarray) -> np.ndarray:
-    """Whether each pair of hash and extra bits is a known one."""
+    """Whether each pair of hash and digest is a known one."""
     order = np.lexsort((known_extra, known))
     known, known_extra = known[order], known_extra[order]
     at = np.searchsorted(known, h)
@@ -243,7 +261,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
     n_batches, n_ranges = max(1, math.ceil(total / BATCH_BYTES)), max(1, math.ceil(total / RANGE_BYTES))
     bits = min(62, max(24, math.ceil(math.log2(total + 2)) + 10))
     columns = tuple(dict.fromkeys([*keep, "text"]))
-    dealt = docs.select(*columns, F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(n_batches)).cast("int").alias("_batch"))
+    dealt = numbered(docs).select(*columns, F.pmod(F.xxhash64("_row"), F.lit(n_batches)).cast("int").alias("_batch"))
 
     def index(key, rows):
         batch = Batch(texts_of(rows), window)
@@ -254,8 +272,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
         batch = Batch(texts_of(rows), window)
         at, h = batch.blocks(bits)
         near = batch.around(at[np.isin(h, listed(found)[0])])
-        h, extra = batch.windows(near) if len(near) else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
-        return lists(key[0].as_py(), h, extra, np.full(len(h), 2, np.uint8), 64, n_ranges)
+        h = batch.windows(near) if len(near) else np.zeros(0, np.uint64)
+        return lists(key[0].as_py(), h, batch.digests(near), np.full(len(h), 2, np.uint8), 64, n_ranges)
 
     def cut(key, rows, found):
         texts = texts_of(rows)
@@ -263,8 +281,10 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
         known, known_extra = listed(found)
         at = np.flatnonzero(batch.fits_window)
         if len(known) and len(at):
-            h, extra = batch.windows(at)
-            at = at[among(h, extra, known, known_extra)]
+            h = batch.windows(at)
+            maybe = np.isin(h, known)
+            at, h = at[maybe], h[maybe]
+            at = at[among(h, batch.digests(at), known, known_extra)]
         else:
             at = at[:0]
         gone = covered(batch, at)

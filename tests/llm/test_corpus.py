@@ -126,6 +126,20 @@ def test_substrings_are_brute_force(documents, nothing, monkeypatch, batch):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_colliding_hashes_remove_nothing(documents, monkeypatch):
+    """All windows have one hash, so only their words tell them apart."""
+    monkeypatch.setattr(substrings, "word_hashes", lambda text: np.zeros(len(text.split()), np.uint64))
+    texts = [r.text for r in documents.select("text").collect()]
+    batch = substrings.Batch([(t or "").encode() for t in texts], 35)
+    at = np.flatnonzero(batch.fits_window)
+    assert len(set(batch.windows(at).tolist())) == 1 and len(set(batch.digests(at).tolist())) > 100
+    known = substrings.lists(0, batch.windows(at), batch.digests(at), np.full(len(at), 2, np.uint8), 64, 1)
+    found = substrings.shared(known)
+    gone = substrings.covered(batch, at[substrings.among(batch.windows(at), batch.digests(at), *substrings.listed(found))])
+    counts = [int(gone[a:b].sum()) for a, b in zip(batch.bounds, batch.bounds[1:])]
+    assert counts == [n for _, n, _ in brute_repeats(texts)] and sum(counts) > 200
+
+
 def test_repeats_within_one_text(spark):
     a = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(1, a + " x " + a), (2, "a " * 40), (3, "b " * 35), (4, "é\x0b" * 34 + "é")], "doc_id bigint, text string")
@@ -220,17 +234,19 @@ def test_banded_distance(most_edits):
         assert linedup.within(a, b, most_edits) == (edits(a, b) <= most_edits)
 
 
-@pytest.mark.parametrize("broadcast", [0, 1 << 20])
-def test_line_links_are_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast,long_run,least", [(0, 4096, 20), (1 << 20, 8, 20), (1 << 20, 4096, 3), (1 << 20, 8, 3)])
+def test_line_links_are_brute_force(spark, monkeypatch, broadcast, long_run, least):
     monkeypatch.setattr(linedup, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(linedup, "LONG_RUN", long_run)
     rng = random.Random(8)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(20, 50))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(least, 50 if least > 3 else 16))) for _ in range(25)]
     texts = list({x.strip() for b in base[:20] for x in [b, *(altered(rng, b, rng.randint(1, 4)) for _ in range(4))]} | {altered(rng, base[24], rng.randint(0, 2)) for _ in range(40)})
+    texts = [t for t in texts if t.strip()]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])], "doc_id bigint, text string")
     lines = linedup.split_lines(docs)
     text_of = {r.h: r.line for r in lines.collect()}
     got = {frozenset((text_of[r.a], text_of[r.b])) for r in linedup.line_links(lines).collect()}
-    want = {frozenset((a, b)) for a in texts for b in texts if a < b and min(len(a), len(b)) >= 20 and edits(a, b) <= 2}
+    want = {frozenset((a, b)) for a in texts for b in texts if a < b and edits(a, b) <= min(2, max(len(a), len(b)) // 5)}
     assert got == want and len(want) > 20
     classes = {(r.doc_id, r.line_no): r for r in linedup.classify_lines(docs).collect()}
     roots = merged(len(texts), [tuple(texts.index(x) for x in pair) for pair in want])

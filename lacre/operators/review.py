@@ -48,8 +48,9 @@ def manual_decisions(known: DataFrame, decisions: DataFrame, pages: DataFrame |
     if pages is not None:
         new = new.join(F.broadcast(pages.select(F.col("pagina").alias("_there")).distinct()), F.col("pagina") == F.col("_there"), "left")
         wrong = F.coalesce(wrong, F.when(F.col("_there").isNull(), F.concat(F.lit("no such page for "), F.col("entidade_id"))))
-    checked = new.withColumn("bboxes", F.when(wrong.isNull(), F.col("bboxes")).otherwise(F.raise_error(wrong)))
-    return checked.select("entidade_id", "pagina", "acao", F.explode_outer("bboxes").alias("_b")).where("acao = 'tarjar'").select("entidade_id", "pagina", "_b.*")
+    # The check is part of the filter: before it, a row that is to go would not be looked at.
+    covered = new.where(F.when(wrong.isNull(), F.col("acao") == "tarjar").otherwise(F.raise_error(wrong).cast("boolean")))
+    return covered.select("entidade_id", "pagina", F.explode_outer("bboxes").alias("_b")).select("entidade_id", "pagina", "_b.*")
 
 
 def normalized_rectangle(x0: Column, y0: Column, x1: Column, y1: Column, side: float = SIDE) -> Column:

@@ -30,7 +30,7 @@ def refusal(content: Column, length: Column, most_bytes: int = MOST_BYTES, magic
 
 
 def uploads(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, length, content and ``recusa``: null for a PDF within the limit, else 413 or 415."""
+    """path, length, content and ``recusa``: null for a PDF within the limit, else 413 or 415. Empty files are no rows: the reader lists none."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     return files.withColumn("recusa", refusal(F.col("content"), F.col("length"), most_bytes))
 
@@ -51,6 +51,6 @@ def parsed(files: DataFrame, parser: Callable[[bytes], Iterable[dict]], schema:
                     rows += [{"doc_id": path, "erro": None, **row} for row in parser(bytes(content))]
                 except Exception as error:  # noqa: BLE001  a bad file is data, and must not end the job
                     rows.append({"doc_id": path, "erro": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=["doc_id", "erro", *names])
+            yield pd.DataFrame(rows, columns=["doc_id", "erro", *names], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, f"doc_id string, erro string, {schema}")

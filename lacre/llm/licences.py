@@ -1,6 +1,6 @@
 """Operator 7: licence scan by the Dice coefficient over word bigrams, in DataFrame functions only.
 
-The lines, paragraphs and the whole of a text are its segments. A segment is normalised to lower-case
+The lines, the runs of one to four paragraphs and the whole of a text are its segments. A segment is normalised to lower-case
 words ``[a-z0-9]+`` and compared, as the set of its word bigrams A, to each licence template B by
 2 |A n B| / (|A| + |B|). A coefficient of t or more needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, which
 prunes the templates by size before any bigrams are compared. It needs, too, more than
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+#: Paragraphs of the longest of the templates, in their usual layout.
+MOST_PARAGRAPHS = 4
 #: Public licence texts and the notices by which works refer to them.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -37,8 +39,32 @@ TEMPLATES = {
         later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
         the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
         more details.""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General
+        Public License for more details.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+        OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+        later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.""",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "mit-notice": "Released under the MIT License.",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -89,7 +115,13 @@ def segment_matches(text: Column, templates: dict[str, list[str]], least: float)
     seen = F.lit(False)
     for word in needed_words(templates, least):
         seen = seen | F.contains(low, F.lit(word))
-    parts = F.array_distinct(F.concat(F.split(low, "\n"), F.split(low, "\n[ \t\r]*\n"), F.array(low)))
+    paragraphs = F.split(low, "\n[ \t\r]*\n")
+
+    def runs(all_: Column) -> Column:
+        several = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_) - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(all_, i, k), "\n")) for k in range(1, MOST_PARAGRAPHS + 1)]
+        return F.concat(*several)
+
+    parts = F.array_distinct(F.concat(F.split(low, "\n"), F.get(F.transform(F.array(paragraphs), runs), F.lit(0)), F.array(low)))
     nothing = F.array().cast("array<struct<licence: string, dice: double, segment: string>>")
 
     def words(segment: Column) -> Column:
@@ -124,12 +156,13 @@ def scan_licences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), template
 def oracle(least: float = LEAST) -> str:
     """The query's rows in DuckDB's SQL, every segment against every template."""
     rows = ", ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams_of(text))}])" for name, text in sorted(TEMPLATES.items()))
+    runs = ", ".join(f"list_transform(range(1, greatest(len(p) - {k - 1}, 1) + 1), lambda i: array_to_string(p[i:i + {k - 1}], chr(10)))" for k in range(1, MOST_PARAGRAPHS + 1))
     return f"""
     WITH template(licence, b) AS (VALUES {rows}),
     part AS (
         SELECT DISTINCT rid, segment FROM (
-            SELECT rowid AS rid, unnest(list_concat(string_split(lower(text), chr(10)), regexp_split_to_array(lower(text), '\\n[ \\t\\r]*\\n'), [lower(text)])) AS segment
-            FROM (SELECT row_number() OVER () AS rowid, text FROM documents) WHERE text IS NOT NULL)),
+            SELECT rid, unnest(list_concat(string_split(low, chr(10)), {runs}, [low])) AS segment
+            FROM (SELECT rid, low, regexp_split_to_array(low, '\\n[ \\t\\r]*\\n') AS p FROM (SELECT row_number() OVER () AS rid, lower(text) AS low FROM documents) WHERE low IS NOT NULL))),
     word AS (SELECT rid, segment, list_filter(regexp_split_to_array(segment, '[^a-z0-9]+'), lambda w: w <> '') AS w FROM part),
     gram AS (SELECT rid, segment, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM word WHERE len(w) > 1),
     hit AS (

@@ -237,10 +237,12 @@ def test_licences(spark, nothing):
         (1, "intro\nReleased under the MIT License.\nmore"), (2, "RELEASED under the  MIT license"), (3, "nothing at all"), (4, None), (5, ""), (6, "word"),
         (7, "a paragraph\n\n" + mit + "\n\nafter it"), (8, mit.replace("Software", "Program", 2)), (9, "This work is licensed under the GNU Lesser General Public License, version 3."),
         (None, "Licensed under CC BY-NC 4.0."), (1, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (10, "license " * 9000),
+        (11, "read me\n\nMIT\n\nCopyright (c) 2020 Somebody\n\n" + mit.replace(": The above", ":\n\nThe above").replace(". THE SOFTWARE IS", ".\n\nTHE SOFTWARE IS") + "\n\nmore text after it"),
+        (12, licences.TEMPLATES["bsd-2-clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")),
     ]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, matches string")
     found = [(r.doc_id, sorted({m.licence for m in r.matches})) for r in licences.scan_licences(docs).collect()]
-    want = [(1, ["mit-notice"]), (2, ["mit-notice"]), (3, []), (4, []), (5, []), (6, []), (7, ["mit"]), (8, ["mit"]), (9, ["gpl-3.0-notice"]), (None, ["cc-by-nc-4.0-notice"]), (1, ["apache-2.0-notice", "mit-notice"]), (10, [])]
+    want = [(1, ["mit-notice"]), (2, ["mit-notice"]), (3, []), (4, []), (5, []), (6, []), (7, ["mit"]), (8, ["mit"]), (9, ["gpl-3.0-notice", "lgpl-3.0-notice"]), (None, ["cc-by-nc-4.0-notice"]), (1, ["apache-2.0-notice", "mit-notice"]), (10, []), (11, ["mit"]), (12, ["bsd-2-clause"])]
     assert found == want
     assert licences.scan_licences(nothing).count() == 0
 

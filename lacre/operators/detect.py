@@ -113,7 +113,7 @@ def _valid_types(raw: str) -> str:
         card = f"if(length({d}) BETWEEN 13 AND 19 AND luhn_check({d}) AND {raw} RLIKE {lit(rf'^{CARD}\z')}, 'CARTAO_CREDITO', null)"
         of_size = {n: [f"if({rule(d)}, '{t}', null)" for t, rule in rules.items()] + ([card] if 13 <= n <= 19 else []) for n, rules in RULES.items()}
         cases = chosen(((f"length({d}) = {n}", f"array({', '.join(options)})") for n, options in of_size.items()), f"array({card})")
-        return f"if({d} RLIKE r'^[0-9]+\z', array_compact({cases}), cast(array() AS array<string>))"
+        return rf"if({d} RLIKE r'^[0-9]+\z', array_compact({cases}), cast(array() AS array<string>))"
 
     return let(f"translate({raw}, '.-/ ', '')", fitting)
 

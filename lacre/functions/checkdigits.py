@@ -20,7 +20,7 @@ DDDS = tuple(
 
 def digits_of(value: str) -> str:
     """The digits without separators; null where there is anything else or nothing."""
-    return let(f"translate({value}, '.-/ ', '')", lambda d: rf"CASE WHEN {d} RLIKE r'^[0-9]+\\z' THEN {d} END")
+    return let(f"translate({value}, '.-/ ', '')", lambda d: rf"CASE WHEN {d} RLIKE r'^[0-9]+\z' THEN {d} END")
 
 
 def digit(d: str, i: int) -> str:

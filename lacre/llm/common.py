@@ -29,18 +29,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` with a number for each row that stays the same however often a task is run again.
+def numbered(df: DataFrame, of_files: bool = False) -> DataFrame:
+    """``df`` with ``_row``, which tells rows apart and stays the same however often a task is run again.
 
-    Rows of files have their place in them. Any other table is written to the shared folder first, as
-    after a shuffle its rows may come in another order when a lost executor's work is done once more.
+    The caller says with ``of_files`` that each row is a row of a file, once: then it is the row's place.
+    Any other table, in which a row of a file may have become several, is written to the shared folder
+    first, as its rows may come in another order when a lost executor's work is done once more.
     """
-    try:
-        placed = df.withColumn(name, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
-        placed.schema
-        return placed
-    except AnalysisException:
-        return stored(df.withColumn(name, F.monotonically_increasing_id()))
+    if of_files:
+        try:
+            placed = df.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+            placed.schema
+            return placed
+        except AnalysisException:
+            pass  # a table made in memory has no files
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

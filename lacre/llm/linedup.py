@@ -12,7 +12,8 @@ What meets under a key is tested by the parity of its characters, of which an ed
 most, and then verified by a banded bit-parallel edit distance.
 
 A crowded key is dealt out once more, by pieces of the parity: parities that differ in few bits agree
-in one piece at least, so each part of the key is a task's work of its own and no link is lost.
+in one piece at least, so each part of the key is a task's work of its own and no link is lost. A part
+that is still crowded is cut into blocks, and each two blocks meet in a cell of bounded size.
 
 Equal lines are one entry from the start: they are dropped within a task before keys are made and
 within a key afterwards, so a line that a third of the rows hold is a few rows in the join. The
@@ -38,6 +39,8 @@ CHARS_PER_EDIT = 5
 SHORT_RUN = 8
 #: A longer run is handed on whole, to be dealt out by pieces of the parity before its pairs are looked at.
 LONG_RUN = 4096
+#: A part with more members is cut into blocks of about as many.
+LONG_PART = 50_000
 MOST_BROADCAST = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -142,28 +145,40 @@ def long_meetings(key, line, parity, probe, most_edits: int):
             yield order[i], order[j]
 
 
-def runs(batches, columns: tuple[str, ...]):
-    """Arrays of whole keys, from batches sorted by key; a row that repeats key, line and probe is left out."""
+def runs(batches, columns: tuple[str, ...], most: int | None = None):
+    """(crowded, arrays) of whole keys, from batches sorted by key; a row that repeats key, line and probe is left out.
 
-    def whole(now):
+    A key of more than ``most`` rows is not held: its rows come in parts, as crowded.
+    """
+
+    def once(now):
         key, line, _, probe = now[:4]
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (line[1:] == line[:-1]) & (probe[1:] == probe[:-1])
         return tuple(x[~same] for x in now)
 
-    held = None
+    held = crowded = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         now = tuple(column(batch, c).to_numpy(zero_copy_only=False) for c in columns)
+        if crowded is not None:
+            n = int(np.searchsorted(now[0], crowded, side="right"))
+            if n:
+                yield True, once(tuple(x[:n] for x in now))
+            now = tuple(x[n:] for x in now)
+        if not len(now[0]):
+            continue
+        crowded = None
         if held is not None:
             now = tuple(np.concatenate(x) for x in zip(held, now))
         n = int(np.searchsorted(now[0], now[0][-1]))
         if n:
-            yield whole(tuple(x[:n] for x in now))
-        held = tuple(x[n:] for x in now)
+            yield False, once(tuple(x[:n] for x in now))
+        held = once(tuple(x[n:] for x in now))
+        if most is not None and len(held[0]) > most:
+            yield True, held
+            held, crowded = None, held[0][0]
     if held is not None:
-        yield whole(held)
+        yield False, held
 
 
 def run_sizes(key: np.ndarray) -> np.ndarray:
@@ -175,25 +190,25 @@ def run_sizes(key: np.ndarray) -> np.ndarray:
 MET = "key bigint, line bigint, parity int, probe boolean, other bigint"
 
 
-def met(batches, most_edits: int):
+def met(batches, most_edits: int, long_run: int):
     """What meets under a key: (line, other) for each pair of a short run; of a longer one its members, other null.
 
     Members are as many as there are, while pairs would grow with the square of a run. Those of a run
     that is not too long are only the ones that meet another.
     """
-    for key, line, parity, probe in runs(batches, ("key", "line", "parity", "probe")):
+    for crowded, (key, line, parity, probe) in runs(batches, ("key", "line", "parity", "probe"), long_run):
         bits = parity.view(np.uint32)
-        size = run_sizes(key)
+        size = np.full(len(key), long_run + 1) if crowded else run_sizes(key)
         few = np.flatnonzero((size > 1) & (size <= SHORT_RUN))
         for i, j in meetings(key[few], line[few], bits[few], probe[few], most_edits):
             a, b = line[few[i]], line[few[j]]
             n = len(a)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.minimum(a, b)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(np.maximum(a, b))], names=["key", "line", "parity", "probe", "other"])
-        many = np.flatnonzero((size > SHORT_RUN) & (size <= LONG_RUN))
+        many = np.flatnonzero((size > SHORT_RUN) & (size <= long_run))
         used = np.zeros(len(many), bool)
         for i, j in long_meetings(key[many], line[many], bits[many], probe[many], most_edits):
             used[i] = used[j] = True
-        many = np.concatenate([many[used], np.flatnonzero(size > LONG_RUN)])
+        many = np.concatenate([many[used], np.flatnonzero(size > long_run)])
         if len(many):
             yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(line[many]), pa.array(parity[many]), pa.array(probe[many]), pa.nulls(len(many), pa.int64())], names=["key", "line", "parity", "probe", "other"])
 
@@ -206,13 +221,29 @@ def parity_parts(key: Column, parity: Column, most_edits: int) -> Column:
     return F.array(*(F.xxhash64(key, F.lit(k), part(k)) for k in range(pieces)))
 
 
+def in_blocks(parts: DataFrame, long_part: int) -> DataFrame:
+    """The members of parts with those of long ones in cells, one for each two blocks; ``block`` is -1 in a cell of one block.
+
+    A member of a part of m blocks goes to m cells, each of which has the members of two blocks at most.
+    """
+    long = parts.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > long_part)
+    long = stored(long.select("key", F.ceil(F.col("_n") / long_part).cast("int").alias("_m")))
+    if long.isEmpty():
+        return parts.withColumn("block", F.lit(-1))
+    block = F.pmod(F.xxhash64("line"), F.col("_m")).cast("int")
+    spread = parts.join(long, "key", "left").withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)) - 1)))
+    cell = F.xxhash64("key", F.least("_b", "_o"), F.greatest("_b", "_o"))
+    return spread.select(F.when(F.col("_m").isNull(), F.col("key")).otherwise(cell).alias("key"), "line", "parity", "probe", F.when(F.col("_b") != F.col("_o"), F.col("_b")).otherwise(-1).alias("block"))
+
+
 def verified_runs(batches, most_edits: int, chars_per_edit: int):
     """(a, b): the links among the members of parts of crowded keys, which come with their texts."""
     seen: set[tuple[int, int]] = set()
-    for key, line, parity, probe, text in runs(batches, ("key", "line", "parity", "probe", "text")):
+    for _, (key, line, parity, probe, block, text) in runs(batches, ("key", "line", "parity", "probe", "block", "text")):
         found = []
         for i, j in meetings(key, line, parity.view(np.uint32), probe, most_edits):
-            for x, y in zip(i.tolist(), j.tolist()):
+            apart = (block[i] < 0) | (block[i] != block[j])
+            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
                 pair = (int(min(line[x], line[y])), int(max(line[x], line[y])))
                 if pair not in seen:
                     seen.add(pair)
@@ -280,10 +311,11 @@ def split_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
 
 def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(a, b): the hashes of each two different lines that are linked."""
+    long_run, long_part = LONG_RUN, LONG_PART
     some = lines.where(F.char_length("line") >= chars_per_edit - 1).select("h", "line")
     posts = some.mapInArrow(lambda it: posted(it, most_edits, chars_per_edit), "key bigint, line bigint, parity int, probe boolean")
     sort = ("key", "line", "probe")
-    meeting = stored(posts.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: met(it, most_edits), MET).distinct())
+    meeting = stored(posts.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: met(it, most_edits, long_run), MET).distinct())
     needed = stored(meeting.select(F.explode(F.array_compact(F.array("line", "other"))).alias("h")).distinct())
     if needed.count() <= MOST_BROADCAST:
         needed = F.broadcast(needed)
@@ -296,8 +328,8 @@ def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: i
 
     pairs = meeting.where("other IS NOT NULL").select(F.col("line").alias("a"), F.col("other").alias("b"))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
-    members = meeting.where("other IS NULL").join(texts.withColumnRenamed("h", "line"), "line")
-    parts = members.select(F.explode(parity_parts(F.col("key"), F.col("parity"), most_edits)).alias("key"), "line", "parity", "probe", "text")
+    members = meeting.where("other IS NULL").select(F.explode(parity_parts(F.col("key"), F.col("parity"), most_edits)).alias("key"), "line", "parity", "probe")
+    parts = in_blocks(members, long_part).join(texts.withColumnRenamed("h", "line"), "line")
     linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
     linked = linked.unionByName(parts.repartition("key").sortWithinPartitions(*sort).mapInArrow(lambda it: verified_runs(it, most_edits, chars_per_edit), "a bigint, b bigint"))
     return stored(linked.distinct())
@@ -322,14 +354,14 @@ def classify_lines(docs: DataFrame) -> DataFrame:
     return lines.join(line_classes(docs), "h").select("doc_id", "line_no", "n_links", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"))
 
 
-def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...], of_files: bool = False) -> DataFrame:
     """The documents without the lines of which an earlier document, or an earlier place, has one of the same class.
 
     ``text`` is what is left and ``n_chars``, if kept, its length; a document all of whose lines are
-    repeats goes, one without any line (null or blank) stays as it is.
+    repeats goes, one without any line (null or blank) stays as it is. ``of_files``: see ``numbered``.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    tagged = numbered(docs).select(*keep, "_row")
+    tagged = numbered(docs, of_files).select(*keep, "_row")
     lines = split_lines(tagged, ("_row", "doc_id")).select("_row", "doc_id", "line_no", "h")
     repeats = lines.join(line_classes(docs), "h").where(place != F.col("first"))
     gone = repeats.groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))

@@ -255,13 +255,13 @@ def covered(batch: Batch, at: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
-    """``keep``, n_words, n_removed, kept (the words that stay, joined by blanks) and its SHA-256."""
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, of_files: bool = False) -> DataFrame:
+    """``keep``, n_words, n_removed, kept (the words that stay, joined by blanks) and its SHA-256; ``of_files``: see ``numbered``."""
     total = text_bytes(docs)
     n_batches, n_ranges = max(1, math.ceil(total / BATCH_BYTES)), max(1, math.ceil(total / RANGE_BYTES))
     bits = min(62, max(24, math.ceil(math.log2(total + 2)) + 10))
     columns = tuple(dict.fromkeys([*keep, "text"]))
-    dealt = numbered(docs).select(*columns, F.pmod(F.xxhash64("_row"), F.lit(n_batches)).cast("int").alias("_batch"))
+    dealt = numbered(docs, of_files).select(*columns, F.pmod(F.xxhash64("_row"), F.lit(n_batches)).cast("int").alias("_batch"))
 
     def index(key, rows):
         batch = Batch(texts_of(rows), window)

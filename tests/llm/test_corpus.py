@@ -6,8 +6,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lacre.llm import graph, linedup, packing, simhash, substrings, topk
 
@@ -234,10 +236,11 @@ def test_banded_distance(most_edits):
         assert linedup.within(a, b, most_edits) == (edits(a, b) <= most_edits)
 
 
-@pytest.mark.parametrize("broadcast,long_run,least", [(0, 4096, 20), (1 << 20, 8, 20), (1 << 20, 4096, 3), (1 << 20, 8, 3)])
-def test_line_links_are_brute_force(spark, monkeypatch, broadcast, long_run, least):
+@pytest.mark.parametrize("broadcast,long_run,long_part,least", [(0, 4096, 50_000, 20), (1 << 20, 2, 3, 20), (1 << 20, 4096, 50_000, 3), (1 << 20, 1, 50_000, 3)])
+def test_line_links_are_brute_force(spark, monkeypatch, broadcast, long_run, long_part, least):
     monkeypatch.setattr(linedup, "MOST_BROADCAST", broadcast)
     monkeypatch.setattr(linedup, "LONG_RUN", long_run)
+    monkeypatch.setattr(linedup, "LONG_PART", long_part)
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(least, 50 if least > 3 else 16))) for _ in range(25)]
     texts = list({x.strip() for b in base[:20] for x in [b, *(altered(rng, b, rng.randint(1, 4)) for _ in range(4))]} | {altered(rng, base[24], rng.randint(0, 2)) for _ in range(40)})
@@ -256,6 +259,30 @@ def test_line_links_are_brute_force(spark, monkeypatch, broadcast, long_run, lea
             assert classes[len(texts) + i, 0].class_doc_id == roots[i]
 
 
+def test_a_crowded_key_comes_in_parts():
+    rows = [(1, 5), (2, 1), (2, 1), (2, 2), (2, 3), (2, 4), (2, 5), (2, 5), (3, 7), (3, 8), (4, 1)]
+    table = pa.table({"key": [k for k, _ in rows], "line": [x for _, x in rows], "parity": [0] * len(rows), "probe": [False] * len(rows)})
+    for size in (1, 2, 3, 20):
+        found = [(crowded, list(zip(key.tolist(), line.tolist()))) for crowded, (key, line, _, _) in linedup.runs(table.to_batches(max_chunksize=size), ("key", "line", "parity", "probe"), 2)]
+        assert sorted({x for _, part in found for x in part}) == sorted(set(rows))
+        assert all(len({k for k, _ in part}) == 1 for crowded, part in found if crowded)
+        assert {k for crowded, part in found if crowded for k, _ in part} <= {2}
+        held = [k for crowded, part in found if not crowded for k in {k for k, _ in part}]
+        assert len(held) == len(set(held))
+
+
+@pytest.mark.parametrize("of_files", [False, True])
+def test_rows_are_told_apart_by_number(spark, tmp_path, of_files):
+    path = str(tmp_path / "docs")
+    text = "a line that is long enough to be compared\nwords of one"
+    spark.createDataFrame([(1, text), (2, text.replace("one", "two hundred")), (None, text), (None, "other words")], "doc_id bigint, text string").repartition(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = sorted((r.doc_id or 0, r.text) for r in linedup.without_repeated_lines(docs, ("doc_id", "text"), of_files=of_files).collect())
+    assert found == [(0, "other words"), (1, text), (2, "words of two hundred")]
+    made = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    assert sorted(r.text for r in linedup.without_repeated_lines(made, ("doc_id", "text")).collect()) == sorted(["other words", *text.split("\n"), "words of two hundred"])
+
+
 def test_repeated_lines_go(spark, documents, nothing):
     keep = ("doc_id", "text", "lang", "source", "n_chars")
     line = "a line that is long enough to be compared"

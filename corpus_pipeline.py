@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that, up to two edits, stand in an earlier document or place."""
-    return without_repeated_lines(docs, DOC_COLUMNS)
+    return without_repeated_lines(docs, DOC_COLUMNS, of_files=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences
+from . import licences, sql
 from .common import id_remainder, prepare, table
 
 
@@ -102,4 +102,9 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op6_topk, op7_licences, op8_langid, op9_simhash, op10_substrings)}
 
-SQL: dict[str, str] = {"op7_licences": licences.oracle()}
+SQL: dict[str, str] = {
+    "op1_decontaminate": sql.decontamination(),
+    "op6_topk": sql.top_k(),
+    "op7_licences": licences.oracle(),
+    "op10_substrings": sql.substrings(),
+}

@@ -100,11 +100,33 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), of_files=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op6_topk, op7_licences, op8_langid, op9_simhash, op10_substrings)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    prepare(spark)
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")
+    each = found.rows.select("vec_id", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("i", "whitened"))
+    return each.select(
+        "vec_id", (F.col("i") + 1).alias("component"), F.lit(found.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.element_at(F.lit(found.explained), F.col("i") + 1).alias("explained"), F.lit(found.identity_error).alias("identity_error"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    prepare(spark)
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op6_topk, op7_licences, op8_langid, op9_simhash, op10_substrings, op11_whitening, op13_centroids)}
 
 SQL: dict[str, str] = {
     "op1_decontaminate": sql.decontamination(),
     "op6_topk": sql.top_k(),
     "op7_licences": licences.oracle(),
     "op10_substrings": sql.substrings(),
+    "op13_centroids": sql.centroids(),
 }

@@ -1,4 +1,4 @@
-"""What the contracts of operators 1, 6 and 10 ask for, in DuckDB's SQL: plain joins without an index."""
+"""What the contracts of operators 1, 6, 10 and 13 ask for, in DuckDB's SQL: plain joins without an index."""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,3 +46,29 @@ def substrings(window: int = 35) -> str:
     kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM word ANTI JOIN gone USING (rid, pos) GROUP BY rid)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
     FROM doc LEFT JOIN kept USING (rid)"""
+
+
+def centroids(clusters: int = 8, rounds: int = 10, dimensions: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Each round as two steps of its own: the nearest centroid of each vector, then the floor of each mean."""
+    steps = [f"""
+    kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    hashed AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v FROM kept),
+    c0 AS MATERIALIZED (SELECT k, v FROM hashed WHERE k < {clusters})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (
+        SELECT rid, vec_id, v, k, d FROM (
+            SELECT rid, vec_id, kept.v, k, list_sum(list_transform(range(1, {dimensions + 1}), lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i]))) AS d FROM kept, c{r})
+        QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+    m{r} AS (
+        SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+        FROM (SELECT k, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS y, unnest(range({dimensions})) AS i FROM a{r}) GROUP BY k, i) GROUP BY k),
+    c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return "WITH" + ",".join(steps) + f"""
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (k)"""

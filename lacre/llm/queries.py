@@ -114,6 +114,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score_texts
+
+    prepare(spark)
+    return score_texts(table(spark, sf_dir, "documents")).drop("token_scores")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_vectors
 
@@ -121,7 +128,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op6_topk, op7_licences, op8_langid, op9_simhash, op10_substrings, op11_whitening, op13_centroids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_packing, op4_toxicity, op5_linedup, op6_topk, op7_licences, op8_langid, op9_simhash, op10_substrings, op11_whitening, op12_pitman_yor, op13_centroids)}
 
 SQL: dict[str, str] = {
     "op1_decontaminate": sql.decontamination(),

@@ -118,10 +118,17 @@ def segment_matches(text: Column, templates: dict[str, list[str]], least: float)
     paragraphs = F.split(low, "\n[ \t\r]*\n")
 
     def runs(all_: Column) -> Column:
-        several = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_) - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(all_, i, k), "\n")) for k in range(1, MOST_PARAGRAPHS + 1)]
+        # Each length is the one before with one paragraph more: a walk for each length, none for each paragraph.
+        longer, several = all_, [all_]
+        for k in range(2, MOST_PARAGRAPHS + 1):
+            longer = F.zip_with(longer, F.slice(all_, k, F.size(all_)), lambda run, more: F.concat(run, F.lit("\n"), more))
+            several.append(longer)
         return F.concat(*several)
 
-    parts = F.array_distinct(F.concat(F.split(low, "\n"), F.get(F.transform(F.array(paragraphs), runs), F.lit(0)), F.array(low)))
+    def needed(segment: Column) -> Column:
+        return F.coalesce(segment.rlike("|".join(needed_words(templates, least))), F.lit(False))
+
+    parts = F.array_distinct(F.filter(F.concat(F.split(low, "\n"), F.get(F.transform(F.array(paragraphs), runs), F.lit(0)), F.array(low)), needed))
     nothing = F.array().cast("array<struct<licence: string, dice: double, segment: string>>")
 
     def words(segment: Column) -> Column:

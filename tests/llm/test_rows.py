@@ -330,3 +330,13 @@ def test_passes_are_stored_one_by_one(documents, benchmark):
     parts = decontaminate.find_contamination(documents, benchmark, ("doc_id", "text"), block_bytes=40)
     assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
     assert "MapInArrow" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_licence_among_very_many_paragraphs(spark):
+    """Time and memory follow the length of a text, not the square of its paragraphs."""
+    text = licences.TEMPLATES["mit"]
+    parts = [text.split("The above")[0], "The above" + text.split("The above")[1].split("THE SOFTWARE IS")[0], "THE SOFTWARE IS" + text.split("THE SOFTWARE IS")[1]]
+    many = [f"paragraph {i} of this software and its words {i * 7919 % 1000}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n\n".join([*many[:9000], *parts, *many[9000:]])), (2, "\n\n".join(many))], "doc_id bigint, text string")
+    found = {r["doc_id"]: [(m["licence"], m["dice"]) for m in r["matches"]] for r in licences.scan_licences(docs).collect()}
+    assert max(found[1], key=lambda m: m[1]) == ("mit", 1.0) and {m[0] for m in found[1]} == {"mit"} and found[2] == []

@@ -20,18 +20,21 @@ within a key afterwards, so a line that a third of the rows hold is a few rows i
 classes are the components of the links; a class is named by its first line in the order of doc_id
 and line number.
 
-Defined results: a null text has no lines; blank lines are nobody's copies and keep their place;
+Defined results: a null text has no lines; blank lines (of white space of any alphabet, so that of a
+text with carriage returns as well) are nobody's copies and keep their place;
 a null doc_id comes after all others; in repeated rows the lines of one are copies of the other's.
 """
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, numbered, stored
+from .common import column, numbered, slices, stored
 from .graph import components
 
 MOST_EDITS = 2
@@ -303,10 +306,24 @@ def within(a: str, b: str, most: int) -> bool:
     return bool(rows[most] >> (most + len(b) - len(a)) & 1)
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def second_hash(line: Column) -> Column:
+    """Another hash, which tells lines apart whose first is the same."""
+    return F.xxhash64(F.lit(1), line, F.reverse(line))
+
+
+def not_blank(line: Column) -> Column:
+    """Whether there is more than white space, of any alphabet: a lone carriage return is a blank line."""
+    return line.rlike(r"(?U)\S")
+
+
 def split_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, line_no, line and h, its hash, for each line that isn't blank."""
     lines = docs.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.trim("line") != "").withColumn("h", F.xxhash64("line"))
+    return lines.where(not_blank(F.col("line"))).withColumn("h", line_hash(F.col("line")))
 
 
 def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -335,23 +352,35 @@ def line_links(lines: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: i
     return stored(linked.distinct())
 
 
-def line_classes(docs: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """(h, n_copies, n_links, first) of each different line; ``first`` names its class: (no_id, doc_id, line_no)."""
-    lines = split_lines(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    own = stored(lines.groupBy("h").agg(F.min(place).alias("own"), F.count("*").alias("n_copies")))
+def line_classes(lines: DataFrame, most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> tuple[DataFrame, DataFrame]:
+    """The lines, and (h, n_copies, n_links, first) of each different one; ``first`` names its class: (no_id, doc_id, line_no).
+
+    Different lines with one ``h`` show by their second hash and get that as their ``h``; both hashes
+    are the same for one in 2^128 pairs.
+    """
+    place, second = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no"), second_hash(F.col("line"))
+
+    def counted(lines: DataFrame) -> DataFrame:
+        return stored(lines.groupBy("h").agg(F.min(place).alias("own"), F.count("*").alias("n_copies"), F.min(second).alias("_a"), F.max(second).alias("_b")))
+
+    own = counted(lines)
+    shared = own.where("_a <> _b").select("h", F.lit(True).alias("_shared"))
+    if not shared.isEmpty():
+        lines = lines.join(shared, "h", "left").withColumn("h", F.when(F.col("_shared"), second).otherwise(F.col("h"))).drop("_shared")
+        own = counted(lines)
+    own = own.drop("_a", "_b")
     links = line_links(lines, most_edits, chars_per_edit)
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     rooted = own.join(degree, "h", "left").join(components(links).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     rooted = stored(rooted)
     named = rooted.groupBy("root").agg(F.min("own").alias("first"))
-    return rooted.join(named, "root").select("h", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first")
+    return lines, rooted.join(named, "root").select("h", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first")
 
 
 def classify_lines(docs: DataFrame) -> DataFrame:
     """Each line that isn't blank: doc_id, line_no, n_links (different lines it is linked to) and the place of its class's first line."""
-    lines = split_lines(docs).select("doc_id", "line_no", "h")
-    return lines.join(line_classes(docs), "h").select("doc_id", "line_no", "n_links", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"))
+    lines, classes = line_classes(split_lines(docs))
+    return lines.select("doc_id", "line_no", "h").join(classes, "h").select("doc_id", "line_no", "n_links", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"))
 
 
 def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...], of_files: bool = False) -> DataFrame:
@@ -362,12 +391,26 @@ def without_repeated_lines(docs: DataFrame, keep: tuple[str, ...], of_files: boo
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     tagged = numbered(docs, of_files).select(*keep, "_row")
-    lines = split_lines(tagged, ("_row", "doc_id")).select("_row", "doc_id", "line_no", "h")
-    repeats = lines.join(line_classes(docs), "h").where(place != F.col("first"))
+    lines, classes = line_classes(split_lines(tagged, ("_row", "doc_id")))
+    repeats = lines.select("_row", "doc_id", "line_no", "h").join(classes, "h").where(place != F.col("first"))
     gone = repeats.groupBy("_row").agg(F.collect_set("line_no").alias("_gone"))
-    joined = tagged.join(gone, "_row", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    out = out.where(F.col("_gone").isNull() | (F.trim(F.regexp_replace("_kept", "\n", " ")) != ""))
+
+    def cut(batches):
+        for batch in slices(batches):
+            texts = column(batch, "text").to_pylist()
+            for i, numbers in enumerate(column(batch, "_gone").to_pylist()):
+                if numbers:
+                    lines = texts[i].split("\n")
+                    left = np.ones(len(lines), bool)
+                    left[numbers] = False
+                    texts[i] = "\n".join(compress(lines, left.tolist()))
+            kept = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([kept if name == "_kept" else column(batch, name) for name in (*wanted, "_kept")], names=[*wanted, "_kept"])
+
+    joined = tagged.join(gone, "_row", "left").withColumn("_some", F.col("_gone").isNotNull())
+    wanted = [*(c for c in keep if c != "text"), "_some"]
+    types = dict(joined.dtypes)
+    out = joined.select(*wanted, "text", "_gone").mapInArrow(cut, ", ".join([*(f"`{c}` {types[c]}" for c in wanted), "_kept string"]))
+    out = out.where(~F.col("_some") | not_blank(F.col("_kept")))
     new = {"text": F.col("_kept"), "n_chars": F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).cast("bigint")}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in keep))

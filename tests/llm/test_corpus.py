@@ -295,6 +295,28 @@ def test_repeated_lines_go(spark, documents, nothing):
     assert out.columns == list(keep) and all(r.text is None or r.n_chars is None or r.n_chars == len(r.text) or r.doc_id == 200 for r in out.collect())
 
 
+def test_paragraph_breaks_with_carriage_returns_stay(spark):
+    rows = [(1, "first words of one\r\n\r\nmore words of one\r\n\u2003\r\nend of one"), (2, "a second text\r\n\r\n\r\nwith other words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in linedup.without_repeated_lines(docs, ("doc_id", "text")).collect()} == dict(rows)
+
+
+def test_lines_whose_hashes_meet_stay(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "line_hash", lambda line: F.xxhash64(F.substring(line, 1, 3)))
+    rows = [(1, "abc one line of words\nabc quite another, longer"), (2, "abc a third of them\nabc one line of words"), (3, "xyz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in linedup.without_repeated_lines(docs, ("doc_id", "text")).collect()}
+    assert found == {1: rows[0][1], 2: "abc a third of them", 3: "xyz"}
+    links = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in linedup.classify_lines(docs).collect()}
+    assert links == {(1, 0): (1, 0), (1, 1): (1, 1), (2, 0): (2, 0), (2, 1): (1, 0), (3, 0): (3, 0)}
+
+
+def test_a_text_of_very_many_lines(spark):
+    rows = [(1, "the same line once more\n" * 400_000 + "end"), (2, "end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in linedup.without_repeated_lines(docs, ("doc_id", "text")).collect()} == {1: "the same line once more\nend"}
+
+
 def brute_top_k(rows, k=20):
     usable = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,12 +202,49 @@ def test_redaction_is_that_of_the_spans(spark):
                 assert re.sub(r"\d", "", r.r) == r.text
 
 
-def test_normal_form_and_places():
-    for text in ("ﬁm", "áb", "½ x", "각", "ẹ́x", "１２", "– ", "", "ǆ"):
-        n, places = normalize.normalized_with_map(text)
+def normal_forms(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    out = {r["i"]: (r["_n"], r["_map"]) for r in normalize.with_normal_form(rows, "t").collect()}
+    return [(n, list(range(len(t or "") + 1)) if places is None else places) for t, (n, places) in ((t, out[i]) for i, t in enumerate(texts))]
+
+
+def traceable(text):
+    """Whether normalising by starters is normalising the whole."""
+    ready = "".join("-" if c in "‐‑‒–—" else " " if unicodedata.category(c) == "Zs" else c for c in text)
+    return plain.normal(text)[0] == unicodedata.normalize("NFKC", ready)
+
+
+def test_normal_form_and_places(spark):
+    rng = random.Random(3)
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]
+    changed, marks = [c for c in every if unicodedata.normalize("NFKC", c) != c], [c for c in every if unicodedata.combining(c)]
+    kinds = [every, changed, marks, list("abcé –\n"), list("\x01 9각ᅡ")]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 30))) for _ in range(5000)] + changed + marks
+    texts = [t for t in [*texts, "ﬁm", "áb", "½ x", "각", "ẹ́x", "１２", "– ", "", "ǆ", "´"] if traceable(t)]
+    assert len(texts) > 10_000
+    for text, (n, places) in zip(texts, normal_forms(spark, texts)):
         assert (n, places) == plain.normal(text) and len(places) == len(n) + 1 and places == sorted(places)
 
 
+def test_long_texts_are_normalised(spark):
+    texts = ["½ ﬁ x\u0301 " * 30_000, "a" + "\u0301" * 30_000 + "ﬁ", None]
+    found = normal_forms(spark, texts)
+    assert found[:2] == [plain.normal(t) for t in texts[:2]] and found[2][0] is None
+
+
+def test_a_text_without_traceable_offsets_is_an_error(spark):
+    for text in ("\uff76\uff9e", "\u09c7\u09be"):
+        assert not traceable(text)
+        with pytest.raises(Exception, match="cannot be traced"):
+            normal_forms(spark, [text])
+
+
+def test_detection_runs_no_python(spark):
+    docs = spark.createDataFrame([(1, "CPF 529.982.247-25", False)], "doc_id int, text string, por_ocr boolean")
+    plan = pipeline.detect(docs, ocr="por_ocr")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def test_masks_hide_the_outer_digits(spark):
     rows = spark.createDataFrame([("529.982.247-25",), ("52998224725",), (None,)], "v string")
     found = rows.select(masking.mask_cpf(F.col("v")), masking.hidden_places(F.col("v"))).collect()

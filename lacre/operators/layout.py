@@ -1,8 +1,9 @@
 """Text of pages from placed glyphs or from words that OCR read, and rectangles of spans of it.
 
-Every operator works within a page, by windows over (doc_id, page); pages spread over the cluster.
-The characters of a page are rows (idx, char, x0, y0, x1, y1, confidence) in the order of its text,
-with blanks and line breaks where the page shows them without having them.
+A page is one row: its characters are an array of (char, box, confidence, real, word) in the order of
+its text, with blanks and line breaks where the page shows them without having them. Glyphs or words
+meet once, by page; rows, cells, blanks and breaks follow from walks over arrays, and a span is a
+piece of the page's own array. A page holds as much as a sheet of paper does, so its row is bounded.
 """
 
 from __future__ import annotations
@@ -36,77 +37,120 @@ def is_space(c: Column) -> Column:
     return c.rlike(r"^[\s\x1c-\x1f\x85\p{Z}]+\z")
 
 
-def _characters(glyphs: DataFrame, rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``glyphs``: PAGE, row, cell, ord, c, box, confidence; ``rows``: PAGE, row and the box of each row."""
-    in_row = W.partitionBy(*PAGE, "row").orderBy("cell", "ord")
-    before = F.lag(F.struct("cell", "c", *BOX)).over(in_row)
-    with_before = glyphs.where(F.length("c") > 0).withColumn("_b", before)
-    b = F.col("_b")
-    gap = F.col("x0") - b["x1"] > F.greatest(b["y1"] - b["y0"], F.lit(1.0)) * LEAST_GAP
-    blank = F.coalesce(~is_space(F.right(b["c"], F.lit(1))) & ((b["cell"] != F.col("cell")) | gap), F.lit(False))
-    cast = lambda c: c.cast("double")
+def _upto(start: Column, end: Column) -> Column:
+    """The whole numbers from ``start`` on, before ``end``."""
+    return F.filter(F.sequence(start, F.greatest(end - 1, start)), lambda i: i < end)
+
+
+def _starts(items: Column, goes_on) -> Column:
+    """The places at which a stretch begins: ``goes_on`` (an item before, an item) says that one does not."""
+    return F.filter(_upto(F.lit(0), F.size(items)), lambda i: (i == 0) | ~F.coalesce(goes_on(F.get(items, i - 1), F.get(items, i)), F.lit(False)))
+
+
+def _stretch(starts: Column, k: Column, size: Column) -> Column:
+    """The places of the k-th stretch."""
+    return _upto(F.get(starts, k), F.coalesce(F.get(starts, k + 1), size))
+
+
+def _union(boxes: Column) -> dict[str, Column]:
+    """The box around several."""
+    side = lambda n: F.transform(boxes, lambda b: b[n])
+    return {n: (F.array_min if n in ("x0", "y0") else F.array_max)(side(n)) for n in BOX}
+
+
+def _with_characters(pages: DataFrame) -> DataFrame:
+    """``pages``: PAGE and rows, an array of structs of a box and glyphs: cell, c, box, confidence, word."""
     none = F.lit(None)
 
-    def item(sub: Column, char: Column, box: tuple[Column, ...], confidence: Column, real: bool) -> Column:
-        return F.struct(sub.alias("sub"), char.alias("char"), *(cast(x).alias(n) for n, x in zip(BOX, box)), cast(confidence).alias("confidence"), F.lit(real).alias("real"))
+    def item(char: Column, box: dict[str, Column], confidence: Column, real: bool, word: Column) -> Column:
+        return F.struct(char.alias("char"), *(box[n].cast("double").alias(n) for n in BOX), confidence.cast("double").alias("confidence"), F.lit(real).alias("real"), word.cast("bigint").alias("word"))
+
+    def characters(glyphs: Column, g: Column, i: Column) -> Column:
+        b = F.get(glyphs, i - 1)
+        gap = g["x0"] - b["x1"] > F.greatest(b["y1"] - b["y0"], F.lit(1.0)) * LEAST_GAP
+        blank = F.coalesce(~is_space(F.right(b["c"], F.lit(1))) & ((b["cell"] != g["cell"]) | gap), F.lit(False))
+        own = F.transform(F.split(g["c"], ""), lambda c: item(c, {n: g[n] for n in BOX}, g["confidence"], True, g["word"]))
+        space = item(F.lit(" "), {"x0": b["x1"], "y0": b["y0"], "x1": F.greatest(g["x0"], b["x1"]), "y1": b["y1"]}, none, False, none)
+        return F.when(blank, F.concat(F.array(space), own)).otherwise(own)
 
-    own = F.transform(F.sequence(F.lit(1), F.length("c")), lambda i: item(i, F.substring(F.col("c"), i, F.lit(1)), tuple(map(F.col, BOX)), F.col("confidence"), True))
-    space = F.array(item(F.lit(0), F.lit(" "), (b["x1"], b["y0"], F.greatest(F.col("x0"), b["x1"]), b["y1"]), none, False))
-    chars = with_before.select(*PAGE, "row", F.lit(0).alias("kind"), "cell", "ord", *extra, F.explode(F.when(blank, F.concat(space, own)).otherwise(own)).alias("i"))
-    last = F.max("row").over(W.partitionBy(*PAGE))
-    breaks = rows.withColumn("_last", last).where("row < _last")
-    breaks = breaks.select(*PAGE, "row", F.lit(1).alias("kind"), F.lit(0).alias("cell"), F.lit(0).alias("ord"), *(F.lit(None).cast(dict(glyphs.dtypes)[c]).alias(c) for c in extra), item(F.lit(0), F.lit("\n"), (F.col("x1"), F.col("y0"), F.col("x1"), F.col("y1")), none, False).alias("i"))
-    whole = chars.unionByName(breaks).select(*PAGE, "row", "kind", "cell", "ord", *extra, "i.*")
-    idx = F.row_number().over(W.partitionBy(*PAGE).orderBy("row", "kind", "cell", "ord", "sub")) - 1
-    return whole.withColumn("idx", idx).select(*PAGE, "idx", "char", *BOX, "confidence", "real", *extra)
+    def row(r: Column, k: Column) -> Column:
+        text = F.flatten(F.transform(r["glyphs"], lambda g, i: characters(r["glyphs"], g, i)))
+        end = item(F.lit("\n"), {"x0": r["x1"], "y0": r["y0"], "x1": r["x1"], "y1": r["y1"]}, none, False, none)
+        return F.when(k < F.size("rows") - 1, F.concat(text, F.array(end))).otherwise(text)
 
+    return pages.select(*PAGE, F.flatten(F.transform("rows", row)).alias("chars"))
 
-def page_characters(glyphs: DataFrame) -> DataFrame:
-    """Characters of pages from glyphs: PAGE, line (in the order of extraction), ord, c, a box and the line's box (line_x0 ...).
+
+def pages_of_glyphs(glyphs: DataFrame) -> DataFrame:
+    """PAGE and chars, from glyphs: PAGE, line (in the order of extraction), ord, c, a box and the line's box (line_x0 ...).
 
     Only blocks of text (block_type 0) count. Lines next to each other that are cells of one row are
     read from left to right with a blank between them; a glyph of several characters gives its box to
     each of them.
     """
-    text = glyphs.where("block_type = 0")
-    boxes = {f"line_{n}": n for n in BOX}
-    lines = text.groupBy(*PAGE, "line").agg(*(F.first(a).alias(n) for a, n in boxes.items()))
-    order = W.partitionBy(*PAGE).orderBy("line")
-    lines = lines.withColumn("_p", F.lag(F.struct("y0", "y1")).over(order))
-    joins = F.coalesce(same_row(F.col("_p.y0"), F.col("_p.y1"), F.col("y0"), F.col("y1")), F.lit(False))
-    lines = lines.withColumn("row", F.sum((~joins).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    lines = lines.withColumn("cell", F.row_number().over(W.partitionBy(*PAGE, "row").orderBy("x0", "line")))
-    rows = lines.groupBy(*PAGE, "row").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    placed = text.join(lines.select(*PAGE, "line", "row", "cell"), [*PAGE, "line"]).withColumn("confidence", F.lit(None).cast("double"))
-    return _characters(placed, rows)
-
-
-def ocr_characters(words: DataFrame) -> DataFrame:
-    """Characters of pages from OCR's words: PAGE, idx, block_num, par_num, line_num, word_num, left, top, width, height, conf, text.
+    text = glyphs.where("block_type = 0").repartition(*PAGE)
+    glyph = F.when(F.length("c") > 0, F.struct("ord", "c", *BOX))
+    lines = text.groupBy(*PAGE, "line").agg(*(F.first(f"line_{n}").alias(n) for n in BOX), F.array_sort(F.collect_list(glyph)).alias("glyphs"))
+    pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", *BOX, "glyphs"))).alias("lines"))
+    starts = _starts(F.col("lines"), lambda b, x: same_row(b["y0"], b["y1"], x["y0"], x["y1"]))
+    pages = pages.withColumn("starts", starts).withColumn("n", F.size("lines"))
+
+    def row(_: Column, k: Column) -> Column:
+        own = F.transform(_stretch(F.col("starts"), k, F.col("n")), lambda j: F.get("lines", j))
+        cells = F.array_sort(F.transform(own, lambda x: F.struct(x["x0"].alias("left"), x["line"].alias("line"), x["glyphs"].alias("glyphs"))))
+        placed = F.flatten(F.transform(cells, lambda c, j: F.transform(c["glyphs"], lambda g: F.struct(j.alias("cell"), *(g[f].alias(f) for f in ("c", *BOX)), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("bigint").alias("word")))))
+        return F.struct(*(v.alias(n) for n, v in _union(own).items()), placed.alias("glyphs"))
+
+    return _with_characters(pages.select(*PAGE, F.transform("starts", row).alias("rows")))
+
+
+def pages_of_words(words: DataFrame) -> DataFrame:
+    """PAGE and chars, from OCR's words: PAGE, idx, block_num, par_num, line_num, word_num, left, top, width, height, conf, text.
 
     Words without text or confidence are structure, not text. Lines keep the order in which they
     first appear; every character has the box and the confidence of its word.
     """
     key = ("block_num", "par_num", "line_num")
-    clean = words.withColumn("c", F.regexp_replace("text", r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z", "")).where((F.col("c") != "") & (F.col("conf") >= 0))
+    clean = words.repartition(*PAGE).withColumn("c", F.regexp_replace("text", r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z", "")).where((F.col("c") != "") & (F.col("conf") >= 0))
     boxed = clean.select(*PAGE, "idx", *key, "word_num", "c", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), F.col("conf").alias("confidence"))
-    boxed = boxed.withColumn("row", F.min("idx").over(W.partitionBy(*PAGE, *key)))
-    boxed = boxed.withColumn("cell", F.row_number().over(W.partitionBy(*PAGE, "row").orderBy("word_num", "c", *BOX, "confidence", "idx"))).withColumn("ord", F.lit(0)).withColumn("word", F.col("idx"))
-    rows = boxed.groupBy(*PAGE, "row").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return _characters(boxed.drop("idx"), rows, ("word",))
+    sides = [(F.min if n in ("x0", "y0") else F.max)(n).alias(n) for n in BOX]
+    lines = boxed.groupBy(*PAGE, *key).agg(F.min("idx").alias("row"), *sides, F.array_sort(F.collect_list(F.struct("word_num", "c", *BOX, "confidence", "idx"))).alias("words"))
+    glyphs = F.transform("words", lambda w, j: F.struct(j.alias("cell"), *(w[f].alias(f) for f in ("c", *BOX, "confidence")), w["idx"].cast("bigint").alias("word")))
+    return _with_characters(lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row", *BOX, glyphs.alias("glyphs")))).alias("rows")))
+
+
+def characters_of(pages: DataFrame) -> DataFrame:
+    """The characters as rows: PAGE, idx, char, box, confidence, real, word."""
+    return pages.select(*PAGE, F.posexplode("chars").alias("idx", "_c")).select(*PAGE, "idx", "_c.*")
+
+
+def pages_of_characters(characters: DataFrame) -> DataFrame:
+    """PAGE and chars, from characters as rows: PAGE, idx, char and a box."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("idx", "char", *BOX))), lambda c: F.struct(c["char"].alias("char"), *(c[n].cast("double").alias(n) for n in BOX)))
+    return characters.groupBy(*PAGE).agg(own.alias("chars"))
 
 
-def low_confidence(characters: DataFrame, least: float = LOW_CONFIDENCE) -> DataFrame:
+def low_confidence(pages: DataFrame, least: float = LOW_CONFIDENCE) -> DataFrame:
     """Words below ``least``, which stay in the text: PAGE, idx of the word, text, start, end, confidence."""
-    own = characters.where(F.col("real") & (F.col("confidence") < least))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "char"))), lambda x: x["char"]), "")
-    return own.groupBy(*PAGE, "word").agg(text.alias("text"), F.min("idx").alias("start"), (F.max("idx") + 1).alias("end"), F.first("confidence").alias("confidence")).withColumnRenamed("word", "idx")
+    same = lambda b, c: b["real"] & c["real"] & (b["word"] == c["word"])
+    held = pages.withColumn("_starts", _starts(F.col("chars"), same))
 
+    def word(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_starts", k + 1), F.size("chars"))
+        first = F.get("chars", start)
+        text = F.array_join(F.transform(_upto(start, end), lambda i: F.get("chars", i)["char"]), "")
+        return F.when(first["real"] & (first["confidence"] < least), F.struct(first["word"].alias("idx"), text.alias("text"), start.alias("start"), end.alias("end"), first["confidence"].alias("confidence")))
 
-def page_texts(characters: DataFrame) -> DataFrame:
+    return held.select(*PAGE, F.explode(F.array_compact(F.transform("_starts", word))).alias("_w")).select(*PAGE, "_w.*")
+
+
+def page_text(chars: Column) -> Column:
+    return F.array_join(F.transform(chars, lambda c: c["char"]), "")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
     """PAGE and text."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "char"))), lambda x: x["char"])
-    return characters.groupBy(*PAGE).agg(F.array_join(ordered, "").alias("text"))
+    return pages.select(*PAGE, page_text(F.col("chars")).alias("text"))
 
 
 def scaled(characters: DataFrame, scale_x: Column, scale_y: Column) -> DataFrame:
@@ -114,33 +158,71 @@ def scaled(characters: DataFrame, scale_x: Column, scale_y: Column) -> DataFrame
     return characters.withColumns({n: F.col(n) * (scale_x if n[0] == "x" else scale_y) for n in BOX})
 
 
-def rectangles(characters: DataFrame, spans: DataFrame) -> DataFrame:
+def visual_lines(chars: Column, start: Column, end: Column) -> Column:
+    """array<struct<n, box>>: one box around each visual line of a span. Line breaks are in no box."""
+
+    def goes_on(before: Column, c: Column) -> Column:
+        return (before["char"] != "\n") & edges_agree(before["y0"], before["y1"], c["y0"], c["y1"])
+
+    def within(own: Column) -> Column:
+        def line(starts: Column, k: Column) -> Column:
+            boxes = F.filter(F.transform(_stretch(starts, k, F.size(own)), lambda j: F.get(own, j)), lambda c: c["char"] != "\n")
+            return F.when(F.size(boxes) > 0, F.struct((k + 1).alias("n"), *(v.alias(n) for n, v in _union(boxes).items())))
+
+        return F.get(F.transform(F.array(_starts(own, goes_on)), lambda starts: F.array_compact(F.transform(starts, lambda _, k: line(starts, k)))), 0)
+
+    own = F.transform(_upto(start, F.least(end, F.size(chars))), lambda i: F.get(chars, i))
+    return F.get(F.transform(F.array(own), within), 0)
+
+
+def hidden_digits(chars: Column, start: Column, end: Column) -> Column:
+    """array<struct<n, box>>: the boxes of the digits of a CPF that are to be hidden."""
+    digits = F.filter(F.transform(_upto(start, F.least(end, F.size(chars))), lambda i: F.get(chars, i)), lambda c: c["char"].rlike(r"\p{Nd}"))
+    shown = F.filter(digits, lambda _, i: i.isin(*HIDDEN))
+    return F.transform(shown, lambda c, i: F.struct((i + 1).alias("n"), *(c[b].alias(b) for b in BOX)))
+
+
+def rectangles_in_place(pages: DataFrame, spans: str = "spans", keep: tuple[str, ...] = ("span_id",)) -> DataFrame:
+    """PAGE, ``keep``, n and a box for each visual line of the spans that pages have as an array of (``keep``, start, end)."""
+    boxed = F.transform(spans, lambda s: F.struct(*(s[k].alias(k) for k in keep), visual_lines(F.col("chars"), s["start"], s["end"]).alias("boxes")))
+    return _rows_of_boxes(pages, boxed, keep)
+
+
+def _rows_of_boxes(pages: DataFrame, boxed: Column, keep: tuple[str, ...]) -> DataFrame:
+    flat = F.flatten(F.transform(boxed, lambda s: F.transform(s["boxes"], lambda b: F.struct(*(s[k].alias(k) for k in keep), b["n"].alias("n"), *(b[x].alias(x) for x in BOX)))))
+    return pages.select(*PAGE, F.explode_outer(flat).alias("_b")).where("_b IS NOT NULL").select(*PAGE, "_b.*")
+
+
+def _with_spans(pages: DataFrame, spans: DataFrame, fields: tuple[str, ...], how: str) -> DataFrame:
+    """The pages with their spans as an array. Where pages come from one shuffle by page, only the spans move."""
+    grouped = spans.groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("spans"))
+    return pages.select(*PAGE, "chars").join(grouped, [*PAGE], how)
+
+
+def rectangles(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """One box around each visual line of a span: spans are PAGE, span_id, start, end. Line breaks are in no box."""
-    inside = spans.join(characters, [*PAGE]).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
-    order = W.partitionBy(*PAGE, "span_id").orderBy("idx")
-    before = inside.withColumn("_p", F.lag(F.struct("char", "y0", "y1")).over(order))
-    goes_on = F.coalesce((F.col("_p.char") != "\n") & edges_agree(F.col("_p.y0"), F.col("_p.y1"), F.col("y0"), F.col("y1")), F.lit(False))
-    grouped = before.withColumn("_g", F.sum((~goes_on).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("char") != "\n")
-    return grouped.groupBy(*PAGE, "span_id", "_g").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).withColumnRenamed("_g", "n")
+    return rectangles_in_place(_with_spans(pages, spans, ("span_id", "start", "end"), "inner"))
 
 
-def entity_rectangles(characters: DataFrame, entities: DataFrame) -> DataFrame:
+def entity_rectangles(pages: DataFrame, entities: DataFrame) -> DataFrame:
     """PAGE, span_id, n and a box for each rectangle that shows an entity: PAGE, span_id, type, start, end, por_ocr.
 
     A CPF of a page that was not read by OCR is five boxes of one digit each, the ones to hide; anything
     else one box around each of its visual lines. A span beyond the page is an error.
     """
-    digits = (F.col("type") == "CPF") & ~F.coalesce(F.col("por_ocr"), F.lit(False))
-    sizes = characters.groupBy(*PAGE).agg(F.max("idx").alias("_last"))
-    sound = (F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.coalesce("_last", F.lit(-1)) + 1)
-    bad = F.raise_error(F.concat(F.lit("span beyond its page, end "), F.col("end").cast("string")))
-    held = entities.join(sizes, [*PAGE], "left").withColumn("end", F.when(sound, F.col("end")).otherwise(bad)).drop("_last")
-    whole = rectangles(characters, held.where(~digits).select(*PAGE, "span_id", "start", "end"))
-    inside = held.where(digits).select(*PAGE, "span_id", "start", "end").join(characters, [*PAGE]).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")) & F.col("char").rlike(r"\p{Nd}"))
-    place = F.row_number().over(W.partitionBy(*PAGE, "span_id").orderBy("idx")) - 1
-    hidden = inside.withColumn("_d", place).where(F.col("_d").isin(*HIDDEN)).withColumn("n", F.row_number().over(W.partitionBy(*PAGE, "span_id").orderBy("idx")))
-    columns = (*PAGE, "span_id", "n", *BOX)
-    return whole.select(*columns).unionByName(hidden.select(*columns))
+    held = _with_spans(pages, entities, ("span_id", "type", "start", "end", "por_ocr"), "right")
+    chars = F.coalesce(F.col("chars"), F.array())
+    held = held.withColumn("chars", chars)
+
+    def boxes(s: Column) -> Column:
+        sound = (s["start"] >= 0) & (s["start"] <= s["end"]) & (s["end"] <= F.size("chars"))
+        digits = (s["type"] == "CPF") & ~F.coalesce(s["por_ocr"], F.lit(False))
+        bad = F.raise_error(F.concat(F.lit("span beyond its page, end "), s["end"].cast("string")))
+        start, end = s["start"].cast("int"), s["end"].cast("int")
+        found = F.when(digits, hidden_digits(F.col("chars"), start, end)).otherwise(visual_lines(F.col("chars"), start, end))
+        return F.struct(s["span_id"].alias("span_id"), F.when(F.coalesce(sound, F.lit(False)), found).otherwise(bad).alias("boxes"))
+
+    return _rows_of_boxes(held, F.transform("spans", boxes), ("span_id",))
 
 
 def routed(pages: DataFrame) -> DataFrame:

@@ -504,13 +504,17 @@ WORDS = f"""
     SELECT doc_id, string_agg(line, chr(10) ORDER BY first) AS text FROM l GROUP BY doc_id""")
 def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _rows(spark, sf_dir, WORDS).withColumnRenamed("left_", "left")
-    return layout.page_texts(layout.ocr_characters(words)).select("doc_id", "text")
+    return layout.page_texts(layout.pages_of_words(words)).select("doc_id", "text")
 
 
-@query("ocr_low_confidence", f"SELECT doc_id, idx, trim(text) AS text, conf FROM ({WORDS}) WHERE conf >= 0 AND conf < 60")
+@query("ocr_low_confidence", f"""
+    WITH w AS (SELECT *, trim(text) AS t, CAST(block_num AS VARCHAR) || '-' || CAST(line_num AS VARCHAR) AS key FROM ({WORDS}) WHERE conf >= 0),
+    o AS (SELECT *, min(idx) OVER (PARTITION BY doc_id, key) AS first FROM w),
+    p AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY first, word_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o)
+    SELECT doc_id, idx, t AS text, conf, CAST(start AS INT) AS "start", CAST(start + length(t) AS INT) AS "end" FROM p WHERE conf < 60""")
 def ocr_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _rows(spark, sf_dir, WORDS).withColumnRenamed("left_", "left")
-    return layout.low_confidence(layout.ocr_characters(words)).select("doc_id", "idx", "text", F.col("confidence").alias("conf"))
+    return layout.low_confidence(layout.pages_of_words(words)).select("doc_id", "idx", "text", F.col("confidence").alias("conf"), "start", "end")
 
 
 GLYPHS = f"""
@@ -530,15 +534,15 @@ def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layout_text", LAYOUT_SQL)
 def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_texts(layout.page_characters(_glyphs(spark, sf_dir))).select("doc_id", "text")
+    return layout.page_texts(layout.pages_of_glyphs(_glyphs(spark, sf_dir))).select("doc_id", "text")
 
 
 @query("layout_rectangles", "SELECT l_orderkey AS doc_id, CAST(floor(l_linenumber / 2) AS BIGINT) AS fila, CAST(min(100.0 * (8 - l_linenumber)) AS DOUBLE) AS x0, CAST(max(100.0 * (8 - l_linenumber) + 29) AS DOUBLE) AS x1 FROM lineitem GROUP BY 1, 2")
 def layout_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of each page as one span: one rectangle for each of its lines."""
-    characters = layout.page_characters(_glyphs(spark, sf_dir))
-    spans = layout.page_texts(characters).select("doc_id", "page", F.lit(0).alias("span_id"), F.lit(0).alias("start"), F.length("text").alias("end"))
-    found = layout.rectangles(characters, spans)
+    pages = layout.pages_of_glyphs(_glyphs(spark, sf_dir))
+    whole = F.array(F.struct(F.lit(0).alias("span_id"), F.lit(0).alias("start"), F.size("chars").alias("end")))
+    found = layout.rectangles_in_place(pages.withColumn("spans", whole))
     return found.select("doc_id", F.floor(F.col("y0") / 20).alias("fila"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"))
 
 
@@ -554,7 +558,7 @@ def entity_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     glyphs = orders.select("*", F.posexplode(F.split(F.lit("529.982.247-25"), "")).alias("idx", "char")).withColumns({"x0": at(0), "x1": at(9), "y0": F.lit(0.0), "y1": F.lit(9.0)})
     kinds = F.array(F.struct(F.lit("CPF").alias("type"), F.lit(0).alias("start"), F.lit(14).alias("end")), F.struct(F.lit("EMAIL").alias("type"), F.lit(4).alias("start"), F.lit(10).alias("end")))
     entities = orders.select("*", F.posexplode(kinds).alias("span_id", "e")).select("doc_id", "page", "span_id", "e.*", (F.col("doc_id") % 2 == 1).alias("por_ocr"))
-    found = layout.entity_rectangles(glyphs, entities)
+    found = layout.entity_rectangles(layout.pages_of_characters(glyphs), entities)
     return found.join(entities.select("doc_id", "page", "span_id", "type"), ["doc_id", "page", "span_id"]).selectExpr("doc_id", "type", "row_number() OVER (PARTITION BY doc_id, type ORDER BY x0) AS n", "x0", "x1")
 
 

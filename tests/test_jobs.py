@@ -93,7 +93,7 @@ def test_errors_of_a_review(spark):
 def test_a_span_beyond_its_page_is_an_error(spark):
     glyphs = spark.createDataFrame([(1, 0, i, c, float(i), 0.0, i + 1.0, 1.0) for i, c in enumerate("abc")], "doc_id int, page int, idx int, char string, x0 double, y0 double, x1 double, y1 double")
     schema = "doc_id int, page int, span_id int, type string, start int, end int, por_ocr boolean"
-    (row,) = layout.entity_rectangles(glyphs, spark.createDataFrame([(1, 0, 0, "EMAIL", 1, 3, False)], schema)).collect()
+    (row,) = layout.entity_rectangles(layout.pages_of_characters(glyphs), spark.createDataFrame([(1, 0, 0, "EMAIL", 1, 3, False)], schema)).collect()
     assert (row.x0, row.x1) == (1.0, 3.0)
     with pytest.raises(Exception, match="beyond its page"):
-        layout.entity_rectangles(glyphs, spark.createDataFrame([(1, 0, 0, "EMAIL", 1, 4, False)], schema)).collect()
+        layout.entity_rectangles(layout.pages_of_characters(glyphs), spark.createDataFrame([(1, 0, 0, "EMAIL", 1, 4, False)], schema)).collect()

@@ -88,10 +88,16 @@ def pages_of_glyphs(glyphs: DataFrame) -> DataFrame:
     read from left to right with a blank between them; a glyph of several characters gives its box to
     each of them.
     """
-    text = glyphs.where("block_type = 0").repartition(*PAGE)
-    glyph = F.when(F.length("c") > 0, F.struct("ord", "c", *BOX))
-    lines = text.groupBy(*PAGE, "line").agg(*(F.first(f"line_{n}").alias(n) for n in BOX), F.array_sort(F.collect_list(glyph)).alias("glyphs"))
-    pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", *BOX, "glyphs"))).alias("lines"))
+    fields = F.struct("line", *(f"line_{n}" for n in BOX), "ord", "c", *BOX)
+    pages = glyphs.where("block_type = 0").groupBy(*PAGE).agg(F.array_sort(F.collect_list(fields)).alias("all"))
+    pages = pages.withColumn("starts", _starts(F.col("all"), lambda b, x: b["line"] == x["line"]))
+
+    def line(start: Column, k: Column) -> Column:
+        first = F.get("all", start)
+        own = F.filter(F.transform(_stretch(F.col("starts"), k, F.size("all")), lambda j: F.get("all", j)), lambda g: F.length(g["c"]) > 0)
+        return F.struct(first["line"].alias("line"), *(first[f"line_{n}"].alias(n) for n in BOX), F.transform(own, lambda g: F.struct(*(g[f].alias(f) for f in ("c", *BOX)))).alias("glyphs"))
+
+    pages = pages.select(*PAGE, F.transform("starts", line).alias("lines"))
     starts = _starts(F.col("lines"), lambda b, x: same_row(b["y0"], b["y1"], x["y0"], x["y1"]))
     pages = pages.withColumn("starts", starts).withColumn("n", F.size("lines"))
 
@@ -111,12 +117,17 @@ def pages_of_words(words: DataFrame) -> DataFrame:
     first appear; every character has the box and the confidence of its word.
     """
     key = ("block_num", "par_num", "line_num")
-    clean = words.repartition(*PAGE).withColumn("c", F.regexp_replace("text", r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z", "")).where((F.col("c") != "") & (F.col("conf") >= 0))
+    clean = words.withColumn("c", F.regexp_replace("text", r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z", "")).where((F.col("c") != "") & (F.col("conf") >= 0))
     boxed = clean.select(*PAGE, "idx", *key, "word_num", "c", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), F.col("conf").alias("confidence"))
-    sides = [(F.min if n in ("x0", "y0") else F.max)(n).alias(n) for n in BOX]
-    lines = boxed.groupBy(*PAGE, *key).agg(F.min("idx").alias("row"), *sides, F.array_sort(F.collect_list(F.struct("word_num", "c", *BOX, "confidence", "idx"))).alias("words"))
-    glyphs = F.transform("words", lambda w, j: F.struct(j.alias("cell"), *(w[f].alias(f) for f in ("c", *BOX, "confidence")), w["idx"].cast("bigint").alias("word")))
-    return _with_characters(lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row", *BOX, glyphs.alias("glyphs")))).alias("rows")))
+    pages = boxed.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*key, "word_num", "c", *BOX, "confidence", "idx"))).alias("all"))
+    pages = pages.withColumn("starts", _starts(F.col("all"), lambda b, w: F.struct(*(b[k] for k in key)).eqNullSafe(F.struct(*(w[k] for k in key)))))
+
+    def line(_: Column, k: Column) -> Column:
+        own = F.transform(_stretch(F.col("starts"), k, F.size("all")), lambda j: F.get("all", j))
+        glyphs = F.transform(own, lambda w, j: F.struct(j.alias("cell"), *(w[f].alias(f) for f in ("c", *BOX, "confidence")), w["idx"].cast("bigint").alias("word")))
+        return F.struct(F.array_min(F.transform(own, lambda w: w["idx"])).alias("first"), *(v.alias(n) for n, v in _union(own).items()), glyphs.alias("glyphs"))
+
+    return _with_characters(pages.select(*PAGE, F.array_sort(F.transform("starts", line)).alias("rows")))
 
 
 def characters_of(pages: DataFrame) -> DataFrame:

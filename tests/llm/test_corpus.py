@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -354,4 +355,8 @@ def test_pipeline(spark, documents, benchmark, tmp_path):
             assert 0 < docs.count() <= before.count()
     tokens = {r[0] for r in before.select("doc_id").collect()}
     assert {r[0] for r in docs.select("doc_id").distinct().collect()} == tokens
+    folder = spark.sparkContext.getCheckpointDir()
+    kept = lambda: {p.name for p in Path(folder.removeprefix("file:")).glob("pipeline-*")}
+    before = kept()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    assert [name[-2:] for name in kept() - before] == ["-4"]

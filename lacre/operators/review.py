@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sql import walked
@@ -13,8 +12,8 @@ LEAST_SIDE = 6.0
 
 
 def entity_ids(entities: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``entidade_id``: the same for the same place in the same detection, so that a second run finds it."""
-    return entities.withColumn("entidade_id", F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col("ord").cast("string"), F.col("type")), 256))
+    """``entidade_id``: the same for the same place in the same detection, so that a second run finds it. A null key keeps its place in it."""
+    return entities.withColumn("entidade_id", F.sha2(F.to_json(F.array(*(F.col(k).cast("string") for k in (*keys, "ord", "type")))), 256))
 
 
 def recovered(stored: DataFrame, fresh: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -184,11 +183,12 @@ def claimed(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def pages_of(extracted: DataFrame, sizes: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every page with its size and its entities in order, also those without any."""
+    """Every page with its size and its entities in order, also those without any; a page without a size is an error."""
     own = entities.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "start", "end", "confidence", "requires_review"))).alias("entidades"))
-    return extracted.select("doc_id", "page").join(sizes, ["doc_id", "page"]).join(own, ["doc_id", "page"], "left")
-
-
-def position_in(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``rows`` with ``leitura``, their place in reading order within their keys."""
-    return rows.withColumn("leitura", F.row_number().over(W.partitionBy(*keys).orderBy("start", F.desc("end"))))
+    known = sizes.withColumn("_sized", F.lit(True))
+    columns = [c for c in sizes.columns if c not in ("doc_id", "page")]
+    joined = extracted.select("doc_id", "page").join(known, ["doc_id", "page"], "left")
+    missing = F.raise_error(F.concat(F.lit("no size for page "), F.col("page").cast("string"), F.lit(" of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # Each column of the size carries the check, so that none can be read without it.
+    sized = joined.select("doc_id", "page", *(F.when(F.col("_sized"), F.col(c)).otherwise(missing).alias(c) for c in columns))
+    return sized.join(own, ["doc_id", "page"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,10 @@ from ..model import TYPES, types_table
 from ..operators import layout, pipeline, redact, review, verify
 from ..operators.detect import detect_candidates
 from ..operators.resolve import resolve
-from ..session import shared
+from ..session import shared, shared_folder
+from ..sources import job_results
 from ..sources.documents import refusal
-from ..streaming import jobs
+from ..streaming import expiry, jobs
 from . import recipes as r
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of the shared ones that nothing else uses."""
+    shared_folder(spark)
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def streamed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream of its files, whether it is a file or a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(f"{sf_dir}/{table}.parquet")
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
 def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a query that both engines read, over the tables it names after FROM or JOIN."""
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "events") if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
@@ -237,11 +255,6 @@ def emails_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_candidates(docs, ("doc_id",), types=("EMAIL",)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("policy", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{m}', '{a}')" for t, c, m, a in TYPES) + ") AS p(type, categoria, metodo, acao)")
-def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return types_table(spark)
-
-
 #: One row for each place of an order, as keys may come twice.
 ITEMS = "(SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS items"
 
@@ -265,6 +278,37 @@ def redaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.report(pipeline.with_action(_entities(spark, sf_dir).withColumnRenamed("flag", "requires_review")))
 
 
+POLICY_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{m}', '{a}')" for t, c, m, a in TYPES) + ") AS p(type, categoria, metodo, acao)) AS policy"
+
+
+@query("policy", f"SELECT type, categoria, metodo, acao, count(doc_id) AS n, count(DISTINCT doc_id) AS n_docs FROM {POLICY_SQL} LEFT JOIN ({ENTITIES}) USING (type) GROUP BY ALL")
+def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type with what the policy says of it, and how many entities and documents that concerns."""
+    counts = _entities(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return types_table(spark).join(F.broadcast(counts), "type", "left").fillna(0, ["n", "n_docs"])
+
+
+@query("redaction_report_manual", f"""
+    WITH e AS (SELECT doc_id, count(*) FILTER (WHERE type IN ('CPF', 'EMAIL', 'RG')) AS n_covered, count(*) FILTER (WHERE type = 'CNPJ') AS n_published FROM ({ENTITIES}) WHERE doc_id % 3 <> 0 GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_manual FROM ({ENTITIES}) WHERE active AND doc_id % 2 = 0 GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_covered, 0) AS n_covered, coalesce(n_published, 0) AS n_published, coalesce(n_manual, 0) AS n_manual FROM e FULL JOIN m USING (doc_id)""")
+def redaction_report_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with entities, with drawn rectangles, or both."""
+    rows = _entities(spark, sf_dir)
+    manual = rows.where("active AND doc_id % 2 = 0").select("doc_id", F.col("s").alias("start"), F.col("e").alias("end"))
+    found = redact.report(pipeline.with_action(rows.where("doc_id % 3 <> 0").withColumnRenamed("flag", "requires_review")), manual=manual)
+    return found.select("doc_id", "n_covered", "n_published", "n_manual")
+
+
+@query("document_hashes", "SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 of each document as a file of UTF-8 would have it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    content = F.encode("text", "UTF-8")
+    files = docs.select(F.col("doc_id").alias("path"), F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
+    return redact.file_hashes(files).select(F.col("path").alias("doc_id"), F.col("length").alias("n_bytes"), "sha256")
+
+
 @query("review_summary", f"""
     SELECT doc_id, count(*) FILTER (WHERE active) AS ativas, count(*) FILTER (WHERE NOT active) AS rejeitadas, count(*) FILTER (WHERE active AND flag) AS sinalizadas, count(*) FILTER (WHERE active AND flag AND NOT seen) AS pendentes,
         count(*) FILTER (WHERE active AND type = 'RG') AS manuais, count(*) FILTER (WHERE active AND s > 25) AS ajustadas, count(*) FILTER (WHERE active AND flag AND NOT seen) = 0 AS pode_confirmar FROM ({ENTITIES}) GROUP BY doc_id""")
@@ -305,7 +349,7 @@ def golden_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The id of an entity as SQL: its place and type in its document.
-ENTITY_ID = "sha256(CAST(doc_id AS VARCHAR(20)) || '|' || CAST(ord AS VARCHAR(20)) || '|' || type)"
+ENTITY_ID = """sha256('["' || CAST(doc_id AS VARCHAR(20)) || '","' || CAST(ord AS VARCHAR(20)) || '","' || type || '"]')"""
 
 
 @query("missing_decisions", f"SELECT {ENTITY_ID} AS entidade_id FROM ({ENTITIES}) WHERE NOT seen")
@@ -594,11 +638,14 @@ JOB_SQL = """
         CAST(CASE event WHEN 'extracted' THEN 0.5 WHEN 'done' THEN 1.0 WHEN 'failed' THEN NULL ELSE 0.0 END AS DOUBLE) AS progresso, first + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) AS vencido FROM l WHERE n = 1"""
 
 
+def _named(events: DataFrame) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("created", "started", "extracted", "done", "failed")))
+    return events.select(F.md5(F.col("user_id").cast("string")).alias("id"), "ts", F.col("event_id").alias("seq"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("event"))
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kinds = F.array(*map(F.lit, ("created", "started", "extracted", "done", "failed")))
-    named = events.select(F.md5(F.col("user_id").cast("string")).alias("id"), "ts", F.col("event_id").alias("seq"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("event"))
-    return jobs.states(named), F.lit(events.agg(F.max("ts")).first()[0])
+    return jobs.states(_named(events)), F.lit(events.agg(F.max("ts")).first()[0])
 
 
 @query("job_states", JOB_SQL)
@@ -607,6 +654,35 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("id", "status", "progresso", (F.col("expira_em") <= as_of).alias("vencido"))
 
 
+@query("job_stream", JOB_SQL)
+def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of all events: the last state each job was given, and whether its timer went off."""
+    place = new_folder(spark, "job-stream")
+    out = expiry.lives(_named(streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", "0 seconds"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+
+    out.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("id string, status string, progresso double, expira_em timestamp, batch int").parquet(f"{place}/rows")
+    over = F.col("status") == expiry.EXPIRED
+    last = rows.groupBy("id").agg(F.max_by(F.when(~over, F.struct("status", "progresso")), F.when(~over, F.col("batch"))).alias("s"), F.max(over).alias("vencido"))
+    return last.select("id", "s.status", "s.progresso", "vencido")
+
+
+@query("job_purged", f"SELECT id, true AS removed, count(*) OVER () AS n FROM ({JOB_SQL}) WHERE vencido AND status = 'pronto'")
+def job_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of finished jobs are stored; of the jobs whose time is over they are deleted."""
+    place = new_folder(spark, "job-purge")
+    states, as_of = _jobs(spark, sf_dir)
+    jobs.write_results(states.where("status = 'pronto'").select("id", F.to_json(F.struct("id")).alias("resultado")), place)
+    done = job_results.purge(job_results.listed(spark, place).join(jobs.expired(states, as_of).select("id"), "id", "left_semi"))
+    left = job_results.listed(spark, place).join(done.where("removed"), "id", "left_semi").count()
+    if left:
+        raise RuntimeError(f"{left} results are still there after the purge")
+    return done.select("id", "removed", F.lit(done.count()).cast("bigint").alias("n"))
+
+
 @query("job_purge", f"SELECT id FROM ({JOB_SQL}) WHERE vencido")
 def job_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.expired(*_jobs(spark, sf_dir)).select("id")
@@ -631,9 +707,14 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("job_results", f"""
     WITH p AS (SELECT md5(CAST(user_id AS VARCHAR)) AS id, CAST(event_id % 3 AS INT) AS numero FROM events GROUP BY ALL), j AS (SELECT id FROM ({JOB_SQL}) WHERE status = 'pronto')
     SELECT id, '{{"paginas":[' || string_agg('{{"numero":' || CAST(numero AS VARCHAR) || ',"largura":100.0,"altura":50.0,"entidades":' || CASE WHEN numero = 1 THEN '[{{"type":"CPF"}}]' ELSE '[]' END || '}}', ',' ORDER BY numero) || ']}}' AS resultado FROM p JOIN j USING (id) GROUP BY id""")
-def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     states, _ = _jobs(spark, sf_dir)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     pages = events.select(F.md5(F.col("user_id").cast("string")).alias("id"), (F.col("event_id") % 3).cast("int").alias("numero")).distinct()
     entities = F.when(F.col("numero") == 1, F.array(F.struct(F.lit("CPF").alias("type"))))
-    return jobs.results(pages.select("id", "numero", F.lit(100.0).alias("largura"), F.lit(50.0).alias("altura"), entities.alias("entidades")), states)
+    found = jobs.results(pages.select("id", "numero", F.lit(100.0).alias("largura"), F.lit(50.0).alias("altura"), entities.alias("entidades")), states)
+    # Stored in two runs, the second of which has a part of the jobs once more, and read again.
+    place = new_folder(spark, "job-results")
+    jobs.write_results(found.withColumn("resultado", F.when(F.col("id") < "8", F.col("resultado")).otherwise("{}")), place)
+    jobs.write_results(found.where("id >= '8'"), place)
+    return job_results.stored(spark, place).select("id", "resultado")

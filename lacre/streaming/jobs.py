@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import job_results
+
 TTL_MINUTES = 30
 #: Event, state of the job after it, progress.
 STATES = (("created", "recebido", 0.0), ("started", "processando", 0.0), ("extracted", "processando", 0.5), ("done", "pronto", 1.0), ("failed", "erro", None))
@@ -102,5 +104,6 @@ def results(pages: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def write_results(results_: DataFrame, path: str) -> None:
-    """One line of JSON for each job. Files appear under their names only when the whole write has been committed."""
-    results_.select(F.to_json(F.struct("id", "resultado")).alias("value")).write.mode("overwrite").text(path)
+    """A document for each job, all of a run or none; earlier runs stay (``sources.job_results``)."""
+    job_results.register(results_.sparkSession)
+    results_.select(F.col("id").cast("string").alias("id"), "resultado").write.format("job_results").mode("append").save(path)

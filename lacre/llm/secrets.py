@@ -7,8 +7,8 @@ came from. All that comes out of a base64 segment has the place of that segment,
 holds is found once and reported at every place where it stands; cycles are found among the layers
 of one segment.
 
-Layers: percent escapes, backslash and HTML character escapes, base64 (standard and URL alphabet, also
-wrapped over lines), UTF-16 and gzip or zlib data inside base64.
+Layers: percent escapes, backslash (octal ones as well) and HTML character escapes (by number or name),
+base64 (standard and URL alphabet, also wrapped over lines or glued to a word before it), UTF-16 and gzip or zlib data inside base64.
 
 Bytes that are not UTF-8 and control characters hide nothing: the layer is read around them.
 
@@ -47,16 +47,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,30};")
 #: An escape whose own sign is escaped again and again. What lies between differs in the number of times alone.
-CHAIN = re.compile(r"%(?:25){9,}|&(?:#38;|#x26;){9,}|\\(?:u005c|x5c){9,}", re.IGNORECASE)
-CHAIN_UNIT = re.compile(r"25|#38;|#x26;|u005c|x5c", re.IGNORECASE)
+CHAIN = re.compile(r"%(?:25){9,}|&(?:#38;|#x26;|amp;){9,}|\\(?:u005c|x5c){9,}", re.IGNORECASE)
+CHAIN_UNIT = re.compile(r"25|#38;|#x26;|amp;|u005c|x5c", re.IGNORECASE)
 KEPT_UNITS = 8
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, all of them long but the last.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 GZIP = b"\x1f\x8b"
+#: How gzip and zlib data may begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 OVERLAP = 1 << 16
 #: What text that was worth encoding looks like: no control characters but white space. Other layers are read, too, but count only with a secret.
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
@@ -117,15 +119,41 @@ def overlapping(parts: Iterator[bytes], most: int) -> Iterator[bytes]:
 def opened(segment: str, most: int) -> Iterator[str | None]:
     """The texts that a base64 segment stands for; None is put before the pieces of one that is too large.
 
-    Compressed data is inflated until it is compressed no more or has come up before. Bytes that are not
+    The segment may stand behind a word or path that looks like base64 as well, so it is decoded from
+    each of its first four characters on, and what is compressed is looked for anywhere in it. Compressed data is inflated until it is compressed no more or has come up before. Bytes that are not
     UTF-8 are replaced. What only looks like a zlib header may be text, so the data is read as it is, too.
     """
     body = segment.rstrip("=").replace("-", "+").replace("_", "/")
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
+    for k in range(4):
+        part = body[k : len(body) - ((len(body) - k) % 4 == 1)]
+        if k and len(part) < 16:
+            break
+        try:
+            data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            return
+        if k:
+            yield decoded(data)
+        else:
+            yield from unpacked(data, most)
+        for at in compressed_places(data):
+            if at or k:
+                yield from unpacked(data[at:], most)
+
+
+def compressed_places(data: bytes) -> Iterator[int]:
+    """Where compressed data may begin, behind whatever stands before it: it must go on for some bytes without an error."""
+    view = memoryview(data)
+    for m in MAGIC.finditer(data):
+        try:
+            if zlib.decompressobj(47).decompress(view[m.start() : m.start() + 4096], 1 << 16):
+                yield m.start()
+        except zlib.error:
+            pass
+
+
+def unpacked(data: bytes, most: int) -> Iterator[str | None]:
+    """The texts of data that may be compressed, over and over."""
     seen = set()
     while compressed(data) and data not in seen:
         seen.add(data)
@@ -159,6 +187,8 @@ def decoded(data: bytes) -> str:
 def escaped_char(match: str) -> str:
     if match.startswith("&"):
         return html.unescape(match)
+    if match[1:].isdigit():
+        return chr(int(match[1:], 8))
     code = int(match.strip("\\uUx{}"), 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else match
 
@@ -208,7 +238,7 @@ def escapes(text: str) -> Iterator[list[tuple[int, int, str]]]:
         return
     if "%" in text and (pieces := percent_pieces(text)):
         yield pieces
-    if "\\" in text or "&#" in text:
+    if "\\" in text or "&" in text:
         pieces = [(*m.span(), c) for m in ESCAPE.finditer(text) if (c := escaped_char(m[0])) != m[0]]
         if pieces:
             yield pieces
@@ -270,7 +300,7 @@ def find_secrets(text: str, most: int = MOST_INFLATED) -> tuple[list[tuple[str,
     """
     found = {s: 0 for s in scan(text)}
     n_layers = oversized = 0
-    if "%" in text or "\\" in text or "&#" in text or BASE64.search(text):
+    if "%" in text or "\\" in text or "&" in text or BASE64.search(text):
         known: dict[str, tuple[dict[str, int], int, int]] = {}
         seen: dict[bytes, int] = {}
         counted = set()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checkdigits as dv
-from ..functions.normalize import original_end, original_start, with_normal_form
+from ..functions.normalize import normal_form, original_end, original_start, with_normal_form
 from ..functions.spans import ALNUM, NUM, SPACES, WORDS, clean, find_spans, last_span, search_window, searched, tail
 from ..functions.sql import chosen, let, lit, mapped, name, quoted, struct
 from ..model import ENTITY, ENTITY_FIELDS, METHODS
@@ -220,6 +220,34 @@ def _foreign(detector: Detector, n: Column) -> Column:
     return F.transform(detector(n), lambda e: entity(bounded(e, F.length(n))))
 
 
+def _anchored(e: str, i: str, text: str, offsets: str) -> str:
+    """The entity with its place and literal in the text as given; ``_c`` is the clean normal form."""
+
+    def placed(at: str) -> str:
+        # A text that is its own normal form has its literals at hand already.
+        literal = f"if({text} <=> _c, {e}.text, substring({text}, {at}.start + 1, {at}.end - {at}.start))"
+        method = chosen((f"{e}.type IN ({quoted(t for t in METHODS if METHODS[t] == m)})", lit(m)) for m in dict.fromkeys(METHODS.values()))
+        return struct(type=f"{e}.type", start=f"{at}.start", end=f"{at}.end", text=literal, **{f: f"{e}.{f}" for f in ("confidence", "detector", "validated", "context", "requires_review")}, n_start=f"{e}.start", ord=i, method=method)
+
+    return let(struct(start=original_start(f"{e}.start", offsets), end=original_end(f"{e}.start", f"{e}.end", offsets)), placed)
+
+
+def detection(text: str, types: Iterable[str] | None = None) -> str:
+    """SQL of what ``with_candidates`` finds in one text, for places where only an expression can stand."""
+    wanted = set(DETECTORS) if types is None else set(DETECTORS) & set(types)
+    forms, types_of = _searched("_c", wanted, None)
+    e, i = name("e"), name("i")
+    if not forms:
+        return f"cast(array() AS array<{ENTITY}>)"
+    placed = f"transform(_j, ({e}, {i}) -> {_anchored(e, i, text, '_nf.map')})"
+    judged = f"array_compact({mapped(_candidates('_parts', types_of), _judged)})"
+    steps = (("_nf", normal_form(text)), ("_c", clean("_nf.text")), ("_digits", f"_c RLIKE {lit(TWO_DIGITS)}"), ("_parts", searched("_c", forms)), ("_j", judged))
+    body = placed
+    for variable, value in reversed(steps):
+        body = f"transform(array({value}), {variable} -> {body})[0]"
+    return body
+
+
 def with_candidates(texts: DataFrame, text: str = "text", ocr: str | None = None, types: Iterable[str] | None = None, extra: Iterable[Detector] = ()) -> DataFrame:
     """``texts`` with ``_found``: every detection, before disputes are settled, as an array of entities with ``ord`` and ``method``.
 
@@ -239,18 +267,9 @@ def with_candidates(texts: DataFrame, text: str = "text", ocr: str | None = None
     judged = F.coalesce(F.expr(entities), F.array().cast(f"array<{ENTITY}>"))
     judged = F.concat(judged, *(_foreign(d, F.col("_n")) for d in extra))
 
-    def anchored(e: str, i: str) -> str:
-        def placed(at: str) -> str:
-            # A text that is its own normal form has its literals at hand already.
-            literal = f"if(`{text}` <=> _c, {e}.text, substring(`{text}`, {at}.start + 1, {at}.end - {at}.start))"
-            method = chosen((f"{e}.type IN ({quoted(t for t in METHODS if METHODS[t] == m)})", lit(m)) for m in dict.fromkeys(METHODS.values()))
-            return struct(type=f"{e}.type", start=f"{at}.start", end=f"{at}.end", text=literal, **{f: f"{e}.{f}" for f in ("confidence", "detector", "validated", "context", "requires_review")}, n_start=f"{e}.start", ord=i, method=method)
-
-        return let(struct(start=original_start(f"{e}.start", "_map"), end=original_end(f"{e}.start", f"{e}.end", "_map")), placed)
-
     e, i = name("e"), name("i")
     rows = rows.withColumn("_j", judged)
-    return rows.withColumn("_found", F.expr(f"transform(_j, ({e}, {i}) -> {anchored(e, i)})")).drop("_n", "_map", "_c", "_digits", "_parts", "_j")
+    return rows.withColumn("_found", F.expr(f"transform(_j, ({e}, {i}) -> {_anchored(e, i, f'`{text}`', '_map')})")).drop("_n", "_map", "_c", "_digits", "_parts", "_j")
 
 
 def detect_candidates(texts: DataFrame, keys: tuple[str, ...], text: str = "text", ocr: str | None = None, types: Iterable[str] | None = None, extra: Iterable[Detector] = ()) -> DataFrame:

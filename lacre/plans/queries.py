@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checkdigits, masking
-from ..model import TYPES, types_table
+from ..model import ENTITY, TYPES, types_table
 from ..operators import layout, pipeline, redact, review, verify
 from ..operators.detect import detect_candidates
 from ..operators.resolve import resolve
@@ -255,6 +255,24 @@ def emails_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_candidates(docs, ("doc_id",), types=("EMAIL",)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("detect_sql", EMAIL_SQL)
+def detect_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same asked for in SQL, by a function that stands for detection."""
+    pipeline.register(spark, "emails_in", types=("EMAIL",))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, inline(found) FROM (SELECT doc_id, emails_in(text) AS found FROM {docs})) GROUP BY doc_id", docs=docs)
+
+
+@query("detect_changed", EMAIL_SQL)
+def detect_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the documents is known from an earlier run; only the texts of the others are searched."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    nothing = spark.createDataFrame([], f"sha256 string, entities array<{ENTITY}>")
+    _, known = pipeline.with_known(docs.where("doc_id % 3 = 0"), nothing, types=("EMAIL",))
+    found, _ = pipeline.with_known(docs, known, types=("EMAIL",))
+    return found.where(F.size("entities") > 0).select("doc_id", F.explode("entities")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 #: One row for each place of an order, as keys may come twice.
 ITEMS = "(SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS items"
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import plain
 from lacre.functions import masking, normalize
+from lacre.model import ENTITY as ENTITY_TYPE
 from lacre.operators import pipeline, redact, resolve, review
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -278,3 +279,31 @@ def test_a_type_without_an_action_is_an_error(spark):
     policy = spark.createDataFrame([("CPF", "tarjar")], "type string, acao string")
     with pytest.raises(Exception, match="no action for type EMAIL"):
         pipeline.with_action(pipeline.detect(docs), policy).collect()
+
+
+def test_detection_by_sql(spark):
+    """The function for SQL gives what the operator gives, on texts of every kind."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.6 else rng.choice(values(rng)) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc_id int, text string").repartition(4)
+    pipeline.register(spark)
+    by_sql = spark.sql("SELECT doc_id, inline(found) FROM (SELECT doc_id, detect_entities(text) AS found FROM {docs})", docs=docs)
+    own = pipeline.detect(docs).drop("ord")
+    assert by_sql.columns == own.columns
+    found = sorted(map(repr, by_sql.collect()))
+    assert found == sorted(map(repr, own.collect())) and len(found) > 50
+
+
+def test_known_texts_are_not_searched_again(spark):
+    docs = spark.createDataFrame([(1, "e-mail a@b.co"), (2, "e-mail a@b.co"), (3, "CPF 529.982.247-25"), (4, None), (5, "")], "doc_id int, text string")
+    nothing = spark.createDataFrame([], f"sha256 string, entities array<{ENTITY_TYPE}>")
+    found, fresh = pipeline.with_known(docs, nothing)
+    want = {r["doc_id"]: r["entities"] for r in pipeline.with_entities(docs).collect()}
+    assert {r["doc_id"]: r["entities"] for r in found.collect()} == want and fresh.count() == 3
+    again, more = pipeline.with_known(docs, fresh)
+    assert more.count() == 0 and {r["doc_id"]: r["entities"] for r in again.collect()} == want
+    # What is known is taken as it is: a text that changed is searched, the others are not.
+    marked = fresh.withColumn("entities", F.slice("entities", 1, 0))
+    changed = docs.where("doc_id <> 2").unionByName(spark.createDataFrame([(2, "tel. (15) 91234-5678")], docs.schema))
+    found, more = pipeline.with_known(changed, marked)
+    assert {r["doc_id"]: [e["type"] for e in r["entities"]] for r in found.collect()} == {1: [], 2: ["TELEFONE"], 3: [], 4: [], 5: []} and more.count() == 1

@@ -311,13 +311,14 @@ def line_hash(line: Column) -> Column:
 
 
 def second_hash(line: Column) -> Column:
-    """Another hash, which tells lines apart whose first is the same."""
-    return F.xxhash64(F.lit(1), line, F.reverse(line))
+    """Another hash, of another seed, which tells lines apart whose first is the same."""
+    return F.xxhash64(F.lit(1), line)
 
 
 def not_blank(line: Column) -> Column:
     """Whether there is more than white space, of any alphabet: a lone carriage return is a blank line."""
-    return line.rlike(r"(?U)\S")
+    # Most lines show a printable ASCII character at once; the others are looked at for all alphabets.
+    return line.rlike("[!-~]") | line.rlike(r"(?U)\S")
 
 
 def split_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

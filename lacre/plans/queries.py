@@ -487,6 +487,16 @@ def verify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verdict(written, pages, verify.text_leaks(pages, entities))
 
 
+REVERSED = [*CPF_MADE, ("text", "'e-mail u' || CAST(k AS VARCHAR(20)) || '@mail.com; CPF ' || f")]
+
+
+@query("registry_order", r.in_sql(REVERSED, "SELECT k AS doc_id, 'CPF' AS type, CAST(0 AS INT) AS ord, strpos(text, 'CPF') + 3 AS n_start FROM made UNION ALL SELECT k, 'EMAIL', 1, 7 FROM made"))
+def registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before disputes are settled detections come in the order of the detectors, not of the text: documents before addresses."""
+    made = r.in_spark(spark, sf_dir, REVERSED).select(F.col("k").alias("doc_id"), "text")
+    return detect_candidates(made, ("doc_id",), types=("EMAIL", "CPF")).select("doc_id", "type", "ord", F.col("n_start").cast("bigint").alias("n_start"))
+
+
 #: Objects of a file: case, object, type, key, value, source, stream.
 OBJECTS = (
     (0, 1, "Info", "Title", "x", "", None), (0, 2, "Info", "format", "PDF 1.7", "", None), (1, 1, "Info", "Title", "", "", None), (1, 2, "CatalogInfo", "Producer", "p", "", None), (1, 3, "CatalogInfo", "Author", "p", "", None),

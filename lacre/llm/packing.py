@@ -215,7 +215,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), targets: dict[str
         queues: list[list[tuple[int, int]]] = [[] for _ in sources]
         names = [number[s] for s in docs_["source"].to_pylist()]
         doc_ids = docs_["doc_id"].to_pylist()
-        for i in sorted(range(len(ids)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0, ids[i])):
+        for i in sorted(range(len(ids)), key=lambda i: (doc_ids[i] is None, 0 if doc_ids[i] is None else doc_ids[i], ids[i])):
             queues[names[i]].append((i, int(n[i])))
         queued = np.array([sum(x for _, x in q) for q in queues], np.int64)
         order = served(queued, share, share * begin - before, begin, window)

@@ -178,6 +178,13 @@ def test_packing_keeps_every_token(documents, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_ids_that_are_texts(spark):
+    rows = [("", "some words"), ("b", "more words"), (None, "words"), ("a", ""), (None, "of none"), ("", "some words")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id string, text string, source string")
+    found = packing.pack(docs).collect()
+    assert collections.Counter(r["doc_id"] for r in found if r["start"] == 0) == collections.Counter(i for i, _ in rows)
+
+
 def test_words_alone_give_the_ids_of_texts():
     from tokenizers import Tokenizer
 

@@ -205,8 +205,12 @@ def _rows_of_boxes(pages: DataFrame, boxed: Column, keep: tuple[str, ...]) -> Da
 
 
 def _with_spans(pages: DataFrame, spans: DataFrame, fields: tuple[str, ...], how: str) -> DataFrame:
-    """The pages with their spans as an array. Where pages come from one shuffle by page, only the spans move."""
-    grouped = spans.groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("spans"))
+    """The pages with their spans as an array. Where pages come from one shuffle by page, only the spans move.
+
+    The join is a merge: estimates of size do not see what arrays hold or generators make, and a
+    broadcast of pages that seem few would go through the driver's memory.
+    """
+    grouped = spans.groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("spans")).hint("merge")
     return pages.select(*PAGE, "chars").join(grouped, [*PAGE], how)
 
 
@@ -215,13 +219,14 @@ def rectangles(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return rectangles_in_place(_with_spans(pages, spans, ("span_id", "start", "end"), "inner"))
 
 
-def entity_rectangles(pages: DataFrame, entities: DataFrame) -> DataFrame:
-    """PAGE, span_id, n and a box for each rectangle that shows an entity: PAGE, span_id, type, start, end, por_ocr.
+def entity_rectangles(pages: DataFrame, entities: DataFrame, keep: tuple[str, ...] = ("span_id",)) -> DataFrame:
+    """PAGE, ``keep``, n and a box for each rectangle that shows an entity: PAGE, span_id, type, start, end, por_ocr.
 
     A CPF of a page that was not read by OCR is five boxes of one digit each, the ones to hide; anything
-    else one box around each of its visual lines. A span beyond the page is an error.
+    else one box around each of its visual lines. A span beyond the page is an error. ``keep`` names the
+    columns of the entities that their rectangles have as well, so that no join has to fetch them.
     """
-    held = _with_spans(pages, entities, ("span_id", "type", "start", "end", "por_ocr"), "right")
+    held = _with_spans(pages, entities, tuple(dict.fromkeys([*keep, "type", "start", "end", "por_ocr"])), "right")
     chars = F.coalesce(F.col("chars"), F.array())
     held = held.withColumn("chars", chars)
 
@@ -231,9 +236,9 @@ def entity_rectangles(pages: DataFrame, entities: DataFrame) -> DataFrame:
         bad = F.raise_error(F.concat(F.lit("span beyond its page, end "), s["end"].cast("string")))
         start, end = s["start"].cast("int"), s["end"].cast("int")
         found = F.when(digits, hidden_digits(F.col("chars"), start, end)).otherwise(visual_lines(F.col("chars"), start, end))
-        return F.struct(s["span_id"].alias("span_id"), F.when(F.coalesce(sound, F.lit(False)), found).otherwise(bad).alias("boxes"))
+        return F.struct(*(s[k].alias(k) for k in keep), F.when(F.coalesce(sound, F.lit(False)), found).otherwise(bad).alias("boxes"))
 
-    return _rows_of_boxes(held, F.transform("spans", boxes), ("span_id",))
+    return _rows_of_boxes(held, F.transform("spans", boxes), keep)
 
 
 def routed(pages: DataFrame) -> DataFrame:

@@ -641,8 +641,8 @@ def entity_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     glyphs = orders.select("*", F.posexplode(F.split(F.lit("529.982.247-25"), "")).alias("idx", "char")).withColumns({"x0": at(0), "x1": at(9), "y0": F.lit(0.0), "y1": F.lit(9.0)})
     kinds = F.array(F.struct(F.lit("CPF").alias("type"), F.lit(0).alias("start"), F.lit(14).alias("end")), F.struct(F.lit("EMAIL").alias("type"), F.lit(4).alias("start"), F.lit(10).alias("end")))
     entities = orders.select("*", F.posexplode(kinds).alias("span_id", "e")).select("doc_id", "page", "span_id", "e.*", (F.col("doc_id") % 2 == 1).alias("por_ocr"))
-    found = layout.entity_rectangles(layout.pages_of_characters(glyphs), entities)
-    return found.join(entities.select("doc_id", "page", "span_id", "type"), ["doc_id", "page", "span_id"]).selectExpr("doc_id", "type", "row_number() OVER (PARTITION BY doc_id, type ORDER BY x0) AS n", "x0", "x1")
+    found = layout.entity_rectangles(layout.pages_of_characters(glyphs), entities, ("span_id", "type"))
+    return found.selectExpr("doc_id", "type", "row_number() OVER (PARTITION BY doc_id, type ORDER BY x0) AS n", "x0", "x1")
 
 
 PAGES = "SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_partkey % 3 = 0 AND l_orderkey % 2 = 0 THEN 'x' WHEN l_partkey % 3 = 1 THEN '  ' END AS text FROM lineitem"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacre.operators import layout, review
+from lacre.plans.queries import QUERIES
 from lacre.sources import documents, job_results, word_tables
 from lacre.streaming import expiry, intake, jobs
 
@@ -258,3 +259,14 @@ def test_a_span_beyond_its_page_is_an_error(spark):
     assert (row.x0, row.x1) == (1.0, 3.0)
     with pytest.raises(Exception, match="beyond its page"):
         layout.entity_rectangles(layout.pages_of_characters(glyphs), spark.createDataFrame([(1, 0, 0, "EMAIL", 1, 4, False)], schema)).collect()
+
+
+def test_rectangles_of_entities_keep_their_columns_without_a_broadcast(spark):
+    """A small file may become many rows, which the driver must not hold; the entity's type comes with its rectangles."""
+    found = QUERIES["entity_rectangles"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    glyphs = spark.createDataFrame([(1, 0, i, c, float(i), 0.0, i + 1.0, 1.0) for i, c in enumerate("abc")], "doc_id int, page int, idx int, char string, x0 double, y0 double, x1 double, y1 double")
+    entities = spark.createDataFrame([(1, 0, 7, "EMAIL", 1, 3, False)], "doc_id int, page int, span_id int, type string, start int, end int, por_ocr boolean")
+    (row,) = layout.entity_rectangles(layout.pages_of_characters(glyphs), entities, ("span_id", "type")).collect()
+    assert (row.span_id, row.type, row.x0, row.x1) == (7, "EMAIL", 1.0, 3.0)

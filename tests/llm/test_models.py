@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -239,6 +240,25 @@ def test_seats_of_large_dishes():
     assert (found[:, 4] >= 5000 // pitman_yor.ROOM).all() and (found[:, 5] > found[:, 4]).all()
 
 
+def test_every_room_of_a_large_dish_is_drawn():
+    """The number of tables has the mean and the spread of rooms that are all seated, not of some that stand for the rest."""
+    rooms, weight, discount = 1000, 1.0, 0.75
+    ways = [Decimal(0), Decimal(1)]
+    for n in range(1, pitman_yor.ROOM):
+        ways = [Decimal(0)] + [ways[t - 1] + ((n - t * Decimal(discount)) * ways[t] if t <= n else 0) for t in range(1, n + 2)]
+    chance = np.array([float(x / sum(ways)) for x in ways])
+    mean = chance @ np.arange(len(chance))
+    spread = (chance @ (np.arange(len(chance)) - mean) ** 2 * rooms) ** 0.5
+    found = pitman_yor.seats(np.full(300, rooms * pitman_yor.ROOM), np.full(300, weight), discount, 2, 1, np.random.default_rng(4))[0]
+    assert abs(found.mean() - rooms * mean) < 5 * spread / 300**0.5
+    assert 0.8 < found.std() / spread < 1.25
+    exact = np.exp(pitman_yor.seatings(6, 0.3)[6, 1:])
+    sums = Counter()
+    for p in partitions(6):
+        sums[len(p)] += math.prod(math.prod(i - 0.3 for i in range(1, size)) for size in p)
+    assert np.allclose(exact, [sums[t] for t in range(1, 7)])
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 5], [255, 256, 2**40], [2**62]])
 def test_packed_numbers(values):
     assert pitman_yor.unpacked(pitman_yor.packed(np.array(values, np.int64)), len(values)).tolist() == values

@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Recipe = Sequence[tuple[str, str]]
+#: Keys of one task: detection takes some 0.2 ms for each, so a task stays short however large the table is.
+TASK_KEYS = 50_000
 
 
 def in_spark(spark: SparkSession, sf_dir: str, recipe: Recipe) -> DataFrame:
     # The keys are spread before anything is made of them: a small file is one split, whatever work hangs on it.
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k").repartition(spark.sparkContext.defaultParallelism, "k")
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k")
+    df = keys.repartition(max(spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_KEYS)), "k")
     for name, expression in recipe:
         # A generator of one row keeps the optimizer from writing each step out wherever it is used.
         df = df.select("*", F.explode_outer(F.array(F.expr(expression))).alias(name))

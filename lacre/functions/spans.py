@@ -14,6 +14,8 @@ from .sql import let, lit, name, struct, walked
 MARK = r"'\u0001'"
 #: Two search windows of 120 characters and what may lie between them.
 LOOK_BACK = 256
+#: Bytes of a text and number of spans up to which covering them one by one is cheaper than cutting the text up.
+SHORT, SHORT_SPANS = 1024, 32
 #: Character classes that mean in Java's patterns what they mean in Unicode-aware ones.
 ALNUM = r"[\p{L}\p{N}]"
 NUM = r"\p{Nd}"
@@ -111,4 +113,8 @@ def replaced(text: str, spans: str, sign: str) -> str:
         walk = let(own, lambda parts: f"if(size({parts}) = 0, {chunk}, {walked(parts, {'at': '0', 'own': chunk}, step, 'cast(array() AS array<string>)', rest)})")
         return walk
 
-    return f"array_join({cut(text, spans, covered)}, '')"
+    s, x, y = name("s"), name("x"), name("y")
+    # A short text is covered span by span, as each keeps its length.
+    short = f"octet_length({text}) <= {SHORT} AND size({spans}) <= {SHORT_SPANS} AND NOT exists({spans}, {y} -> {y}.start < 0 OR {y}.end > length({text}))"
+    over = f"aggregate({spans}, {text}, ({s}, {x}) -> if({x}.start < {x}.end, overlay({s}, repeat({lit(sign)}, cast({x}.end - {x}.start AS int)), cast({x}.start + 1 AS int)), {s}))"
+    return f"if({short}, {over}, array_join({cut(text, spans, covered)}, ''))"

@@ -43,6 +43,11 @@ def chosen(cases, otherwise: str = "null") -> str:
     return "CASE " + " ".join(f"WHEN {condition} THEN {value}" for condition, value in cases) + f" ELSE {otherwise} END"
 
 
+def looked_up(key: str, values: dict[str, str]) -> str:
+    """The value that a constant map has for a key, or null; a map is one step where a CASE compares with each in turn."""
+    return f"element_at(map({', '.join(f'{lit(k)}, {lit(v)}' for k, v in values.items())}), {key})"
+
+
 def struct(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 

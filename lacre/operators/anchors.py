@@ -54,7 +54,9 @@ CITY_STATE = r"[A-ZÁ-Ú][a-zá-ú]+/[A-Z]{2}[\s\x1c-\x1f\x85\p{Z},.;:-]*\z"
 def whole_words(labels: Iterable[str]) -> str:
     """Any of the labels between characters that are neither letters nor digits, in any case; of two that fit, the longer."""
     names = sorted(set(labels), key=lambda x: (-len(x), x))
-    return rf"(?iu)(?<!{ALNUM})(?:{'|'.join(re.sub(r'([^\w\s])', r'\\\1', x) for x in names)})(?!{ALNUM})"
+    first = "".join(sorted({x[0].lower() for x in names}))
+    # The first letter is looked at before anything else, as most places have another.
+    return rf"(?iu)(?=[{first}])(?<!{ALNUM})(?:{'|'.join(re.sub(r'([^\w\s])', r'\\\1', x) for x in names)})(?!{ALNUM})"
 
 
 #: One literal pattern for each type, one for what rules a candidate out, one that finds out whether there is any label.

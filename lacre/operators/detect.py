@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import checkdigits as dv
 from ..functions.normalize import normal_form, original_end, original_start, with_normal_form
 from ..functions.spans import ALNUM, NUM, SPACES, WORDS, clean, find_spans, last_span, search_window, searched, tail
-from ..functions.sql import chosen, let, lit, mapped, name, quoted, struct
+from ..functions.sql import chosen, let, lit, looked_up, mapped, name, quoted, struct
 from ..model import ENTITY, ENTITY_FIELDS, METHODS
 from ..session import ship
 from .anchors import ADDRESS_WINDOW, ADMINISTRATIVE, ANY_LABEL, LABEL_WINDOW, OF_TYPE, POSITIVE, in_address, label_of, nearest, ruled_out
@@ -76,6 +76,8 @@ FORMS = {
 #: Forms without any two digits that at most a separator parts; all others need such.
 WITHOUT_DIGITS = ("email", "masked", "pix")
 TWO_DIGITS = at_least(2)
+#: Forms of a number of digits in a row, at the least.
+RUNS = {"run11": 11, "run12": 12, "card": 13, "run14": 14, "run15": 15, "run20": 20}
 DETECTORS = {
     "CPF": "cpf_dv", "CNPJ": "cnpj_dv", "PIS": "pis_dv", "CNH": "cnh_dv", "TITULO_ELEITOR": "titulo_eleitor_dv", "CNS": "cns_dv", "PROCESSO_CNJ": "processo_cnj_dv",
     "CARTAO_CREDITO": "cartao_credito_luhn", "EMAIL": "email_padrao", "TELEFONE": "telefone_padrao", "CEP": "cep_padrao", "CPF_MASCARADO": "cpf_mascarado_padrao", "RG": "rg_contextual",
@@ -128,7 +130,12 @@ def _searched(n: str, wanted: set[str], ocr: str | None) -> tuple[dict[str, tupl
     forms, types_of = {}, {}
     for form, (pattern, gates, types) in FORMS.items():
         own = [t for t in types if t in wanted]
+        if form in RUNS:
+            # A text without so many digits in a row has no more of them: the first gate that fails ends the search.
+            gates = tuple(at_least(n) for n in sorted(RUNS.values()) if n <= RUNS[form])
         condition = "(" + " OR ".join(f"contains({n}, '{g}')" if len(g) == 1 else f"{n} RLIKE {lit(g)}" for g in gates) + ")"
+        if form in RUNS:
+            condition = condition.replace(" OR ", " AND ")
         if form not in WITHOUT_DIGITS:
             condition = f"_digits AND {condition}"
         if types[0] in CONTEXTUAL:
@@ -187,7 +194,7 @@ def _judged(c: str) -> str:
                 PLAIN,
             )
             found = struct(
-                type=kind, start=f"{c}.start", end=f"{c}.start + length({raw})", text=raw, confidence=f"cast({confidence} AS double)", detector=f"if({rescued}, '{OCR_CONTEXT}', {chosen((f'{kind} = {lit(x)}', lit(d)) for x, d in DETECTORS.items())})", validated=document,
+                type=kind, start=f"{c}.start", end=f"{c}.start + length({raw})", text=raw, confidence=f"cast({confidence} AS double)", detector=f"if({rescued}, '{OCR_CONTEXT}', {looked_up(kind, DETECTORS)})", validated=document,
                 context=f"if({rescued}, '{OCR_CONTEXT}', {x}.own)", requires_review=f"({rescued} OR {kind} = 'CPF_MASCARADO' OR ({unsure}))",
             )
             return f"if({stays}, {found}, null)"
@@ -226,7 +233,7 @@ def _anchored(e: str, i: str, text: str, offsets: str) -> str:
     def placed(at: str) -> str:
         # A text that is its own normal form has its literals at hand already.
         literal = f"if({text} <=> _c, {e}.text, substring({text}, {at}.start + 1, {at}.end - {at}.start))"
-        method = chosen((f"{e}.type IN ({quoted(t for t in METHODS if METHODS[t] == m)})", lit(m)) for m in dict.fromkeys(METHODS.values()))
+        method = looked_up(f"{e}.type", METHODS)
         return struct(type=f"{e}.type", start=f"{at}.start", end=f"{at}.end", text=literal, **{f: f"{e}.{f}" for f in ("confidence", "detector", "validated", "context", "requires_review")}, n_start=f"{e}.start", ord=i, method=method)
 
     return let(struct(start=original_start(f"{e}.start", offsets), end=original_end(f"{e}.start", f"{e}.end", offsets)), placed)

@@ -89,7 +89,7 @@ def pages_of_glyphs(glyphs: DataFrame) -> DataFrame:
     each of them.
     """
     fields = F.struct("line", *(f"line_{n}" for n in BOX), "ord", "c", *BOX)
-    pages = glyphs.where("block_type = 0").groupBy(*PAGE).agg(F.array_sort(F.collect_list(fields)).alias("all"))
+    pages = glyphs.where("block_type = 0").groupBy(*PAGE).agg(F.sort_array(F.collect_list(fields)).alias("all"))
     pages = pages.withColumn("starts", _starts(F.col("all"), lambda b, x: b["line"] == x["line"]))
 
     def line(start: Column, k: Column) -> Column:
@@ -103,7 +103,7 @@ def pages_of_glyphs(glyphs: DataFrame) -> DataFrame:
 
     def row(_: Column, k: Column) -> Column:
         own = F.transform(_stretch(F.col("starts"), k, F.col("n")), lambda j: F.get("lines", j))
-        cells = F.array_sort(F.transform(own, lambda x: F.struct(x["x0"].alias("left"), x["line"].alias("line"), x["glyphs"].alias("glyphs"))))
+        cells = F.sort_array(F.transform(own, lambda x: F.struct(x["x0"].alias("left"), x["line"].alias("line"), x["glyphs"].alias("glyphs"))))
         placed = F.flatten(F.transform(cells, lambda c, j: F.transform(c["glyphs"], lambda g: F.struct(j.alias("cell"), *(g[f].alias(f) for f in ("c", *BOX)), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("bigint").alias("word")))))
         return F.struct(*(v.alias(n) for n, v in _union(own).items()), placed.alias("glyphs"))
 
@@ -119,7 +119,7 @@ def pages_of_words(words: DataFrame) -> DataFrame:
     key = ("block_num", "par_num", "line_num")
     clean = words.withColumn("c", F.regexp_replace("text", r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z", "")).where((F.col("c") != "") & (F.col("conf") >= 0))
     boxed = clean.select(*PAGE, "idx", *key, "word_num", "c", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), F.col("conf").alias("confidence"))
-    pages = boxed.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*key, "word_num", "c", *BOX, "confidence", "idx"))).alias("all"))
+    pages = boxed.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*key, "word_num", "c", *BOX, "confidence", "idx"))).alias("all"))
     pages = pages.withColumn("starts", _starts(F.col("all"), lambda b, w: F.struct(*(b[k] for k in key)).eqNullSafe(F.struct(*(w[k] for k in key)))))
 
     def line(_: Column, k: Column) -> Column:
@@ -127,7 +127,7 @@ def pages_of_words(words: DataFrame) -> DataFrame:
         glyphs = F.transform(own, lambda w, j: F.struct(j.alias("cell"), *(w[f].alias(f) for f in ("c", *BOX, "confidence")), w["idx"].cast("bigint").alias("word")))
         return F.struct(F.array_min(F.transform(own, lambda w: w["idx"])).alias("first"), *(v.alias(n) for n, v in _union(own).items()), glyphs.alias("glyphs"))
 
-    return _with_characters(pages.select(*PAGE, F.array_sort(F.transform("starts", line)).alias("rows")))
+    return _with_characters(pages.select(*PAGE, F.sort_array(F.transform("starts", line)).alias("rows")))
 
 
 def characters_of(pages: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def characters_of(pages: DataFrame) -> DataFrame:
 
 def pages_of_characters(characters: DataFrame) -> DataFrame:
     """PAGE and chars, from characters as rows: PAGE, idx, char and a box."""
-    own = F.transform(F.array_sort(F.collect_list(F.struct("idx", "char", *BOX))), lambda c: F.struct(c["char"].alias("char"), *(c[n].cast("double").alias(n) for n in BOX)))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("idx", "char", *BOX))), lambda c: F.struct(c["char"].alias("char"), *(c[n].cast("double").alias(n) for n in BOX)))
     return characters.groupBy(*PAGE).agg(own.alias("chars"))
 
 

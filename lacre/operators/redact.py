@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masking import HIDDEN
 from ..functions.spans import replaced
-from ..functions.sql import let, name, struct
+from ..functions.sql import let, looked_up, name, struct
 from ..model import TYPES
 
 BLOCK = "█"
@@ -31,8 +31,8 @@ def hidden_parts(entity: str) -> str:
 def policy_action(entity: str, policy: dict[str, str] | None = None) -> str:
     """SQL of the action for an entity's type; a type without one is an error, never a default."""
     rules = policy if policy is not None else {t: a for t, _, _, a in TYPES}
-    cases = " ".join(f"WHEN '{t}' THEN '{a}'" for t, a in rules.items())
-    return f"CASE {entity}.type {cases} ELSE raise_error(concat('no action for type ', coalesce({entity}.type, 'null'))) END"
+    known = f"{looked_up(f'{entity}.type', rules)}, " if rules else ""
+    return f"coalesce({known}raise_error(concat('no action for type ', coalesce({entity}.type, 'null'))))"
 
 
 def redact_in_place(texts: DataFrame, entities: str = "entities", text: str = "text", policy: dict[str, str] | None = None, into: str = "redacted") -> DataFrame:

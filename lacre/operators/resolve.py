@@ -38,7 +38,7 @@ def fragment(inner: str, outer: str) -> str:
 def _accepted(found: str) -> str:
     """The accepted of entities that lie close together, without fragments."""
     rank = lambda e: struct(a=f"NOT {e}.validated", b=f"{e}.start - {e}.end", c=f"-{e}.confidence", d=f"{e}.start", t=f"{e}.type", o=f"{e}.ord", e=e)
-    ranked = mapped(f"array_sort({mapped(found, rank)})", lambda r: f"{r}.e")
+    ranked = mapped(f"sort_array({mapped(found, rank)})", lambda r: f"{r}.e")
     kept, e, k, x, o = (name(n) for n in "kexyo")
     accepted = f"aggregate({ranked}, slice({found}, 1, 0), ({kept}, {e}) -> if(exists({kept}, {k} -> {compete(e, k)}), {kept}, concat({kept}, array({e}))))"
     return let(accepted, lambda all_: f"filter({all_}, {x} -> NOT exists({all_}, {o} -> {fragment(x, o)}))")
@@ -47,7 +47,7 @@ def _accepted(found: str) -> str:
 def in_reading_order(found: str) -> str:
     """By start, the longer first."""
     order = lambda e: struct(a=f"{e}.start", b=f"-{e}.end", o=f"{e}.ord", e=e)
-    return mapped(f"array_sort({mapped(found, order)})", lambda r: f"{r}.e")
+    return mapped(f"sort_array({mapped(found, order)})", lambda r: f"{r}.e")
 
 
 def resolved(found: str) -> str:
@@ -61,9 +61,14 @@ def resolved(found: str) -> str:
         apart = f"{e}.start >= {s}.reach"
         return {"reach": f"greatest({s}.reach, {e}.end)", "held": f"if({apart}, array({e}), concat({s}.held, array({e})))", "found": f"if({apart}, concat({s}.found, array({s}.held)), {s}.found)"}
 
-    groups = let(in_reading_order(found), lambda x: walked(x, {"reach": "0", "held": none}, step, f"slice(array({none}), 1, 0)", lambda r: f"concat(flatten({r}.found), array({r}.held))"))
-    settled = mapped(groups, lambda g: f"if(size({g}) < 2, {g}, {in_reading_order(_accepted(g))})")
-    return f"if(size({found}) < 2, {found}, flatten({settled}))"
+    def groups(x: str) -> str:
+        return walked(x, {"reach": "0", "held": none}, step, f"slice(array({none}), 1, 0)", lambda r: f"concat(flatten({r}.found), array({r}.held))")
+
+    settled = lambda x: mapped(groups(x), lambda g: f"if(size({g}) < 2, {g}, {in_reading_order(_accepted(g))})")
+    i = name("i")
+    # Most texts have no two entities that overlap: then all stay.
+    crossed = lambda x: f"exists(sequence(1, size({x}) - 1), {i} -> {x}[{i}].start < {x}[{i} - 1].end)"
+    return f"if(size({found}) < 2, {found}, {let(in_reading_order(found), lambda x: f'if({crossed(x)}, flatten({settled(x)}), {x})')})"
 
 
 def resolve(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:

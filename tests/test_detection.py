@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import plain
-from lacre.functions import masking, normalize
+from lacre.functions import masking, normalize, spans
 from lacre.model import ENTITY as ENTITY_TYPE
 from lacre.operators import pipeline, redact, resolve, review
+from lacre.operators.resolve import resolved
+from lacre.plans import recipes
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ENTITY = ("type", "start", "end", "confidence", "validated", "context", "requires_review", "text")
@@ -307,3 +309,29 @@ def test_known_texts_are_not_searched_again(spark):
     changed = docs.where("doc_id <> 2").unionByName(spark.createDataFrame([(2, "tel. (15) 91234-5678")], docs.schema))
     found, more = pipeline.with_known(changed, marked)
     assert {r["doc_id"]: [e["type"] for e in r["entities"]] for r in found.collect()} == {1: [], 2: ["TELEFONE"], 3: [], 4: [], 5: []} and more.count() == 1
+
+
+def test_tasks_stay_short_as_keys_grow(spark, monkeypatch):
+    """The number of tasks follows the number of keys, not the number of cores alone."""
+    monkeypatch.setattr(recipes, "TASK_KEYS", 100)
+    made = recipes.in_spark(spark, "/root/testdata/sf0.001", [("text", "'x'")])
+    assert made.rdd.getNumPartitions() == 15 and made.count() == 1500
+
+
+def test_short_texts_are_covered_like_long_ones(spark, monkeypatch):
+    """Spans in any order, overlapping, empty or with characters beyond the basic plane; no text is cut up for them."""
+    rows = [("a😀xbcdf", [(4, 6), (0, 2), (1, 3)]), ("abc", []), ("abc", [(1, 1)]), ("abc", [(2, 5)]), ("áé", [(0, 2)]), (None, [(0, 1)])]
+    table = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "id int, text string, spans array<struct<start: int, end: int>>")
+    told = lambda: [r.x for r in table.select("id", F.expr(spans.replaced("text", "spans", "█")).alias("x")).orderBy("id").collect()]
+    short = told()
+    assert "overlay" in spans.replaced("text", "spans", "█")
+    monkeypatch.setattr(spans, "SHORT", -1)
+    assert short == told() == ["███b██f", "abc", "abc", "ab███", "██", None]
+    assert short[0].count("█") == 5 and len(short[0]) == 7
+
+
+def test_entities_without_overlap_are_not_walked(spark):
+    """Sorting is native and what no other entity crosses is settled without a walk."""
+    text = resolved("found")
+    assert "array_sort(" not in text and "exists(sequence(1" in text
+

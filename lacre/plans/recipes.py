@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Recipe = Sequence[tuple[str, str]]
-#: Keys of one task: detection takes some 0.2 ms for each, so a task stays short however large the table is.
+#: Keys of one task: detection took 0.3 ms of a core for each, so a task stays short however large the table is.
 TASK_KEYS = 50_000
 
 

@@ -259,6 +259,35 @@ def test_every_room_of_a_large_dish_is_drawn():
     assert np.allclose(exact, [sums[t] for t in range(1, 7)])
 
 
+@pytest.mark.parametrize("n,weight", [(60, 0.05), (200, 2.0)])
+def test_seating_needs_no_sweeps_before_it(n, weight):
+    """The first sample has the exact mean already: sweeps from one seating by turns come near it only after many."""
+    ways = [Decimal(0), Decimal(1)]
+    for k in range(1, n):
+        ways = [Decimal(0)] + [ways[t - 1] + ((k - t * Decimal(0.75)) * ways[t] if t <= k else 0) for t in range(1, k + 2)]
+    chance = [x * Decimal(weight) ** t for t, x in enumerate(ways)]
+    chance = np.array([float(x / sum(chance)) for x in chance])
+    mean = chance @ np.arange(len(chance))
+    spread = (chance @ (np.arange(len(chance)) - mean) ** 2) ** 0.5
+    found = pitman_yor.seats(np.full(20_000, n), np.full(20_000, weight), 0.75, 0, 1, np.random.default_rng(6))[0]
+    assert abs(found.mean() - mean) < 5 * spread / 20_000**0.5 and 0.95 < found.std() / spread < 1.05
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 32])
+def test_counts_of_pairs_in_lists(shift):
+    """Each list gets the counts of all lists in its own order, also with numbers too large for one key."""
+    lists = [[(1, 2, 3), (1, 5, 1), (4, 1, 2)], [(1, 2, 1), (4, 1, 5), (4, 2, 1)]]
+    rows = []
+    for i, own in enumerate(lists):
+        u, w, uses = (np.array(x, np.int64) for x in zip(*own))
+        rows.append((0, i, pitman_yor.PAIRS, len(own), None, *map(pitman_yor.packed, (np.diff(u + shift, prepend=0), w + shift, uses, np.full(len(own), 160)))))
+    found = pitman_yor.seat_pairs(2, 0, 3)(pitman_yor.table_of(rows)).to_pylist()
+    counts = {r["to"]: pitman_yor.unpacked(r["a"], r["n"]).tolist() for r in found if r["kind"] == pitman_yor.PAIRS}
+    assert counts == {0: [4, 1, 7], 1: [4, 7, 1]}
+    tables = [pitman_yor.unpacked(r["b"], r["n"]).sum() for r in found if r["kind"] == pitman_yor.TABLES]
+    assert 3 * 4 <= sum(tables) <= 3 * 13
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 5], [255, 256, 2**40], [2**62]])
 def test_packed_numbers(values):
     assert pitman_yor.unpacked(pitman_yor.packed(np.array(values, np.int64)), len(values)).tolist() == values

@@ -655,8 +655,8 @@ def source_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pages_with_entities", f"SELECT p.doc_id, p.page, CAST(100 + p.page AS DOUBLE) AS largura, CAST(CASE WHEN p.page % 2 = 0 THEN 2 ELSE 0 END AS INT) AS n FROM (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page FROM lineitem) p")
 def pages_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page appears, also one without any entity."""
-    pages = _rows(spark, sf_dir, PAGES).select("doc_id", "page").distinct()
+    """Every page appears, also one without any entity. What is made of the pages stays in their tasks."""
+    pages = r.dealt(_rows(spark, sf_dir, PAGES).select("doc_id", "page"), r.TASK_ROWS, "doc_id", "page").distinct()
     sizes = pages.select("doc_id", "page", (F.col("page") + 100).cast("double").alias("largura"), F.lit(1.0).alias("altura"))
     entities = pages.where("page % 2 = 0").select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("ord")).selectExpr("doc_id", "page", "ord", "'CPF' AS type", "ord AS start", "ord + 1 AS end", "0.9D AS confidence", "false AS requires_review")
     return review.pages_of(pages, sizes, entities).select("doc_id", "page", "largura", F.coalesce(F.size("entidades"), F.lit(0)).alias("n"))

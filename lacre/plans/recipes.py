@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 Recipe = Sequence[tuple[str, str]]
 #: Keys of one task: detection took 0.3 ms of a core for each, so a task stays short however large the table is.
 TASK_KEYS = 50_000
+#: Rows of one task that are sorted and joined: pages_with_entities took 680 MB for them, at 6 and at 60 times sf0.1.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by its keys in tasks of about ``rows`` rows: their number follows the input, their size does not."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
 
 
 def in_spark(spark: SparkSession, sf_dir: str, recipe: Recipe) -> DataFrame:
     # The keys are spread before anything is made of them: a small file is one split, whatever work hangs on it.
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k")
-    df = keys.repartition(max(spark.sparkContext.defaultParallelism, -(-keys.count() // TASK_KEYS)), "k")
+    df = dealt(keys, TASK_KEYS, "k")
     for name, expression in recipe:
         # A generator of one row keeps the optimizer from writing each step out wherever it is used.
         df = df.select("*", F.explode_outer(F.array(F.expr(expression))).alias(name))

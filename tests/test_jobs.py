@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacre.operators import layout, review
+from lacre.plans import recipes
 from lacre.plans.queries import QUERIES
 from lacre.sources import documents, job_results, word_tables
 from lacre.streaming import expiry, intake, jobs
@@ -204,6 +205,16 @@ def test_a_page_without_a_size_is_an_error(spark):
         review.pages_of(pages, sizes, entities).collect()
 
 
+def test_pages_are_joined_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Tasks follow the number of rows, not their compressed bytes, and joins and groups need no second shuffle."""
+    monkeypatch.setattr(recipes, "TASK_ROWS", 300, raising=False)
+    found = QUERIES["pages_with_entities"](spark, "/root/testdata/sf0.001")
+    rows = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(rows) > 10 and max(rows) < 600
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 == plan.count("REPARTITION_BY_NUM")
+
+
 def test_ids_of_null_keys_do_not_meet(spark):
     rows = spark.createDataFrame([(None, "a", 0, "CPF"), ("a", None, 0, "CPF"), ("a|0", None, 0, "CPF"), ("a", "0", 0, "CPF")], "k string, l string, ord int, type string")
     assert len({r["entidade_id"] for r in review.entity_ids(rows, ("k", "l")).collect()}) == 4

@@ -5,6 +5,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lacre.operators import layout, review
@@ -181,6 +182,51 @@ def test_a_renewed_deadline_does_not_expire(spark, tmp_path):
     assert set(order[:2]) == {"b", "d"} and order[2:] == ["a"]
 
 
+class Spy:
+    """State and timers of one job that note each call."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def called(self, name, value=None):
+        self.calls.append(name)
+        return value
+
+    exists = lambda self: self.called("exists", self.held is not None)
+    get = lambda self: self.called("get", self.held)
+    update = lambda self, value: self.called("update", setattr(self, "held", value))
+    clear = lambda self: self.called("clear", setattr(self, "held", None))
+    listTimers = lambda self: self.called("listTimers", iter(self.timers))
+    registerTimer = lambda self, at: self.called("registerTimer", self.timers.add(at))
+    getCurrentWatermarkInMs = lambda self: 0
+    getExpiryTimeInMs = lambda self: 0
+
+
+def test_a_job_asks_for_its_state_once():
+    """Each call to the state is a message: with many jobs they are what takes the time."""
+    spy, life = Spy(), expiry.JobLife(datetime.timedelta(minutes=30), False)
+    life.init(spy)
+    minute = 60_000_000
+    take = lambda *rows: [tuple(r) for r in life.handleInputRows(("a",), (Row(id="a", ts=t and t * minute, seq=n, event=e) for t, n, e in rows), spy)]
+    until = lambda m: datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=m)
+    assert take((None, 0, "started")) == [] and spy.calls == ["get"]
+    spy.calls.clear()
+    assert take((12, 3, "started"), (10, 1, "created"), (12, 2, "failed")) == [("a", "processando", 0.0, until(40))]
+    assert spy.calls == ["get", "update", "registerTimer"] and spy.timers == {40 * 60_000}
+    spy.calls.clear()
+    assert take((13, 4, "done"), (11, 9, "failed")) == [("a", "pronto", 1.0, until(40))]
+    assert spy.calls == ["get", "update"]
+    assert take((20, 5, "renewed")) == [("a", "pronto", 1.0, until(50))] and spy.timers == {40 * 60_000, 50 * 60_000}
+    assert take((None, 6, "deleted")) == [("a", "apagado", None, until(50))] and take((21, 7, "started")) == []
+    spy.calls.clear()
+    assert list(life.handleExpiredTimer(("a",), spy, spy)) == [] and spy.calls[0] == "get" and spy.held is not None
+    spy.getExpiryTimeInMs = lambda: 50 * 60_000
+    assert list(life.handleExpiredTimer(("a",), spy, spy)) == [] and spy.held is None
+
+
 def test_timers_go_off_by_the_clock(spark, tmp_path):
     """Without any further event. The stream is stopped here, as one with timers by the clock has no end of its own."""
     now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)

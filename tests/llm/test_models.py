@@ -261,7 +261,7 @@ def test_every_room_of_a_large_dish_is_drawn():
 
 @pytest.mark.parametrize("n,weight", [(60, 0.05), (200, 2.0)])
 def test_seating_needs_no_sweeps_before_it(n, weight):
-    """The first sample has the exact mean already: sweeps from one seating by turns come near it only after many."""
+    """The first sample has the exact mean and spread already, without any burn-in."""
     ways = [Decimal(0), Decimal(1)]
     for k in range(1, n):
         ways = [Decimal(0)] + [ways[t - 1] + ((k - t * Decimal(0.75)) * ways[t] if t <= k else 0) for t in range(1, k + 2)]

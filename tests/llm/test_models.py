@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacre.llm import centroids, pitman_yor, whitening
+from lacre.llm import centroids, pitman_yor, seating, whitening
 
 VECTORS = "vec_id bigint, embedding array<double>, v int, y string, n int"
 
@@ -273,6 +273,47 @@ def test_seating_needs_no_sweeps_before_it(n, weight):
     assert abs(found.mean() - mean) < 5 * spread / 20_000**0.5 and 0.95 < found.std() / spread < 1.05
 
 
+def tables_of_all(n, weight):
+    """Mean and spread of the number of tables, all customers of a dish in one room."""
+    t = np.arange(1, n + 1)
+    chance = pitman_yor.seatings(n, 0.75)[n, 1:] + t * math.log(weight)
+    chance = np.exp(chance - chance.max())
+    mean = chance @ t / chance.sum()
+    return mean, (chance @ (t - mean) ** 2 / chance.sum()) ** 0.5
+
+
+@pytest.mark.parametrize("n,weight", [(257, 0.05), (900, 1.0), (900, 30.0), (900, 5000.0)])
+def test_dishes_of_any_size_are_seated_whole(n, weight):
+    """A large dish's customers may all share tables, in the model's own steps as well: rooms of some of them have more."""
+    mean, spread = tables_of_all(n, weight)
+    found = pitman_yor.seats(np.full(4000, n), np.full(4000, weight), 0.75, 0, 1, np.random.default_rng(7), whole=True)[0]
+    assert abs(found.mean() - mean) < 5 * spread / 4000**0.5 and 0.9 < found.std() / spread < 1.1
+    grade = round(math.log2(weight) * 4) + 160
+    mean, spread = tables_of_all(n, 2 ** ((grade - 160) / 4))
+    own = [np.arange(1, 501), np.zeros(500, np.int64), np.full(500, n), np.full(500, grade)]
+    own[0] = np.diff(own[0], prepend=0)
+    rows = pitman_yor.seat_pairs(1, 0, 2)(pitman_yor.table_of([(0, 0, pitman_yor.PAIRS, 500, None, *map(pitman_yor.packed, own))])).to_pylist()
+    seat = pitman_yor.unpacked(next(r["b"] for r in rows if r["kind"] == pitman_yor.PAIRS), 500)
+    assert abs(seat.mean() / 2 - mean) < 5 * spread / 1000**0.5
+    parent = {"c": pitman_yor.packed(np.full(500, n)), "n": 500, "m": 1, "to": 0}
+    _, seat = pitman_yor.parent_tables(parent, 1, weight, [0], 0)
+    mean, spread = tables_of_all(n, weight)
+    assert abs(seat.mean() - mean) < 5 * spread / 500**0.5
+
+
+@pytest.mark.parametrize("discount", [0.3, 0.75])
+def test_seatings_of_many_customers(discount):
+    table = pitman_yor.seatings(1200, discount)
+    for n in (257, 1200):
+        t = np.arange(1, n + 1)
+        assert np.abs(seating.log_seatings(np.full(n, n), t, discount) - table[n, 1 : n + 1]).max() < 1e-7
+    # S(n + 1, t) = S(n, t - 1) + (n - d t) S(n, t), far beyond a table.
+    t = np.array([2, 50, 10_000, 1_000_000, 9_999_999])
+    n = np.full(5, 10_000_000)
+    rest = np.logaddexp(seating.log_seatings(n, t - 1, discount), seating.log_seatings(n, t, discount) + np.log(n - discount * t))
+    assert np.abs(seating.log_seatings(n + 1, t, discount) - rest).max() < 1e-5
+
+
 @pytest.mark.parametrize("shift", [0, 1 << 32])
 def test_counts_of_pairs_in_lists(shift):
     """Each list gets the counts of all lists in its own order, also with numbers too large for one key."""

@@ -59,7 +59,10 @@ def find_spans(parts: str) -> str:
         here = struct(form=f"{f}.form", start=f"{s}.at", text=piece, before=f"{s}.tail")
         return {"at": f"{s}.at + length({piece})", "tail": tail(f"concat({s}.tail, {piece})", LOOK_BACK), "odd": f"NOT {s}.odd", "found": f"if({s}.odd, concat({s}.found, array({here})), {s}.found)"}
 
-    own = walked(f"{f}.parts", {"at": "0", "tail": "''", "odd": "false"}, step, none, lambda r: f"flatten({r}.found)")
+    many = walked(f"{f}.parts", {"at": "0", "tail": "''", "odd": "false"}, step, none, lambda r: f"flatten({r}.found)")
+    # One match needs no walk.
+    one = struct(form=f"{f}.form", start=f"length({f}.parts[0])", text=f"{f}.parts[1]", before=tail(f"{f}.parts[0]", LOOK_BACK))
+    own = f"if(size({f}.parts) = 3, array({one}), {many})"
     return f"flatten(transform(filter({parts}, {hit} -> size({hit}.parts) > 2), {f} -> {own}))"
 
 
@@ -85,7 +88,8 @@ def search_window(before: str, size: int) -> str:
     """
     above = rf"if(contains({before}, '\n'), regexp_replace(substring_index(substring_index({before}, '\n', -2), '\n', 1), {lit(r'\r+\z')}, ''), '')"
     joined = lambda line, a: f"if({is_blank(line)} AND NOT {is_blank(a)}, concat({a}, {line}), {line})"
-    return tail(let(rf"substring_index({before}, '\n', -1)", lambda line: let(above, lambda a: joined(line, a))), size)
+    lines = let(rf"substring_index({before}, '\n', -1)", lambda line: let(above, lambda a: joined(line, a)))
+    return tail(rf"if(contains({before}, '\n'), {lines}, {before})", size)
 
 
 def cut(text: str, spans: str, then, chunk: int = 8192) -> str:

@@ -33,7 +33,7 @@ AFTER = rf"(?!{ALNUM})(?![.\-/]{ALNUM})"
 
 def run_of(n: int) -> str:
     """``n`` digits with at most one separator between two of them."""
-    return rf"{BEFORE}{NUM}(?:[.\-/ ]?{NUM}){{{n - 1},{n - 1}}}{AFTER}"
+    return rf"(?={NUM}){BEFORE}{NUM}(?:[.\-/ ]?{NUM}){{{n - 1},{n - 1}}}{AFTER}"
 
 
 #: The written forms.
@@ -52,7 +52,7 @@ def at_least(n: int) -> str:
 
 
 def email(sign: str) -> str:
-    return rf"(?<![{WORDS}.+-])[A-Za-z0-9._%+-]+{sign}{HOST}(?:\.{HOST})+(?![{WORDS}-])"
+    return rf"(?=[A-Za-z0-9._%+-])(?<![{WORDS}.+-])[A-Za-z0-9._%+-]+{sign}{HOST}(?:\.{HOST})+(?![{WORDS}-])"
 
 
 #: name of the form: (pattern, what a text must have to be searched for it, types that a literal of it may be).
@@ -62,20 +62,19 @@ FORMS = {
     "run14": (run_of(14), (at_least(14),), ("CNPJ",)),
     "run15": (run_of(15), (at_least(15),), ("CNS",)),
     "run20": (run_of(20), (at_least(20),), ("PROCESSO_CNJ",)),
-    "card": (f"{BEFORE}{CARD}{AFTER}", (at_least(13),), ("CARTAO_CREDITO",)),
+    "card": (f"(?={NUM}){BEFORE}{CARD}{AFTER}", (at_least(13),), ("CARTAO_CREDITO",)),
     "email": (email("@"), ("@",), ("EMAIL",)),
-    "phone": (rf"(?<!{ALNUM}){PHONE}{AFTER}", (rf"{NUM}{{2}}\)?[{SPACES}.-]?{NUM}{{4}}",), ("TELEFONE",)),
-    "cep": (rf"{BEFORE}{NUM}{{5}}-?{NUM}{{3}}{AFTER}", (rf"{NUM}{{5}}-?{NUM}{{3}}",), ("CEP",)),
-    "masked": (rf"{BEFORE}{GROUP3}\.{GROUP3}\.{GROUP3}-{GROUP2}{AFTER}", (rf"[{NUM}*Xx]{{3}}\.",), ("CPF_MASCARADO",)),
-    "rg": (rf"{BEFORE}(?:{NUM}{{1,2}}\.{NUM}{{3}}\.{NUM}{{3}}-?[0-9Xx]|{NUM}{{7,9}}[Xx]?){AFTER}", (rf"{NUM}{{3}}",), ("RG",)),
-    "account": (rf"{BEFORE}{NUM}{{3,12}}(?:-[0-9Xx])?{AFTER}", (rf"{NUM}{{3}}",), ("AGENCIA_CONTA",)),
+    "phone": (rf"(?=[+({NUM}])(?<!{ALNUM}){PHONE}{AFTER}", (rf"{NUM}{{2}}\)?[{SPACES}.-]?{NUM}{{4}}",), ("TELEFONE",)),
+    "cep": (rf"(?={NUM}){BEFORE}{NUM}{{5}}-?{NUM}{{3}}{AFTER}", (rf"{NUM}{{5}}-?{NUM}{{3}}",), ("CEP",)),
+    "masked": (rf"(?=[{NUM}*Xx]){BEFORE}{GROUP3}\.{GROUP3}\.{GROUP3}-{GROUP2}{AFTER}", (r"[*Xx]{2}",), ("CPF_MASCARADO",)),
+    "rg": (rf"(?={NUM}){BEFORE}(?:{NUM}{{1,2}}\.{NUM}{{3}}\.{NUM}{{3}}-?[0-9Xx]|{NUM}{{7,9}}[Xx]?){AFTER}", (rf"{NUM}{{3}}",), ("RG",)),
+    "account": (rf"(?={NUM}){BEFORE}{NUM}{{3,12}}(?:-[0-9Xx])?{AFTER}", (rf"{NUM}{{3}}",), ("AGENCIA_CONTA",)),
     "pix": (rf"(?<![{WORDS}.+-])(?:{UUID}|{LOOSE_EMAIL}|{LOOSE_CPF}|{LOOSE_PHONE})", ("@", rf"{NUM}{{3}}", "-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-"), ("CHAVE_PIX",)),
     "cid": (rf"(?<!{ALNUM})[A-Z]{NUM}{{2}}(?:\.{NUM})?(?!{ALNUM})", (rf"[A-Z]{NUM}{{2}}",), ("CID",)),
-    "date": (rf"{BEFORE}(?:{NUM}{{2}}/{NUM}{{2}}/{NUM}{{4}}|{NUM}{{2}}\.{NUM}{{2}}\.{NUM}{{4}}|{NUM}{{4}}-{NUM}{{2}}-{NUM}{{2}}){AFTER}", (rf"{NUM}{{2}}[/.-]{NUM}{{2}}",), ("DATA_NASCIMENTO",)),
+    "date": (rf"(?={NUM}){BEFORE}(?:{NUM}{{2}}/{NUM}{{2}}/{NUM}{{4}}|{NUM}{{2}}\.{NUM}{{2}}\.{NUM}{{4}}|{NUM}{{4}}-{NUM}{{2}}-{NUM}{{2}}){AFTER}", (rf"{NUM}{{2}}[/.-]{NUM}{{2}}",), ("DATA_NASCIMENTO",)),
 }
 #: Forms without any two digits that at most a separator parts; all others need such.
 WITHOUT_DIGITS = ("email", "masked", "pix")
-TWO_DIGITS = at_least(2)
 #: Forms of a number of digits in a row, at the least.
 RUNS = {"run11": 11, "run12": 12, "card": 13, "run14": 14, "run15": 15, "run20": 20}
 DETECTORS = {
@@ -130,14 +129,9 @@ def _searched(n: str, wanted: set[str], ocr: str | None) -> tuple[dict[str, tupl
     forms, types_of = {}, {}
     for form, (pattern, gates, types) in FORMS.items():
         own = [t for t in types if t in wanted]
-        if form in RUNS:
-            # A text without so many digits in a row has no more of them: the first gate that fails ends the search.
-            gates = tuple(at_least(n) for n in sorted(RUNS.values()) if n <= RUNS[form])
-        condition = "(" + " OR ".join(f"contains({n}, '{g}')" if len(g) == 1 else f"{n} RLIKE {lit(g)}" for g in gates) + ")"
-        if form in RUNS:
-            condition = condition.replace(" OR ", " AND ")
-        if form not in WITHOUT_DIGITS:
-            condition = f"_digits AND {condition}"
+        condition = f"_digits >= {RUNS[form]}" if form in RUNS else "(" + " OR ".join(f"contains({n}, '{g}')" if len(g) == 1 else f"{n} RLIKE {lit(g)}" for g in gates) + ")"
+        if form not in WITHOUT_DIGITS and form not in RUNS:
+            condition = f"_digits >= 2 AND {condition}"
         if types[0] in CONTEXTUAL:
             condition += f" AND {n} RLIKE {lit(OF_TYPE[types[0]])}"
         if own:
@@ -147,6 +141,12 @@ def _searched(n: str, wanted: set[str], ocr: str | None) -> tuple[dict[str, tupl
     return forms, types_of
 
 
+def _digits(n: str) -> str:
+    """How many digits in a row a text has: the largest of 2 and the sizes of ``RUNS`` that it reaches, or 0. The first that fails ends the search."""
+    sizes = [2, *sorted(set(RUNS.values()))]
+    return chosen([(f"{n} IS NULL", "0"), *((f"NOT {n} RLIKE {lit(at_least(size))}", str(below)) for below, size in zip([0, *sizes], sizes))], str(sizes[-1]))
+
+
 def _candidates(parts: str, types_of: dict[str, list[str]]) -> str:
     """array<struct<start, text, before, type, ocr, valid>>: the matches that their types' own rules accept."""
     documents = [form for form in types_of if types_of[form][0] in DOCUMENT] or ["none"]
@@ -174,13 +174,10 @@ def _judged(c: str) -> str:
     canonical = chosen((f"{kind} = '{t}'", f"{raw} RLIKE {lit(rf'^(?:{form})' + chr(92) + 'z')}") for t, form in CANON.items())
 
     def labels(w: str) -> str:
-        def found(some: str) -> str:
-            return struct(
-                own=f"if({some} AND NOT {rescued}, {label_of(w, kind)}, null)", neg=f"if({some}, {last_span(w, ADMINISTRATIVE)}, null)",
-                chosen=f"if({some} AND {several}, {nearest(w, DOCUMENT, valid)}, null)", w=w,
-            )
-
-        return let(f"{w} RLIKE {lit(ANY_LABEL)}", found)
+        return struct(
+            own=f"if({rescued}, null, {label_of(w, kind)})", neg=last_span(w, ADMINISTRATIVE),
+            chosen=f"if({several} AND {w} RLIKE {lit(ANY_LABEL)}, {nearest(w, DOCUMENT, valid)}, null)", w=w,
+        )
 
     def entity(window: str, x: str) -> str:
         def judged(out: str) -> str:
@@ -248,7 +245,7 @@ def detection(text: str, types: Iterable[str] | None = None) -> str:
         return f"cast(array() AS array<{ENTITY}>)"
     placed = f"transform(_j, ({e}, {i}) -> {_anchored(e, i, text, '_nf.map')})"
     judged = f"array_compact({mapped(_candidates('_parts', types_of), _judged)})"
-    steps = (("_nf", normal_form(text)), ("_c", clean("_nf.text")), ("_digits", f"_c RLIKE {lit(TWO_DIGITS)}"), ("_parts", searched("_c", forms)), ("_j", judged))
+    steps = (("_nf", normal_form(text)), ("_c", clean("_nf.text")), ("_digits", _digits("_c")), ("_parts", searched("_c", forms)), ("_j", judged))
     body = placed
     for variable, value in reversed(steps):
         body = f"transform(array({value}), {variable} -> {body})[0]"
@@ -266,7 +263,7 @@ def with_candidates(texts: DataFrame, text: str = "text", ocr: str | None = None
     ship(texts.sparkSession)
     wanted = set(DETECTORS) if types is None else set(DETECTORS) & set(types)
     rows = with_normal_form(texts, text)
-    rows = rows.withColumns({"_c": F.expr(clean("_n")), "_digits": F.expr(f"_n RLIKE {lit(TWO_DIGITS)}")})
+    rows = rows.withColumns({"_c": F.expr(clean("_n")), "_digits": F.expr(_digits("_n"))})
     forms, types_of = _searched("_c", wanted, ocr)
     # Twice a reference keeps this a step of its own: the search is compiled code, what follows is not.
     rows = rows.withColumn("_parts", F.expr(searched("_c", forms)) if forms else F.array())

@@ -41,18 +41,21 @@ def text_leaks(texts: DataFrame, expected: DataFrame, text: str = "text") -> Dat
 def leaks_in_place(documents: DataFrame, entities: str = "entities", text: str = "text", policy: dict[str, str] | None = None, into: str = "vazamentos") -> DataFrame:
     """``documents`` with an array of what should have gone from each and is found again in ``text``, on the row where both are.
 
-    No row moves. A text from which nothing had to go is not searched. Keys meet by a hash, so a text
-    with very many values costs no more than its values.
+    No row moves. Every text is looked through for the letters and digits of what had to go. What is found
+    is a piece of the text, so its key is a piece of the whole text's key: a text without any of the keys
+    in that has no leak, and detection runs on the others. Keys meet by a hash, so a text with very many
+    values costs no more than its values.
     """
     e = name("e")
     gone = F.expr(f"filter({entities}, {e} -> {e}.type <> 'CPF_MASCARADO' AND {policy_action(e, policy)} = 'tarjar')")
     key = lambda x: F.concat(x["type"], F.lit(":"), text_key(x["text"]))
-    rows = documents.withColumn("_gone", F.transform(gone, key))
-    rows = rows.withColumn("_searched", F.when(F.size("_gone") > 0, F.col(text)))
+    rows = documents.withColumns({"_gone": F.transform(gone, key), "_whole": text_key(F.col(text))})
+    may = F.exists("_gone", lambda g: F.contains("_whole", F.substring_index(g, ":", -1)))
+    rows = rows.withColumn("_searched", F.when(F.coalesce(may, F.size("_gone") > 0), F.col(text)))
     rows = with_entities(rows, "_searched", into="_after").withColumn("_keys", F.transform("_after", key))
     rows = rows.withColumn("_leaked", F.array_intersect("_gone", "_keys"))
     again = F.filter(F.zip_with("_after", "_keys", lambda x, k: F.when(F.array_contains("_leaked", k), x)), lambda x: x.isNotNull())
-    return rows.withColumn(into, F.when(F.size("_leaked") > 0, again).otherwise(F.slice("_after", 1, 0))).drop("_gone", "_searched", "_after", "_keys", "_leaked")
+    return rows.withColumn(into, F.when(F.size("_leaked") > 0, again).otherwise(F.slice("_after", 1, 0))).drop("_gone", "_whole", "_searched", "_after", "_keys", "_leaked")
 
 
 def verdict_in_place(documents: DataFrame, leaks: str = "vazamentos") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 import plain
 from lacre.functions import masking, normalize, spans
 from lacre.model import ENTITY as ENTITY_TYPE
-from lacre.operators import pipeline, redact, resolve, review
+from lacre.operators import pipeline, redact, resolve, review, verify
 from lacre.operators.resolve import resolved
 from lacre.plans import recipes
 
@@ -335,3 +336,23 @@ def test_entities_without_overlap_are_not_walked(spark):
     text = resolved("found")
     assert "array_sort(" not in text and "exists(sequence(1" in text
 
+
+
+def test_blocks_of_a_redaction_need_no_map(spark):
+    """Redacted texts are their own normal form; cutting them into starters took longer than searching them."""
+    texts = ["CPF ███.456.789-██, e-mail ██████; fim", "─╿▀▟", "ª ███", "ﬁ ███"]
+    found = normalize.with_normal_form(spark.createDataFrame([(t,) for t in texts], "text string"), "text").select("text", "_n", F.col("_map").isNull().alias("plain")).collect()
+    assert [r["_n"] for r in found] == [unicodedata.normalize("NFKC", r["text"]) for r in found]
+    assert {r["text"]: r["plain"] for r in found} == dict(zip(texts, [True, True, True, False]))
+
+
+def test_leaks_on_the_row_are_those_of_a_search_of_every_text(spark):
+    """Texts without the letters and digits of what had to go are not searched: no leak may be lost by that."""
+    values = ["CPF 529.982.247-25", "e-mail Ana.Maria@Mail.com", "CPF 111.444.777-35 e chave PIX: ana@mail.com", "CNPJ 11.222.333/0001-81", "nada", "CPF ***.982.247-**"]
+    after = [*values, "CPF 52998224725", "CPF: 529 982 247 25", "CPF ███.982.247-██", "veja ana.maria@mail.com.", "veja aana.maria@mail.com", "E-MAIL ANA.MARIA@MAIL.COM", "pix 11144477735, PIX: ANA@mail.com", "CPF ５２９．９８２．２４７－２５", "", None]
+    rows = [(i * 100 + j, a, b) for i, a in enumerate(values) for j, b in enumerate(after)]
+    made = pipeline.with_entities(spark.createDataFrame(rows, "doc_id bigint, text string, after string")).localCheckpoint()
+    found = {r["doc_id"]: r["n"] for r in verify.leaks_in_place(made.select("doc_id", "entities", F.col("after").alias("text"))).select("doc_id", F.size("vazamentos").alias("n")).collect()}
+    pages = made.select("doc_id", F.lit(0).alias("page"), F.col("after").alias("text"))
+    told = Counter(r["doc_id"] for r in verify.text_leaks(pages, pipeline.with_action(pipeline.rows_of(made, ("doc_id",)))).collect())
+    assert {k: n for k, n in found.items() if n} == dict(told) and len(found) == len(rows) and sum(told.values()) == 10

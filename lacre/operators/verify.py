@@ -24,7 +24,7 @@ CASEFOLD = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"
 
 def text_key(text: Column) -> Column:
     """A value without separators and case."""
-    key = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]", ""))
+    key = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", ""))
     for one, several in CASEFOLD:
         key = F.replace(key, F.lit(one), F.lit(several))
     return key
